@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring, token_files
 
 QUERIES = {
+    "op3_token_files": token_files.query,
+    "op7_substring": substring.query,
     "op10_simhash": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_substring": substring.ORACLE_SQL,
+}
