@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, token_files
+from . import packing, quality, simhash, substring, token_files, url_filter, warc
 
 QUERIES = {
+    "op2_warc": warc.query,
     "op3_token_files": token_files.query,
+    "op5_packing": packing.query,
+    "op6_url_filter": url_filter.query,
     "op7_substring": substring.query,
+    "op8_quality": quality.query,
     "op10_simhash": simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
     "op7_substring": substring.ORACLE_SQL,
+    "op8_quality": quality.ORACLE_SQL,
 }
