@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, substring, token_files, url_filter, warc
+from . import packing, quality, simhash, substring, token_files, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.query,
     "op3_token_files": token_files.query,
+    "op4_toxicity": toxicity.query,
     "op5_packing": packing.query,
     "op6_url_filter": url_filter.query,
     "op7_substring": substring.query,
