@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, substring, token_files, toxicity, url_filter, warc
+from . import decontamination, packing, quality, simhash, substring, token_counts, token_files, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op2_warc": warc.query,
     "op3_token_files": token_files.query,
     "op4_toxicity": toxicity.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.query,
     "op7_substring": substring.query,
     "op8_quality": quality.query,
+    "op9_token_counts": token_counts.query,
     "op10_simhash": simhash.query,
 }
 
