@@ -11,7 +11,9 @@ import numpy as np
 
 #: Texts with white space or controls that a tokenizer's pattern may treat in its own way are encoded as one.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-_CELL = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[.,!?;: \n\t\r]|$)"
+_CELL = re.compile(f"[ \n\t\r]*{_LETTERS}|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_BARE = re.compile(f"{_LETTERS}|[^ \n\t\r]+")
 _WIDE = re.compile("[^\x00-ɏ]")
 _END = "</w>"
 
@@ -19,8 +21,8 @@ _END = "</w>"
 class Encoder:
     """``ids(text)``: the ids of a text as little-endian unsigned 32-bit integers, as ``Tokenizer.encode`` gives them.
 
-    The tokenizers' patterns end a piece where white space begins after something else, so a text is cut
-    there and a known cell isn't encoded again. Of ``limit`` cells the later half is forgotten: common words
+    The tokenizers' patterns end a piece where white space begins after something else, and between a letter and a
+    stop, so a text is cut there and a known cell isn't encoded again. Of ``limit`` cells the later half is forgotten: common words
     come early, and those stay. New cells are encoded joined, and the ids are dealt back by the bytes that
     they stand for; if those do not meet the cells' ends, each cell is encoded by itself. Texts in which a
     special token is spelled out, or that hold other than plain white space, are encoded whole.
@@ -67,7 +69,7 @@ class Encoder:
         if not self.words:
             cells = _CELL.findall(text)
         else:  # beyond these letters a small one may depend on its neighbours
-            cells = (text if _WIDE.search(text) else text.lower()).split()
+            cells = _BARE.findall(text if _WIDE.search(text) else text.lower())
         known = self.known
         if len(known) > self.limit:
             known = self.known = dict(islice(known.items(), self.limit // 2))
