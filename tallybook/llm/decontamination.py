@@ -193,10 +193,10 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns. Null and empty texts stay."""
+    inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("text").alias("text"))
     for items in blocks(benchmark, block_bytes):
-        marked = docs.withColumnsRenamed({"matches": "_matches"})
-        docs = with_matches(marked, items, size, similarity, radius).where(F.size("matches") == 0).drop("matches").withColumnsRenamed({"_matches": "matches"})
-    return docs
+        inner = with_matches(inner, items, size, similarity, radius).where(F.size("matches") == 0).drop("matches")
+    return inner.select("all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,12 +246,12 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     found = with_components(prints, radius).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
     best = found.agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))).alias("k"))
     kept = written(best.select("k.n", "k.d", "k.r").distinct(), "kept")
-    marked = docs.withColumn("_row", row_hash(docs.columns))
-    out = marked.join(kept, (marked["doc_id"].eqNullSafe(kept["d"])) & (marked["_row"] == kept["r"]), "left_semi")
+    marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("doc_id").alias("e"), row_hash(docs.columns).alias("h"))
+    out = marked.join(kept, F.col("e").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")), "left_semi")
     repeats = prints.groupBy("doc_id", "_row").count().where("count > 1")
-    if not repeats.join(kept, repeats["doc_id"].eqNullSafe(kept["d"]) & (repeats["_row"] == kept["r"]), "left_semi").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_row"])
-    return out.drop("_row")
+    if not repeats.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_row") == F.col("r")), "left_semi").isEmpty():
+        out = out.dropDuplicates(["e", "h"])
+    return out.select("all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
