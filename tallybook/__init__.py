@@ -1 +1,15 @@
-"""Sketches of weighted streams as Spark aggregations."""
+"""Sketches of weighted streams as Spark aggregations.
+
+>>> spec = tallybook.ExpSketch(256)
+>>> registers = tallybook.build(df, spec, keys=["day"], x="user", w="spend")
+>>> tallybook.estimate(registers, spec, keys=["day"])
+"""
+
+from .operators.combine import clone_with, cube, dense, jaccard, merge, rollup
+from .operators.estimate import estimate, estimate_corrected, estimate_direct, newton
+from .operators.ordered import build_ordered, last_registers, records
+from .operators.registers import build, deduplicated
+from .functions.memory import memory_usage
+from .sources.tables import from_state, load, save, to_state
+from .spec import *  # noqa: F403
+from .spec import KINDS, MemoryFlag, QuantizationMode, RngEngine, SketchSpec
