@@ -212,7 +212,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, cell_rows: int = 1 << 17,
 
 
 def with_components(prints: DataFrame, radius: int = 4, doc_id: str = "doc_id") -> DataFrame:
-    """Adds ``component_id``, the least ``doc_id`` that a row reaches, to rows with a column ``fp``.
+    """Adds ``component_id``, the least ``doc_id`` that a row reaches, and ``root`` to rows with a column ``fp``.
+
+    ``root`` names the component even where ids repeat or are null.
 
     ``prints`` must be cheap to read again (a written table): it is read three times. A row with a null
     id takes part; a component of such rows alone has a null id. Repeated ids do not link rows by themselves.
@@ -222,7 +224,7 @@ def with_components(prints: DataFrame, radius: int = 4, doc_id: str = "doc_id")
     rooted = known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(least, "root").drop("root"), "fp")
+    return prints.join(rooted.select("fp", "root").join(least, "root"), "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     with the same component. Further columns of ``docs`` are ignored. An empty table gives no rows.
     """
     prints = written(with_fingerprints(docs.select("doc_id", "text"), size), "prints")
-    return with_components(prints, radius)
+    return with_components(prints, radius).drop("root")
 
 
 def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
@@ -243,8 +245,7 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", row_hash(docs.columns).alias("_row"))
     prints = written(with_fingerprints(rows, size), "prints")
-    found = with_components(prints, radius).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
-    best = found.agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))).alias("k"))
+    best = with_components(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))).alias("k"))
     kept = written(best.select("k.n", "k.d", "k.r").distinct(), "kept")
     marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("doc_id").alias("e"), row_hash(docs.columns).alias("h"))
     out = marked.join(kept, F.col("e").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")), "left_semi")
