@@ -48,10 +48,10 @@ def jaccard(a: DataFrame, b: DataFrame, spec: SketchSpec, other: SketchSpec | No
         raise ValueError(f"{spec.kind} has no Jaccard estimate")
     spec.check_same(other or spec)
     keys = names(keys)
-    both = a.select(*keys, "i", F.col("r").alias("ra")).join(b.select(*keys, "i", F.col("r").alias("rb")), [*keys, "i"], "full")
-    same = F.sum(F.col("ra").eqNullSafe(F.col("rb")).cast("int"))
-    got = both.groupBy(*keys).agg(same.alias("same"), F.count("*").alias("n"))
-    return got.select(*keys, ((F.coalesce("same", F.lit(0)) + F.lit(spec.m) - F.col("n")) / F.lit(float(spec.m))).alias("jaccard"))
+    both = a.select(*keys, "i", F.col("r").alias("_ra")).join(b.select(*keys, "i", F.col("r").alias("_rb")), [*keys, "i"], "full")
+    same = F.sum(F.col("_ra").eqNullSafe(F.col("_rb")).cast("int"))
+    got = both.groupBy(*keys).agg(same.alias("_same"), F.count("*").alias("_n"))
+    return got.select(*keys, ((F.coalesce("_same", F.lit(0)) + F.lit(spec.m) - F.col("_n")) / F.lit(float(spec.m))).alias("jaccard"))
 
 
 def clone_with(registers: DataFrame, spec: SketchSpec, exp_bits: int, mant_bits: int) -> tuple[DataFrame, SketchSpec]:
@@ -81,9 +81,9 @@ def dense(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = ()
     """``keys, registers, offset``: all registers of a key as one array; integer kinds that shift are relative to ``offset``."""
     keys = names(keys)
     shifted = spec.kind.endswith("Shifted") and not spec.kind.endswith("NoShifted")
-    got = registers.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"), F.min("r").alias("low"))
-    offset = F.col("low") if shifted else F.lit(0)
+    got = registers.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("_m"), F.min("r").alias("_low"))
+    offset = F.col("_low") if shifted else F.lit(0)
     kind = {"double": "double", "float": "float", "int": "int"}[spec.traits.value]
-    value = lambda i: F.coalesce(F.col("m")[i], F.lit(empty_value(spec)).cast(kind))
+    value = lambda i: F.coalesce(F.col("_m")[i], F.lit(empty_value(spec)).cast(kind))
     rows = F.transform(F.sequence(F.lit(0), F.lit(spec.m - 1)), lambda i: (value(i) - offset).cast(kind) if shifted else value(i))
     return got.select(*keys, rows.alias("registers"), F.coalesce(offset, F.lit(0)).cast("int").alias("offset"))

@@ -42,8 +42,8 @@ def estimate(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] =
     value = reconstructed(spec, F.col("r"))
     if spec.kind == "WeightedMinHash":
         value = 1 - F.col("r")
-    got = registers.groupBy(*keys).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    s, n = F.col("s"), F.col("n")
+    got = registers.groupBy(*keys).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    s, n = F.col("_s"), F.col("_n")
     if spec.kind.startswith("WeightedHyperLogLog"):
         part = F.when(n == 1, F.lit(0.5)).otherwise((n - 1) / n)
         out = F.when(n == 0, 0.0).when(s <= 0, F.lit(math.inf)).otherwise(part * n * m / s)
@@ -72,8 +72,8 @@ def estimate_direct(registers: DataFrame, spec: SketchSpec, keys: str | Sequence
     if spec.kind == "kQSketchRounding":
         return estimate(registers, spec, keys)
     top = F.lit((spec.logarithm_base - 1) * spec.m / spec.log_step)
-    got = registers.groupBy(*keys).agg(F.sum(reconstructed(spec, F.col("r"))).alias("s"))
-    return got.select(*keys, F.when(F.col("s").isNull(), 0.0).otherwise(top / F.col("s")).alias("estimate"))
+    got = registers.groupBy(*keys).agg(F.sum(reconstructed(spec, F.col("r"))).alias("_s"))
+    return got.select(*keys, F.when(F.col("_s").isNull(), 0.0).otherwise(top / F.col("_s")).alias("estimate"))
 
 
 def step_q(w: float, r: np.ndarray, n: np.ndarray) -> float:
@@ -138,6 +138,6 @@ def newton(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (
         return pd.DataFrame([solve(spec, a, b, start) for a, b in zip(r, n)], columns=["estimate", "iterations"])
 
     counts = registers.groupBy(*keys, "r").count()
-    rows = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "count"))).alias("h"))
-    got = rows.withColumn("e", run(F.col("h.r"), F.col("h.count")))
-    return got.select(*keys, "e.estimate", "e.iterations")
+    rows = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "count"))).alias("_h"))
+    got = rows.withColumn("_e", run(F.col("_h.r"), F.col("_h.count")))
+    return got.select(*keys, "_e.estimate", "_e.iterations")

@@ -52,7 +52,7 @@ def records(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x:
             got = h.select(*keys, "_o", "_x", "_w", "i", (-F.ln(unit(mixed(F.col("_h"), F.col("i"))))).alias("r"))
         else:
             one = bucket_columns(rows, spec, keys, "_o", "_x")
-            got = one.select(*keys, "_o", "_x", "_w", "i", register_value(spec, F.col("g")).alias("r"))
+            got = one.select(*keys, "_o", "_x", "_w", "i", register_value(spec, F.col("_g")).alias("r"))
         past = Window.partitionBy(*keys, "i").orderBy("_o", "_x", "_w").rowsBetween(Window.unboundedPreceding, -1)
         if spec.traits.least:
             got = got.withColumn("before", F.min("r").over(past))
@@ -64,10 +64,10 @@ def records(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x:
 def martingale(changes: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:
     """``keys, estimate`` of a MartingaleMinHash: each row that changes a register adds one over the chance of that."""
     keys = names(keys)
-    by_row = changes.groupBy(*keys, "_o", "_x").agg(F.sum(F.col("r") - F.coalesce("before", F.lit(0.0))).alias("d"))
+    by_row = changes.groupBy(*keys, "_o", "_x").agg(F.sum(F.col("r") - F.coalesce("before", F.lit(0.0))).alias("_e"))
     past = Window.partitionBy(*keys).orderBy("_o", "_x").rowsBetween(Window.unboundedPreceding, -1)
-    chance = 1 - F.exp(-F.sum("d").over(past))  # of the sum of the registers before the row; the first row is sure
-    return by_row.select(*keys, F.coalesce(1 / chance, F.lit(1.0)).alias("e")).groupBy(*keys).agg(F.sum("e").alias("estimate"))
+    chance = 1 - F.exp(-F.sum("_e").over(past))  # of the sum of the registers before the row; the first row is sure
+    return by_row.select(*keys, F.coalesce(1 / chance, F.lit(1.0)).alias("_e")).groupBy(*keys).agg(F.sum("_e").alias("estimate"))
 
 
 class DynState:
@@ -111,7 +111,9 @@ def dyn(changes: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), po
         return pd.DataFrame([[*key[: len(keys)], state.cardinality, state.registers.tolist()]], columns=schema.names)
 
     few = changes.select(*keys, "_o", "_x", "_w", F.col("_w").alias("wt"), "i", "r")
-    return few.groupBy(*(keys or [F.lit(0)])).applyInPandas(run, schema)
+    if not keys:
+        few = few.withColumn("_one", F.lit(0))
+    return few.groupBy(*(keys or ["_one"])).applyInPandas(run, schema)
 
 
 def build_ordered(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", order: str = "seq", on_invalid: str = "error", post_update: bool = False) -> DataFrame:

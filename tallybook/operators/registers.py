@@ -128,21 +128,21 @@ def _independent(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFram
     u = unit(mixed(F.col("_h"), F.col("i")))
     if spec.kind == "WeightedMinHash":
         return spread.select(*keys, "i", F.pow(u, 1.0 / F.col("_w")).alias("r"))
-    return spread.select(*keys, "i", (-F.ln(u) / F.col("_w")).alias("g")).select(*keys, "i", register_value(spec, F.col("g")).alias("r"))
+    return spread.select(*keys, "i", (-F.ln(u) / F.col("_w")).alias("_g")).select(*keys, "i", register_value(spec, F.col("_g")).alias("r"))
 
 
 def _ordered(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     m = spec.m
-    spread = _hashed(rows, spec).select(*keys, "_x", "_w", "_h", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
+    spread = _hashed(rows, spec).select(*keys, "_x", "_w", "_h", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_k"))
     spread = spread.select(
-        *keys, "_x", "k",
-        (-F.ln(unit(mixed(F.col("_h"), F.col("k")))) / F.col("_w") / (F.lit(m) - F.col("k"))).alias("e"),
-        F.shiftrightunsigned(mixed(F.col("_h"), F.col("k") + m), 12).alias("p"),
+        *keys, "_x", "_k",
+        (-F.ln(unit(mixed(F.col("_h"), F.col("_k")))) / F.col("_w") / (F.lit(m) - F.col("_k"))).alias("_e"),
+        F.shiftrightunsigned(mixed(F.col("_h"), F.col("_k") + m), 12).alias("_p"),
     )
     by = Window.partitionBy(*keys, "_x")
-    s = F.sum("e").over(by.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    i = F.row_number().over(by.orderBy("p", "k")) - 1
-    return spread.select(*keys, i.alias("i"), s.alias("g")).select(*keys, "i", register_value(spec, F.col("g")).alias("r"))
+    s = F.sum("_e").over(by.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    i = F.row_number().over(by.orderBy("_p", "_k")) - 1
+    return spread.select(*keys, i.alias("i"), s.alias("_g")).select(*keys, "i", register_value(spec, F.col("_g")).alias("r"))
 
 
 def bucket_columns(rows: DataFrame, spec: SketchSpec, keys: Sequence[str], *more: str) -> DataFrame:
@@ -150,14 +150,14 @@ def bucket_columns(rows: DataFrame, spec: SketchSpec, keys: Sequence[str], *more
     m = spec.m
     h = _hashed(rows, spec)
     g = -F.ln(unit(mixed(F.col("_h"), F.lit(2 * m + 1)))) / F.col("_w")
-    out = h.select(*keys, *more, "_w", F.pmod(F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m)), 12), F.lit(m)).cast("int").alias("i"), g.alias("g"), F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m + 2)), 12).alias("z"))
-    rho = F.when(F.col("z") == 0, F.lit(53)).otherwise(F.lit(53) - F.length(F.bin("z"))).cast("int")
-    return out.select(*keys, *more, "_w", "i", "g", rho.alias("rho"))
+    out = h.select(*keys, *more, "_w", F.pmod(F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m)), 12), F.lit(m)).cast("int").alias("i"), g.alias("_g"), F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m + 2)), 12).alias("_z"))
+    rho = F.when(F.col("_z") == 0, F.lit(53)).otherwise(F.lit(53) - F.length(F.bin("_z"))).cast("int")
+    return out.select(*keys, *more, "_w", "i", "_g", rho.alias("_rho"))
 
 
 def _bucket(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     one = bucket_columns(rows, spec, keys)
-    value = F.col("rho") if spec.kind == "HyperLogLog" else register_value(spec, F.col("g"))
+    value = F.col("_rho") if spec.kind == "HyperLogLog" else register_value(spec, F.col("_g"))
     return one.select(*keys, "i", value.alias("r"))
 
 
@@ -185,7 +185,7 @@ def block_values(spec: SketchSpec, h: np.ndarray | None, elements: list[bytes] |
 
 def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     own = F.col("_x") if spec.hash == "murmur3" else element_hash(F.col("_x"), spec.seed, spec.hash)
-    rows = rows.select(F.struct(*keys, F.lit(0).alias("_one")).alias("k"), own.alias("h"), "_w")
+    rows = rows.select(F.struct(*keys, F.lit(0).alias("_one")).alias("_k"), own.alias("_h"), "_w")
     least, kind = spec.traits.least, {"double": pa.float64(), "float": pa.float32(), "int": pa.int32()}[spec.traits.value]
     block = max(1, (1 << 21) // spec.m)
 
@@ -195,7 +195,7 @@ def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
 
         def out():
             some = [dict(zip(fields, k)) for k in held]
-            made = pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(list(held.values()), pa.list_(kind))], names=["k", "rs"])
+            made = pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(list(held.values()), pa.list_(kind))], names=["_k", "_rs"])
             held.clear()
             return made
 
@@ -222,9 +222,9 @@ def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
             yield out()
 
     inner = T._parse_datatype_string(R_TYPES[spec.traits.value])
-    schema = T.StructType([rows.schema["k"], T.StructField("rs", T.ArrayType(inner))])
+    schema = T.StructType([rows.schema["_k"], T.StructField("_rs", T.ArrayType(inner))])
     made = rows.mapInArrow(run, schema)
-    return made.select(*[F.col(f"k.`{c}`").alias(c) for c in keys], F.posexplode("rs").alias("i", "r"))
+    return made.select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], F.posexplode("_rs").alias("i", "r"))
 
 
 def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", method: str = "auto", on_invalid: str = "error", dedup: bool = True) -> DataFrame:

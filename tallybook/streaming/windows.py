@@ -62,7 +62,7 @@ def dyn_stream(df: DataFrame, spec: SketchSpec, key: str, x: str = "x", w: str =
         rows = df.select(F.col(key).alias(key), F.col(x).cast("string").alias("_x"), F.col(w).cast("double").alias("_w"), F.col(order).alias("_o"))
         rows = rows.where(F.col("_x").isNotNull() & (F.col("_w") > 0) & (F.col("_w") < float("inf")))
         one = bucket_columns(rows, spec, [key], "_o", "_x")
-        one = one.select(key, "_o", "_x", F.col("_w").alias("wt"), "i", register_value(spec, F.col("g")).alias("r"))
+        one = one.select(key, "_o", "_x", F.col("_w").alias("wt"), "i", register_value(spec, F.col("_g")).alias("r"))
     said = json.dumps(spec.to_dict())
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
