@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table, text_bytes
 
 _WORD = re.compile(r"\w+")
+_SHIFT = np.uint64(44)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCHES = "array<struct<item_id: long, similarity: double, start: int, n_words: int>>"
 
@@ -63,25 +65,28 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
         edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(s), np.uint64((1 << int(e - s)) - 1)) for s, e in zip(edges, edges[1:]) if e > s]
-        self.sorted = []
-        for shift, mask in self.blocks:
-            part = (prints >> shift) & mask
-            order = np.argsort(part, kind="stable")
-            self.sorted.append((part[order], order))
+        some = [(s, e) for s, e in zip(edges.tolist(), edges[1:].tolist()) if e > s]
+        self.shifts = np.array([s for s, _ in some], np.uint64)
+        self.masks = np.array([(1 << (e - s)) - 1 for s, e in some], np.uint64)
+        keys = self._keys(prints)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], order // len(self.shifts)
+
+    def _keys(self, prints: np.ndarray) -> np.ndarray:
+        """For each print, each block's number and value; radius 0 has one block, the whole print."""
+        if self.radius == 0:
+            return prints
+        return (((prints[:, None] >> self.shifts) & self.masks) | (np.arange(len(self.shifts), dtype=np.uint64) << np.uint64(40))).ravel()
 
     def pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``prints`` and of the index that are within the radius, each pair once."""
-        keys = []
-        for (shift, mask), (part, order) in zip(self.blocks, self.sorted):
-            own = (prints >> shift) & mask
-            low, high = np.searchsorted(part, own, "left"), np.searchsorted(part, own, "right")
-            n = high - low
-            row = np.repeat(np.arange(len(prints)), n)
-            at = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            near = np.bitwise_count(prints[row] ^ self.prints[at]) <= self.radius
-            keys.append(row[near] * len(self.prints) + at[near])
-        return np.divmod(np.unique(np.concatenate(keys)), max(1, len(self.prints)))
+        own = self._keys(prints)
+        low, high = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+        n = high - low
+        row = np.repeat(np.arange(len(own)) // len(self.shifts), n)
+        at = self.rows[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        near = np.bitwise_count(prints[row] ^ self.prints[at]) <= self.radius
+        return np.divmod(np.unique(row[near] * len(self.prints) + at[near]), max(1, len(self.prints)))
 
 
 @dataclass
@@ -104,6 +109,9 @@ class Items:
             prints = np.concatenate([simhashes(r, np.zeros(1, np.int64), len(r)) for r in runs])
             self.groups[n] = [k for k, _ in items], [Counter(r.tolist()) for r in runs], HammingIndex(prints, self.radius), np.unique(np.concatenate(runs))
         self.all = {z: np.unique(np.concatenate([g[3] for n, g in self.groups.items() if min(n, self.size) == z])) for z in {min(n, self.size) for n in self.groups}}
+        self.maybe = {z: np.zeros(1 << 20, bool) for z in self.all}  # by the first bits of the hash: most runs end here
+        for z, hashes in self.all.items():
+            self.maybe[z][(hashes >> _SHIFT).astype(np.int64)] = True
         return self
 
     known: dict[str, int] = field(default_factory=dict)
@@ -111,11 +119,13 @@ class Items:
     def hashes(self, words: list[str]) -> np.ndarray:
         known, digest = self.known, xxhash.xxh64_intdigest
         if len(known) > 400_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = digest(w, 5)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            known = self.known = dict(islice(known.items(), 200_000))  # common words come early
+        got = list(map(known.get, words))
+        if None in got:
+            for k, x in enumerate(got):
+                if x is None:
+                    got[k] = known[words[k]] = digest(words[k], 5)
+        return np.array(got, np.uint64)
 
     def matches(self, text: str) -> list[dict]:
         """The best window for each item that has one, in order of the items; of equal ones the first."""
@@ -125,8 +135,11 @@ class Items:
             runs[z] = shingles(words, z)
             if not len(runs[z]):
                 continue
-            at = np.minimum(np.searchsorted(any_item, runs[z]), len(any_item) - 1)
-            hit = any_item[at] == runs[z]
+            hit = self.maybe[z][(runs[z] >> _SHIFT).astype(np.int64)]
+            some = np.flatnonzero(hit)
+            if len(some):
+                at = np.minimum(np.searchsorted(any_item, runs[z][some]), len(any_item) - 1)
+                hit[some] = any_item[at] == runs[z][some]
             if hit.any():
                 counts[z] = np.concatenate(([0], np.cumsum(hit)))
         best: dict[int, dict] = {}
