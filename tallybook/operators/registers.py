@@ -1,8 +1,10 @@
 """From rows ``(keys, element, weight)`` to registers ``(keys, i, r)``.
 
-A repeated element counts once with its greatest weight, so rows are reduced to that first (a partial aggregate, and
-the only rows that go on). A register is the MIN or MAX of a pure function of element, weight, seed and register, so
-registers of any partition, day or group merge without loss, and partial aggregation does the work before a shuffle.
+A register is the MIN or MAX of a pure function of element, weight, seed and register, so registers of any partition,
+day or group merge without loss, and partial aggregation does the work before a shuffle: what is dealt out are
+registers, at most one per task, key and number, not elements. A repeated element counts once with its greatest weight
+by itself; reducing rows to that first only saves work, which pays for a shuffle of the elements where each becomes
+many values (``dedup``).
 
 ``relational`` expands each element into its registers inside whole-stage code; ``arrow`` computes whole blocks of
 elements by registers in numpy and sends out one array per key and task. Both give the same registers, up to the
@@ -33,8 +35,8 @@ def names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
-def deduplicated(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
-    """``keys, _x, _w``: every element once, with its greatest weight (1 for unweighted sketches, or without ``w``).
+def valid_rows(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
+    """``keys, _x, _w``: rows as they are, with weight 1 for unweighted sketches or without ``w``.
 
     Rows with a null element or weight are ignored, as SQL aggregates do. A weight that is not finite and positive
     is an error, or dropped with ``on_invalid='drop'``.
@@ -44,7 +46,7 @@ def deduplicated(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: s
     keys = names(keys)
     rows = df.where(F.col(x).isNotNull())
     if w is None or not spec.is_weighted:
-        return rows.select(*keys, F.col(x).cast("string").alias("_x")).distinct().withColumn("_w", F.lit(1.0))
+        return rows.select(*keys, F.col(x).cast("string").alias("_x"), F.lit(1.0).alias("_w"))
     weight = F.col(w).cast("double")
     valid = (weight > 0) & (weight < float("inf"))
     rows = rows.where(weight.isNotNull())
@@ -52,7 +54,12 @@ def deduplicated(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: s
         rows = rows.where(valid)
     else:
         weight = F.when(valid, weight).otherwise(F.raise_error(F.lit("a weight must be finite and positive")))
-    return rows.select(*keys, F.col(x).cast("string").alias("_x"), weight.alias("_w")).groupBy(*keys, "_x").agg(F.max("_w").alias("_w"))
+    return rows.select(*keys, F.col(x).cast("string").alias("_x"), weight.alias("_w"))
+
+
+def deduplicated(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
+    """``keys, _x, _w``: every element of a key once, with its greatest weight."""
+    return valid_rows(df, spec, keys, x, w, on_invalid).groupBy(*names(keys), "_x").agg(F.max("_w").alias("_w"))
 
 
 def register_value(spec: SketchSpec, g: Column) -> Column:
@@ -164,58 +171,71 @@ def _bucket(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
 _KEYS_HELD = 20_000  # keys whose registers a task holds at once
 
 
-def block_values(spec: SketchSpec, h: np.ndarray | None, elements: list[bytes] | None, w: np.ndarray) -> np.ndarray:
-    """Values of a block of elements: rows by registers."""
+def block_exponentials(spec: SketchSpec, h: np.ndarray | None, elements: list[bytes] | None, w: np.ndarray) -> np.ndarray:
+    """What a block of elements brings, rows by registers: exponentials, their order statistics, or powers of uniforms."""
     m = spec.m
+    ordered = spec.traits.family == "ordered"
     if spec.hash == "murmur3":
         seeds = derived_seeds(spec.seed, m)
         u = np.vstack([to_unit_interval(murmur64(x, seeds)) for x in elements])
-        order_by = np.vstack([murmur64(x, np.arange(1, m + 1, dtype=np.uint64) << np.uint64(32)) for x in elements]) if spec.traits.family == "ordered" else None
+        order_by = np.vstack([murmur64(x, np.arange(1, m + 1, dtype=np.uint64) << np.uint64(32)) for x in elements]) if ordered else None
     else:
         u = unit_np(mixed_np(h, np.arange(m)))
-        order_by = mixed_np(h, np.arange(m, 2 * m)) >> np.uint64(12) if spec.traits.family == "ordered" else None
+        order_by = mixed_np(h, np.arange(m, 2 * m)) >> np.uint64(12) if ordered else None
     if spec.kind == "WeightedMinHash":
         return u ** (1.0 / w[:, None])
     e = -np.log(u) / w[:, None]
-    if order_by is None:
-        return register_value_np(spec, e)
+    if not ordered:
+        return e
     s = np.cumsum(e / np.arange(m, 0, -1), axis=1)
-    return register_value_np(spec, np.take_along_axis(s, np.argsort(order_by, axis=1, kind="stable"), axis=1))
+    return np.take_along_axis(s, np.argsort(order_by, axis=1, kind="stable"), axis=1)
 
 
 def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
+    """Registers per task and key. They are held as exponentials and brought to their form at the end, as that is monotone.
+
+    The first order statistic of an element is its least: where it is no less than a key's greatest register, the
+    element changes nothing and is left out. So most elements of a long stream, and all repetitions, cost one hash.
+    """
     own = F.col("_x") if spec.hash == "murmur3" else element_hash(F.col("_x"), spec.seed, spec.hash)
     rows = rows.select(F.struct(*keys, F.lit(0).alias("_one")).alias("_k"), own.alias("_h"), "_w")
-    least, kind = spec.traits.least, {"double": pa.float64(), "float": pa.float32(), "int": pa.int32()}[spec.traits.value]
-    block = max(1, (1 << 21) // spec.m)
+    highest, kind = spec.kind == "WeightedMinHash", {"double": pa.float64(), "float": pa.float32(), "int": pa.int32()}[spec.traits.value]
+    lower = np.maximum if highest else np.minimum
+    prune = spec.traits.family == "ordered" and spec.hash != "murmur3"
+    block = max(64, (1 << (16 if prune else 19)) // spec.m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        lower = np.minimum if least else np.maximum
 
         def out():
             some = [dict(zip(fields, k)) for k in held]
-            made = pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(list(held.values()), pa.list_(kind))], names=["_k", "_rs"])
+            made = [v if highest else register_value_np(spec, v) for v in held.values()]
             held.clear()
-            return made
+            return pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(made, pa.list_(kind))], names=["_k", "_rs"])
 
         for batch in batches:
             key_type = batch.column(0).type
             fields = [f.name for f in key_type]
-            which = list(zip(*(batch.column(0).field(n).to_pylist() for n in range(len(fields)))))
-            w = batch.column(2).to_numpy()
-            for at in range(0, len(w), block):
-                part = slice(at, at + block)
-                if spec.hash == "murmur3":
-                    values = block_values(spec, None, [x.encode() for x in batch.column(1)[part].to_pylist()], w[part])
-                else:
-                    values = block_values(spec, batch.column(1).to_numpy()[part].view(np.uint64), None, w[part])
-                numbers: dict[tuple, int] = {}
-                group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in which[part]), np.int64, len(values))
-                order = np.argsort(group, kind="stable")
-                starts = np.flatnonzero(np.diff(group[order], prepend=-1))
-                for k, r in zip(numbers, lower.reduceat(values[order], starts, axis=0)):
-                    held[k] = lower(held[k], r) if k in held else r
+            numbers: dict[tuple, int] = {}
+            group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(*(batch.column(0).field(n).to_pylist() for n in range(len(fields))))), np.int64, batch.num_rows)
+            known, w = list(numbers), batch.column(2).to_numpy()
+            h = None if spec.hash == "murmur3" else batch.column(1).to_numpy().view(np.uint64)
+            least = -np.log(unit_np(mixed_np(h, np.arange(1)))[:, 0]) / w / spec.m if prune else None
+            left = np.arange(batch.num_rows)
+            while len(left):
+                if prune:
+                    limit = np.array([held[k].max() if k in held else np.inf for k in known])
+                    left = left[least[left] < limit[group[left]]]
+                part, left = left[:block], left[block:]
+                if not len(part):
+                    break
+                elements = [x.encode() for x in batch.column(1).take(pa.array(part)).to_pylist()] if h is None else None
+                values = block_exponentials(spec, None if h is None else h[part], elements, w[part])
+                order = np.argsort(group[part], kind="stable")
+                ids = group[part][order]
+                starts = np.flatnonzero(np.diff(ids, prepend=-1))
+                for k, r in zip(ids[starts].tolist(), lower.reduceat(values[order], starts, axis=0)):
+                    held[known[k]] = lower(held[known[k]], r) if known[k] in held else r
             if len(held) > _KEYS_HELD:
                 yield out()
         if held:
@@ -227,29 +247,32 @@ def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     return made.select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], F.posexplode("_rs").alias("i", "r"))
 
 
-def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", method: str = "auto", on_invalid: str = "error", dedup: bool = True) -> DataFrame:
+def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", method: str = "auto", on_invalid: str = "error", dedup: bool | None = None) -> DataFrame:
     """The registers of every key: ``keys, i, r``. Sequential kinds have their own builder (``ordered.build_ordered``).
 
-    ``dedup=False`` skips the first reduction, for rows that are known to be single: the registers are the same.
-    An empty register is a missing row. No rows give no registers.
+    ``dedup`` reduces rows to one per element first, at the cost of a shuffle of the elements; the registers are the
+    same with and without. By default that is done where an element becomes many rows or columns, and not for kinds with
+    one register per element or for ordered kinds in the Arrow form, which leave out repetitions themselves. An
+    empty register is a missing row. No rows give no registers.
     """
     if spec.traits.family == "sequential":
         raise ValueError(f"{spec.kind} depends on the order of rows: use build_ordered")
     if method not in ("auto", "relational", "arrow"):
         raise ValueError("method is auto, relational or arrow")
-    keys = names(keys)
+    keys, family = names(keys), spec.traits.family
     if method == "auto":
-        method = "arrow" if spec.hash == "murmur3" or spec.traits.family == "ordered" or (spec.traits.family == "independent" and spec.m >= 128) else "relational"
-    if spec.hash == "murmur3" and (method != "arrow" or spec.traits.family == "bucket"):
+        method = "arrow" if spec.hash == "murmur3" or family == "ordered" or (family == "independent" and spec.m >= 128) else "relational"
+    if spec.hash == "murmur3" and (method != "arrow" or family == "bucket"):
         raise ValueError("murmur3 is for the arrow method, and not for kinds with one register per element")
+    numpy = method == "arrow" and family != "bucket"
+    if dedup is None:
+        dedup = family == "independent" or spec.hash == "murmur3"
+    # the window form tells elements apart by their text, so it always needs them once
+    dedup = dedup or (family == "ordered" and not numpy)
     with wrapping(df.sparkSession):
-        if dedup:
-            rows = deduplicated(df, spec, keys, x, w, on_invalid)
-        else:
-            weight = F.lit(1.0) if w is None or not spec.is_weighted else F.col(w).cast("double")
-            rows = df.select(*keys, F.col(x).cast("string").alias("_x"), weight.alias("_w")).where("_x is not null and _w is not null")
-        if method == "arrow" and spec.traits.family != "bucket":
+        rows = (deduplicated if dedup else valid_rows)(df, spec, keys, x, w, on_invalid)
+        if numpy:
             spread = _arrow(rows, spec, keys)
         else:
-            spread = {"independent": _independent, "ordered": _ordered, "bucket": _bucket}[spec.traits.family](rows, spec, keys)
+            spread = {"independent": _independent, "ordered": _ordered, "bucket": _bucket}[family](rows, spec, keys)
         return merged(spread, spec, keys)
