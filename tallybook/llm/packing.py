@@ -120,7 +120,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, room: int = 4096, doc_id:
     # at most one count for each length up to room
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, room), "s_length long, low long, high long, first long, per long, place long")
-    ranked = pieces.join(bases.select("length", "_part", "base"), ["length", "_part"]).withColumn("rank", F.col("base") + F.col("_nth"))
+    # one row for each length and partition that has it: broadcast while they are few, else sorted and merged
+    bases = bases.select("length", "_part", "base")
+    bases = F.broadcast(bases) if bases.count() <= 200_000 else bases.hint("merge")
+    ranked = pieces.join(bases, ["length", "_part"]).withColumn("rank", F.col("base") + F.col("_nth"))
     # the plan's size is bounded by room, so it can always be broadcast
     placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     nth = F.col("rank") - F.col("low")

@@ -65,10 +65,12 @@ def write_whole(fs: pafs.FileSystem, path: str, name: str, parts) -> None:
     fs.move(own, f"{path}/{name}")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Fewer rows per Arrow batch, for columns of whole texts: a worker holds one batch at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
+    """Arrow batches of about ``size`` bytes: a worker holds one at a time, however long the texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(name, size)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

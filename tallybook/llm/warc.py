@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000) -> Data
     Columns other than ``page_id, url, html`` are not archived. A null html is an empty payload; a null URL has
     no target line. No rows: no archive, an empty index.
     """
-    small_batches(pages.sparkSession, 64)
+    small_batches(pages.sparkSession)
     fs, folder = files(path)
     fs.create_dir(folder, recursive=True)
 
@@ -147,7 +147,7 @@ def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 1
     Ranges at most ``gap`` bytes apart are read at once, up to ``most`` bytes; a longer record is read whole.
     A revisit has no payload of its own (null) but the size and digest of the one that it refers to.
     """
-    small_batches(index.sparkSession, 64)
+    small_batches(index.sparkSession)
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
