@@ -62,7 +62,11 @@ def write_whole(fs: pafs.FileSystem, path: str, name: str, parts) -> None:
     with fs.open_output_stream(own) as out:
         for x in parts:
             out.write(x)
-    fs.move(own, f"{path}/{name}")
+    try:
+        fs.move(own, f"{path}/{name}")
+    except OSError:  # some stores don't move over a file: an earlier run of the task has left the same one
+        fs.delete_file(f"{path}/{name}")
+        fs.move(own, f"{path}/{name}")
 
 
 def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:

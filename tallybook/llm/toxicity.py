@@ -1,8 +1,8 @@
 """Toxicity (operator 4): class-conditional Kneser-Ney models.
 
-Two bigram models, toxic and ordinary, are counted on labelled documents. Each backs off from bigrams to its own
-continuation counts (how many different words come before a word), and from there to the continuation counts of
-the whole corpus, which both share. Counts up to the discount go to the backoff whole, so an expression that is
+Two bigram models, toxic and ordinary, are counted on labelled documents. All counts are continuation counts (how many
+different words come before a bigram, or a word), so copies of a document weigh no more than one. Each model backs
+off from its bigrams to its words, and from there to the words of the whole corpus, which both share. Counts up to the discount go to the backoff whole, so an expression that is
 rare among the labelled documents is judged by the corpus. A document's score compares the two log-likelihoods per
 word: words within ``margin`` of each other are even (the ratio of ordinary words only mirrors the mixture of
 languages and topics), what is beyond is summed and divided by the length, and a logistic curve with two inputs
@@ -17,7 +17,6 @@ predecessors of each known word are counted by bitmaps that tasks merge by ``or`
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,20 +94,23 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """``toxic, u, v, n``: in how many of the learning rows a bigram occurs; a text that repeats itself counts once."""
+    """``toxic, u, v, n``: how many different words come before a bigram in the learning rows of a class.
+
+    Copies of a text, or a text that repeats itself, bring no new word before a bigram.
+    """
+    schema = pa.schema([("toxic", pa.int64()), ("t", pa.string()), ("u", pa.string()), ("v", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: Counter = Counter()
+            got: set[tuple] = set()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words_of(text)
-                got.update(set(zip([toxic] * len(w), [START, *w], w)))
+                got.update(zip([toxic] * len(w), [START, START, *w], [START, *w], w))
             if got:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*got)), pa.array(list(got.values()), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), schema)], schema=schema)
 
-    schema = pa.schema([("toxic", pa.int64()), ("u", pa.string()), ("v", pa.string()), ("n", pa.int64())])
-    out = rows.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, u string, v string, n long")
-    return written(out.groupBy("toxic", "u", "v").agg(F.sum("n").alias("n")), "bigrams")
+    out = rows.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, t string, u string, v string")
+    return written(out.distinct().groupBy("toxic", "u", "v").agg(F.count("*").alias("n")), "bigrams")
 
 
 def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "text") -> tuple[np.ndarray, float]:
@@ -173,17 +175,17 @@ def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "tex
     return out, float(m * np.log(m / free) if total < 2.5 * m and free else total)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: int = 2, margin: float = 1.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: int = 2, pair_discount: int = 5, margin: float = 2.0) -> Model:
     """Learns from ``labels`` (``doc_id, toxic``) of documents whose crc32(id as text) mod 5 isn't 0.
 
-    Folds 1 to 3 give the counts, fold 4 the curve. Null labels and ids are ignored; of several labels of an id
+    ``discount`` is for words, ``pair_discount`` for bigrams, whose contexts are smaller. Folds 1 to 3 give the counts, fold 4 the curve. Null labels and ids are ignored; of several labels of an id
     toxic wins. Without rows of both classes in both parts, every score is the share of toxic rows (0 of none).
     """
     rows = _labelled(docs, labels, per_class)
     bigrams = _bigrams(rows.where("part = 0"))
-    d = F.lit(discount)
+    d, e = F.lit(discount), F.lit(pair_discount)
     after = bigrams.groupBy("v").pivot("toxic", [0, 1]).count().fillna(0)
-    ahead = bigrams.groupBy(F.col("u").alias("c")).pivot("toxic", [0, 1]).agg(F.sum("n").alias("n"), F.sum(F.least("n", d)).alias("m")).fillna(0)
+    ahead = bigrams.groupBy(F.col("u").alias("c")).pivot("toxic", [0, 1]).agg(F.sum("n").alias("n"), F.sum(F.least("n", e)).alias("m")).fillna(0)
     both = after.join(ahead, F.col("v") == F.col("c"), "full").select(F.coalesce("v", "c").alias("word"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"x{k}") for k, c in enumerate(("0", "1", "0_n", "1_n", "0_m", "1_m"))])
     total = both.agg(*[F.sum(x) for x in ("x0", "x1")], *[F.sum(F.least(x, d)) for x in ("x0", "x1")]).first()
     kept = both.where((F.col("x0") > d) | (F.col("x1") > d) | (F.col("x4") < F.col("x2")) | (F.col("x5") < F.col("x3")) | (F.col("word") == START)).orderBy("word").toPandas()  # of a bounded sample
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: i
     count = np.vstack([np.concatenate(([0], kept[f"x{k}"].to_numpy(np.float64))) for k in range(6)])
     p = np.vstack([np.maximum(count[k] - discount, 0) / total[k] + total[2 + k] / total[k] * shared for k in (0, 1)])
     back = np.where(count[2:4] > 0, count[4:6] / np.maximum(count[2:4], 1), 1.0)
-    pairs = bigrams.where(F.col("n") > d).toPandas()
+    pairs = bigrams.where(F.col("n") > e).toPandas()
     key = pairs["u"].map(words).to_numpy(np.int64) << 32 | pairs["v"].map(words).fillna(0).to_numpy(np.int64)
     order = np.unique(key)
     extra = np.zeros((2, len(order)))
@@ -207,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: i
     for k in (0, 1):
         own = (pairs["toxic"] == k).to_numpy()
         u = key[own] >> 32
-        np.add.at(extra[k], at[own], (pairs["n"].to_numpy()[own] - discount) / count[2 + k][u])
+        np.add.at(extra[k], at[own], (pairs["n"].to_numpy()[own] - pair_discount) / count[2 + k][u])
     model = Model(words, p, back, order, extra, margin, np.zeros(3))
     held = rows.where("part = 1").select("toxic", "text")
     made = _features(held, model).toPandas()
