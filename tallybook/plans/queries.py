@@ -51,6 +51,9 @@ FLAG, TYPE = ["flag"], ["kind"]
 LINES = "SELECT l_returnflag AS flag, l_linestatus AS status, l_partkey::VARCHAR AS x, l_quantity AS w FROM lineitem"
 EVENTS = "SELECT event_type AS kind, user_id::VARCHAR AS x, value AS w, event_id AS o, ts FROM events"
 
+#: Rows with a weight: some events have a value of 0, which weighted sketches do not take.
+WEIGHED = f"SELECT * FROM ({EVENTS}) WHERE w > 0 AND isfinite(w)"
+
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_partkey").alias("x"), F.col("l_quantity").alias("w"))
@@ -221,7 +224,7 @@ def martingale_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dyn_query(spec: S.SketchSpec, post_update: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(build_ordered(events(spark, sf_dir), spec, TYPE, "x", "w", "o", post_update=post_update))
+    return rounded(build_ordered(events(spark, sf_dir), spec, TYPE, "x", "w", "o", on_invalid="drop", post_update=post_update))
 
 
 def quantize_query(mode: S.QuantizationMode, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +250,11 @@ def _window_sql(shape: str) -> str:
     spec, day = S.ExpSketch(16), "epoch(date_trunc('day', ts))::BIGINT"
     if shape == "session":
         source = f"""SELECT max(CASE WHEN gap THEN t END) OVER (ORDER BY ts, o ROWS UNBOUNDED PRECEDING) AS start, x, w
-        FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, coalesce(ts - lag(ts) OVER (ORDER BY ts, o) >= INTERVAL 30 MINUTE, true) AS gap FROM ({EVENTS}))"""
+        FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, coalesce(ts - lag(ts) OVER (ORDER BY ts, o) >= INTERVAL 30 MINUTE, true) AS gap FROM ({WEIGHED}))"""
         keys = ["start"]
     else:
         back = "0" if shape == "tumbling" else "unnest([0, 86400])"
-        source, keys = f"SELECT {day} - {back} AS start, kind, x, w FROM ({EVENTS})", ["start", "kind"]
+        source, keys = f"SELECT {day} - {back} AS start, kind, x, w FROM ({WEIGHED})", ["start", "kind"]
     return Q.estimate_sql(spec, source, keys)
 
 
@@ -339,9 +342,9 @@ _add("cube_exp", cube_query, _cube_sql())
 _add("clone_with", clone_query, Q.registers_sql(SPECS["fast_exp_custom_float"].with_(exp_bits=7, mant_bits=5), LINES, FLAG))
 _add("dense_registers", dense_query, _dense_sql())
 _add("martingale_minhash", martingale_query, Q.martingale_sql(MARTINGALE, EVENTS, TYPE))
-_add("qsketch_dyn", partial(dyn_query, QDYN, False), Q.dyn_sql(QDYN, EVENTS, TYPE))
-_add("qsketch_dyn_post_update", partial(dyn_query, QDYN, True), Q.dyn_sql(QDYN, EVENTS, TYPE, True))
-_add("kqsketch_rounded_dyn", partial(dyn_query, KQDYN, False), Q.dyn_sql(KQDYN, EVENTS, TYPE))
+_add("qsketch_dyn", partial(dyn_query, QDYN, False), Q.dyn_sql(QDYN, WEIGHED, TYPE))
+_add("qsketch_dyn_post_update", partial(dyn_query, QDYN, True), Q.dyn_sql(QDYN, WEIGHED, TYPE, True))
+_add("kqsketch_rounded_dyn", partial(dyn_query, KQDYN, False), Q.dyn_sql(KQDYN, WEIGHED, TYPE))
 for _mode in S.QuantizationMode:
     _add(f"quantize_{_mode.value.lower()}", partial(quantize_query, _mode), _quantize_sql(_mode))
 for _shape in ("tumbling", "sliding", "session"):
