@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, that with the least id."""
+    return simhash.keep_one_similar(docs, size=5, similarity=0.8, radius=24)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

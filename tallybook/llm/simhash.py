@@ -245,7 +245,12 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", row_hash(docs.columns).alias("_row"))
     prints = written(with_fingerprints(rows, size), "prints")
-    best = with_components(prints, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))).alias("k"))
+    return _least_rows(docs, prints, with_components(prints, radius))
+
+
+def _least_rows(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: the least ``doc_id, _row`` of each ``root``, once."""
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))).alias("k"))
     kept = written(best.select("k.n", "k.d", "k.r").distinct(), "kept")
     marked = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("doc_id").alias("e"), row_hash(docs.columns).alias("h"))
     out = marked.join(kept, F.col("e").eqNullSafe(F.col("d")) & (F.col("h") == F.col("r")), "left_semi")
@@ -254,6 +259,193 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
         out = out.dropDuplicates(["e", "h"])
     return out.select("all.*")
 
+_HOT_DOCS, _HOT_LEAST, _HOT_MOST = 10_000, 5, 200_000  # sampled documents, in how many of them a shingle is hot, longest list
+_MAP_BITS = 26  # of the bitmap of candidates
+_STEPS = 4  # nearest rows of a group that the first round meets
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each shingle and its occurrence number, sorted: the common ones of two texts are the sum of the lesser counts."""
+    s = np.sort(hashes)
+    if not len(s):
+        return s.view(np.int64)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(s)) + 1))
+    nth = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+    out = s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((out ^ (out >> np.uint64(29))).view(np.int64))
+
+
+def _node(runs: np.ndarray) -> int:
+    """Names texts with the same shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes(), 7)).view(np.int64))
+
+
+def _over_texts(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
+    """``rows(runs)`` of each text's numbered shingles, as arrays for the columns of ``schema``."""
+    small_batches(docs.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [x for t in text_bytes(batch.column(0)) if (x := rows(numbered(shingle_hashes(t, size)))) is not None]
+            if made:
+                columns = [np.concatenate(x) for x in zip(*made)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    return docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``run, node, n, bits``: of each text as many shingles, the rarest first, that two texts alike must share one.
+
+    Any order that all texts share is right; hot shingles of a sample come last, so that few groups are large.
+    """
+    every = max(1, docs.count() // _HOT_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    hot = _over_texts(sample, size, "run long", lambda runs: (runs,)).groupBy("run").count().where(F.col("count") >= _HOT_LEAST)
+    hot = hot.orderBy(F.desc("count"), "run").limit(_HOT_MOST).toPandas()  # at most _HOT_MOST rows
+    by_hash = np.argsort(hot["run"].to_numpy(np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast((hot["run"].to_numpy(np.int64)[by_hash], (len(hot) - by_hash).astype(np.int64)))
+
+    def rows(runs: np.ndarray):
+        n = len(runs)
+        if not n:
+            return None
+        known, rank = sent.value
+        late = np.zeros(n, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+            late = np.where(known[at] == runs, rank[at], 0)
+        least = int(np.ceil(similarity * n - 1e-9))
+        some = runs[np.lexsort((runs, late))[: n - least + 1]]
+        return some, np.full(len(some), _node(runs)), np.full(len(some), n, np.int32), np.full(len(some), majority(runs.view(np.uint64)))
+
+    return _over_texts(docs, size, "run long, node long, n int, bits long", rows)
+
+
+def _meetings(similarity: float, radius: int, steps: int | None):
+    """Pairs of one group that may be alike by length and fingerprint, in rows sorted by ``run, n, node``.
+
+    With ``steps`` each row meets so many next ones; the rows of groups that are larger follow as ``node, run, n, bits``.
+    Without, all rows of a group meet those of other components (column ``root``).
+    """
+
+    def pairs(run, node, n, bits, root):
+        own = np.ones(len(run), bool)
+        own[1:] = (np.diff(run) != 0) | (np.diff(node) != 0)  # copies of a text are one node
+        run, node, n, bits, root = (x[own] for x in (run, node, n, bits, root))
+        at, d = np.arange(len(run)), 1
+        while True:
+            at = at[at + d < len(run)]
+            at = at[(run[at] == run[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
+            if not len(at):
+                return
+            if steps and d > steps:
+                large = np.isin(run, run[at])
+                yield node[large], run[large], n[large], bits[large]
+                return
+            near = at[(np.bitwise_count((bits[at] ^ bits[at + d]).view(np.uint64)) <= radius) & (root[at] != root[at + d])]
+            if len(near):
+                a, b = node[near], node[near + d]
+                both = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+                yield both[:, 0], both[:, 1], np.zeros(len(both), np.int32), np.zeros(len(both), np.int64)
+            d += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        waiting = 0
+
+        def out(rows):
+            for x in pairs(*rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "n", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(k).to_numpy() for k in range(5)]
+            held.append(part)
+            waiting += batch.num_rows
+            if waiting < 1 << 17 or (part[0][0] == part[0][-1] and held[0][0][0] == part[0][-1]):
+                continue
+            rows = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1  # the last group may go on
+            yield from out([x[:cut] for x in rows])
+            held, waiting = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        if held:
+            yield from out([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of the pairs ``(a, b)`` of nodes those whose shingles are alike, by exact comparison."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    place = F.col("node").bitwiseAND((1 << _MAP_BITS) - 1)
+    words = nodes.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m")).toPandas()  # at most 2 ** 20 rows
+    bitmap = np.zeros(1 << _MAP_BITS - 6, np.int64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, nodes = [], []
+            for t in text_bytes(batch.column(0)):
+                runs = numbered(shingle_hashes(t, size))
+                k = _node(runs)
+                if sent.value[(k & (1 << _MAP_BITS) - 1) >> 6] >> (k & 63) & 1:
+                    nodes.append(k)
+                    got.append(runs)
+            if got:
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["node", "runs"])
+
+    sets = docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(run, "node long, runs array<long>")
+    sets = written(sets.groupBy("node").agg(F.first("runs").alias("runs")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
+
+
+def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+    """Links ``(a, b)`` that join all nodes whose weighted shingle similarity is at least ``similarity``.
+
+    Candidates share one of their rarest shingles, which loses nothing, and have fingerprints within the radius; each is
+    compared exactly. Groups of a shingle first meet by nearest length; then only rows that are still in different
+    components meet, so that a group of copies does not make all its pairs.
+    """
+    out = "a long, b long, n int, bits long"
+    rows = _prefixes(docs, size, similarity).withColumn("root", F.col("node"))
+    met = written(rows.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(_meetings(similarity, radius, _STEPS), out), "meetings")
+    links = written(_alike(docs, met.where("n = 0").select("a", "b").distinct(), size, similarity), "alike")
+    large = met.where("n > 0").select(F.col("b").alias("run"), F.col("a").alias("node"), "n", "bits")
+    roots = components(links)
+    large = large.join(roots, "node", "left").select("run", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
+    more = large.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(_meetings(similarity, radius, None), out)
+    more = written(more.select("a", "b").distinct(), "more")
+    return links if more.isEmpty() else links.unionByName(_alike(docs, more, size, similarity))
+
+
+def keep_one_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+    """As ``keep_one``, but the groups join documents by weighted shingle similarity, each link compared exactly.
+
+    Documents with the same shingles are one node, so texts without words (null, empty) are one group.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", row_hash(docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
+    schema = rows.select("doc_id", "_row", F.lit(0).cast("long").alias("fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_node(numbered(shingle_hashes(x, size))) for x in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.int64())], names=["doc_id", "_row", "fp"])
+
+    prints = written(rows.mapInArrow(run, schema), "nodes")
+    roots = components(similar_links(docs.select("text"), size, similarity, radius))
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _least_rows(docs, prints, rooted)
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: ``doc_id, fingerprint, component_id`` for every document."""

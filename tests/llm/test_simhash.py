@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,3 +109,55 @@ def test_keep_one(odd, odd_rows):
     for r, g in zip(odd_rows, groups_):
         by.setdefault(g, []).append(r[0])
     assert sorted((r.doc_id for r in rows), key=str) == sorted((min((x for x in ids if x is not None), default=None) for ids in by.values()), key=str)
+
+
+def alike_groups(texts, size=5, similarity=0.8):
+    """Root of each text, by exact weighted shingle similarity of all pairs."""
+    counts = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        counts.append(Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(counts):
+        for j in range(i):
+            b = counts[j]
+            common = sum((a & b).values())
+            union = sum(a.values()) + sum(b.values()) - common
+            if a == b or union and common / union >= similarity:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(texts))]
+
+
+def test_keep_one_similar_joins_scattered_edits(spark):
+    """Copies with one-word edits all over, repeated words, a hot line, a chain, exact copies."""
+    rng = random.Random(11)
+    line = " ".join(f"hot{k}" for k in range(12))
+    texts = [None, "", " ", "one", "one", "ha " * 60, "ha " * 70, "ha " * 90, line, line]
+    for k in range(12):
+        base = [f"b{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(12):
+            words = list(base)
+            for at in rng.sample(range(len(base)), rng.randrange(len(base) // 30 + 1)):
+                words[at] = f"e{rng.random()}"
+            texts.append(" ".join(words) + (" " + line if k % 3 == 0 else ""))
+    chain = [f"c{k}" for k in range(200)]
+    for _ in range(8):
+        chain[rng.randrange(200)] = f"d{rng.random()}"
+        texts.append(" ".join(chain))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = sorted(set(alike_groups(texts)))
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == want
+    assert simhash.keep_one(docs).count() > len(want)
+
+
+def test_keep_one_similar_odd_rows(odd, odd_rows, empty):
+    got = simhash.keep_one_similar(odd)
+    assert got.columns == odd.columns and got.count() == len(set(alike_groups([r[1] for r in odd_rows])))
+    assert simhash.keep_one_similar(empty).count() == 0
