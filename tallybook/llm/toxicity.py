@@ -10,8 +10,8 @@ languages and topics), what is beyond is summed and divided by the length, and a
 see.
 
 Learning takes at most ``per_class`` labelled documents of each class for the counts and as many for the curve, those
-with the least hash of the id, so the models are bounded. The corpus counts take every document: distinct
-predecessors of each known word are counted by bitmaps that tasks merge by ``or``.
+with the least hash of the id, so the models are bounded. The corpus counts take every document: the different bigrams
+of all words are counted by a distributed distinct, without a ceiling.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table, text_bytes, written
 
 _WORD = re.compile(r"\w+")
-_BITS = 256  # of a word's bitmap of predecessors
-_LOG_M = 11  # of the registers that count all bigrams
+_LOG_SENT = 21  # of the bigrams that a task knows it has sent
 START = ""
 
 
@@ -116,21 +115,19 @@ def _bigrams(rows: DataFrame) -> DataFrame:
 def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "text") -> tuple[np.ndarray, float]:
     """How many different words come before each known word in all of ``docs``, and how many bigrams there are.
 
-    Estimates: linear counting for a word, a probabilistic count of 2048 registers for all. A task sends one
-    row per word or register, whatever it has read; the driver gets as many.
+    Exact up to collisions of 64-bit hashes of bigrams. A task sends a bigram once, or again where another has taken
+    its slot meanwhile; no task gathers a word's bigrams. The driver gets a row per known word.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(words)
-    lanes = _BITS // 64
-    names = ["word", *(f"b{k}" for k in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, digest = known.value.get, xxhash.xxh64_intdigest
-        maps = np.zeros((len(known.value) + 1, _BITS), bool)
-        ranks = np.zeros((1 << _LOG_M, 64), bool)
+        sent = np.zeros(1 << _LOG_SENT, np.uint64)
         hashes: dict[str, int] = {}
         for batch in batches:
+            every, ids = [], []
             for raw in text_bytes(batch.column(0)):
                 w = words_of(raw.decode())
                 if not w:
@@ -142,37 +139,26 @@ def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "tex
                         hashes[x] = digest(x, 3)
                 h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
                 before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-                v = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-                maps[v, (before >> np.uint64(8)).astype(np.int64) % _BITS] = True
                 both = (before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xBF58476D1CE4E5B9)
                 both ^= both >> np.uint64(31)
                 both *= np.uint64(0x94D049BB133111EB)
-                rest = both >> np.uint64(_LOG_M)
-                # the last set bit's place: 1 in 2**k has k zeros
-                place = np.minimum(np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)), 62)
-                ranks[(both & np.uint64((1 << _LOG_M) - 1)).astype(np.int64), place] = True
-        some = np.flatnonzero(maps[1:].any(axis=1)) + 1
-        packed = np.packbits(maps[some], axis=1, bitorder="little").view(np.int64).reshape(-1, lanes)
-        used = np.flatnonzero(ranks.any(axis=1))
-        seen = np.packbits(ranks[used], axis=1, bitorder="little").view(np.int64).reshape(-1, 1)
-        packed = np.concatenate((packed, np.pad(seen, ((0, 0), (0, lanes - 1)))))
-        ids = np.concatenate((some, -used - 1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(lanes))], names=names)
-
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word long, " + ", ".join(f"{x} long" for x in names[1:]))
-    got = rows.groupBy("word").agg(*[F.bit_or(x).alias(x) for x in names[1:]]).toPandas()
-    ids, bits = got["word"].to_numpy(np.int64), np.ascontiguousarray(got[names[1:]].to_numpy(np.int64)).view(np.uint64)
+                every.append(both)
+                ids.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
+            if not every:
+                continue
+            both, at = np.unique(np.concatenate(every), return_index=True)
+            slot = (both >> np.uint64(64 - _LOG_SENT)).astype(np.int64)
+            new = (sent[slot] != both) | (both == 0)  # zero is what an empty slot holds
+            both, slot, v = both[new], slot[new], np.concatenate(ids)[at[new]]
+            sent[slot] = both
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(both.view(np.int64))], names=["word", "bigram"])
+
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word int, bigram long")
+    got = rows.distinct().groupBy("word").count().toPandas()
+    ids, counts = got["word"].to_numpy(np.int64), got["count"].to_numpy(np.float64)
     out = np.zeros(len(words) + 1)
-    own = ids > 0
-    empty = np.maximum(_BITS - np.bitwise_count(bits[own]).sum(axis=1, dtype=np.int64), 0.5)
-    out[ids[own]] = -_BITS * np.log(empty / _BITS)
-    m = 1 << _LOG_M
-    register = np.zeros(m)
-    if (~own).any():
-        register[-ids[~own] - 1] = np.floor(np.log2(bits[~own, 0].astype(np.float64))) + 1
-    total = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0**-register)
-    free = (register == 0).sum()
-    return out, float(m * np.log(m / free) if total < 2.5 * m and free else total)
+    out[ids[ids > 0]] = counts[ids > 0]
+    return out, float(counts.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: int = 2, pair_discount: int = 5, margin: float = 2.0) -> Model:

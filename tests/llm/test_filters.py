@@ -160,6 +160,14 @@ def test_predecessors_of_all_documents(spark):
     assert abs(total / len(every) - 1) < 0.1
 
 
+def test_predecessors_have_no_ceiling(spark):
+    texts = [" ".join(f"p{k} common" for k in range(s, s + 1500)) for s in range(0, 12000, 1000)]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(4)
+    got, total = toxicity.corpus_predecessors(df, {"common": 1, "p1000": 2})
+    # every text but the first begins with a word that also follows "common" in another
+    assert got.tolist() == [0, 12500, 2] and total == 12500 + 12499 + 12
+
+
 def test_op4_query(spark, sf_dir, duck):
     got = toxicity.query(spark, sf_dir).toPandas()
     assert sorted(got["doc_id"]) == sorted(r[0] for r in duck.sql("select doc_id from documents").fetchall())
