@@ -5,7 +5,7 @@ needs so many shingles in common with some item that most windows fall out by a
 that any item has; this loses nothing. The rest get a SimHash of their shingles, weighted by how often they
 occur; blocks of the fingerprint (one more than the radius) index the items, so two fingerprints within the
 radius agree in a block. Candidates are then verified by the exact weighted similarity of shingles, the sum of
-the lesser counts over the sum of the greater.
+the lesser counts over the sum of the greater. A document that has fewer words than an item is one window as a whole.
 
 The items go to the tasks in blocks of bounded size, each a pass over the documents; documents never move.
 """
@@ -127,6 +127,26 @@ class Items:
                     got[k] = known[words[k]] = digest(words[k], 5)
         return np.array(got, np.uint64)
 
+    def _shorter(self, m: int, runs: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> dict[int, dict]:
+        """The items of more than ``m`` words that the whole text is like."""
+        out: dict[int, dict] = {}
+        for z in counts:
+            most = int((m - z + 1) / self.similarity + 1e-9) + z - 1  # words of the longest item in reach
+            own = None
+            for n, (which, wanted, _, _) in self.groups.items():
+                if min(n, self.size) != z or not m < n <= most:
+                    continue
+                total = m + n - 2 * (z - 1)  # shingles of both
+                if counts[z][-1] < int(np.ceil(total * self.similarity / (1 + self.similarity) - 1e-9)):
+                    continue
+                own = own or Counter(runs[z].tolist())
+                for k, want in zip(which, wanted):
+                    common = sum((own & want).values())
+                    value = common / (total - common)
+                    if value >= self.similarity:
+                        out[k] = {"item_id": self.rows[k][0], "similarity": value, "start": 0, "n_words": m}
+        return out
+
     def matches(self, text: str) -> list[dict]:
         """The best window for each item that has one, in order of the items; of equal ones the first."""
         words = self.hashes(words_of(text))
@@ -142,7 +162,7 @@ class Items:
                 hit[some] = any_item[at] == runs[z][some]
             if hit.any():
                 counts[z] = np.concatenate(([0], np.cumsum(hit)))
-        best: dict[int, dict] = {}
+        best: dict[int, dict] = self._shorter(len(words), runs, counts)
         for n, (which, wanted, index, _) in self.groups.items() if counts else ():
             z = min(n, self.size)
             if z not in counts or len(words) < n:
@@ -193,7 +213,8 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
 def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, item_id, similarity, start, n_words``: a row for each document and item that it holds.
 
-    ``start`` counts words (runs of letters and digits) from 0. An item under ``size`` words is one shingle; an
+    ``start`` counts words (runs of letters and digits) from 0; ``n_words`` are the window's: the item's, or all of a
+    shorter text. An item under ``size`` words is one shingle; an
     item without words matches nothing, and so do null and empty texts. Repeated items and documents are each
     reported. Empty tables give no rows. With a null ``doc_id`` or ``item_id``, the row has a null there.
     """

@@ -61,6 +61,37 @@ def test_leaks_against_all_windows(spark, block_bytes):
     assert rows_of(decontamination.clean(df, bench, block_bytes=block_bytes), "doc_id", "text") == sorted((x for x in docs if x not in hit), key=str)
 
 
+def short_windows(text, items, size=5, similarity=0.8):
+    """Whole texts against the items that have more words."""
+    words, out = decontamination.words_of(text or ""), []
+    for item, passage in items:
+        own = decontamination.words_of(passage or "")
+        z = min(size, len(own))
+        if z and z <= len(words) < len(own):
+            a, b = (Counter(tuple(w[i : i + z]) for i in range(len(w) - z + 1)) for w in (words, own))
+            common = sum((a & b).values())
+            value = common / (sum(a.values()) + sum(b.values()) - common)
+            if value >= similarity:
+                out.append((item, round(value, 9), 0, len(words)))
+    return out
+
+
+def test_leaks_in_texts_shorter_than_an_item(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"v{rng.randrange(200)}" for _ in range(rng.randint(5, 70)))) for k in range(30)] + [(30, "ha " * 40), (31, " ".join(f"y{k}" for k in range(60)))]
+    docs = [(1000, " ".join(f"y{k}" for k in range(57)))]
+    for k, text in items:
+        w = text.split()
+        for cut in range(1, 14):
+            docs.append((k * 20 + cut, " ".join(w[:-cut] if cut % 3 else w[cut:])))
+        docs.append((k * 20 + 14, " ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, *m) for d, t in docs for m in [*best_windows(t, items), *short_windows(t, items)]}
+    got = {(r[0], r[1], round(r[2], 9), *r[3:]) for r in decontamination.find(df, bench).collect()}
+    assert got == want and (1000, 31, round(53 / 56, 9), 0, 57) in got and len({x[:2] for x in want}) > 100
+    assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "three words only"), (2, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     assert [r.doc_id for r in decontamination.find(odd, bench).collect()] == [5]
