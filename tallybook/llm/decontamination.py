@@ -4,7 +4,8 @@ Of each document the windows of an item's size (in words) are compared with the
 needs so many shingles in common with some item that most windows fall out by a running count of shingles
 that any item has; this loses nothing. The rest get a SimHash of their shingles, weighted by how often they
 occur; blocks of the fingerprint (one more than the radius) index the items, so two fingerprints within the
-radius agree in a block. Candidates are then verified by the exact weighted similarity of shingles, the sum of
+radius agree in a block. The radius loses nothing for different shingles only, so windows and items that repeat a
+shingle skip the fingerprints. Candidates are then verified by the exact weighted similarity of shingles, the sum of
 the lesser counts over the sum of the greater. A document that has fewer words than an item is one window as a whole.
 
 The items go to the tasks in blocks of bounded size, each a pass over the documents; documents never move.
@@ -49,6 +50,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def latest_repeats(hashes: np.ndarray) -> np.ndarray:
+    """For each place the last start from which the text up to it repeats a hash, or -1."""
+    order = np.argsort(hashes, kind="stable")
+    out = np.full(len(hashes), -1)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return np.maximum.accumulate(out)
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -97,7 +107,7 @@ class Items:
     size: int
     similarity: float
     radius: int
-    groups: dict[int, tuple[list[int], list[Counter], HammingIndex, np.ndarray]] = field(default_factory=dict)
+    groups: dict[int, tuple[list[int], list[Counter], HammingIndex, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def build(self) -> Items:
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -107,7 +117,7 @@ class Items:
         for n, items in by.items():
             runs = [shingles(h, min(self.size, n)) for _, h in items]
             prints = np.concatenate([simhashes(r, np.zeros(1, np.int64), len(r)) for r in runs])
-            self.groups[n] = [k for k, _ in items], [Counter(r.tolist()) for r in runs], HammingIndex(prints, self.radius), np.unique(np.concatenate(runs))
+            self.groups[n] = [k for k, _ in items], [Counter(r.tolist()) for r in runs], HammingIndex(prints, self.radius), np.unique(np.concatenate(runs)), np.array([len(np.unique(r)) < len(r) for r in runs])
         self.all = {z: np.unique(np.concatenate([g[3] for n, g in self.groups.items() if min(n, self.size) == z])) for z in {min(n, self.size) for n in self.groups}}
         self.maybe = {z: np.zeros(1 << 20, bool) for z in self.all}  # by the first bits of the hash: most runs end here
         for z, hashes in self.all.items():
@@ -133,7 +143,7 @@ class Items:
         for z in counts:
             most = int((m - z + 1) / self.similarity + 1e-9) + z - 1  # words of the longest item in reach
             own = None
-            for n, (which, wanted, _, _) in self.groups.items():
+            for n, (which, wanted, *_) in self.groups.items():
                 if min(n, self.size) != z or not m < n <= most:
                     continue
                 total = m + n - 2 * (z - 1)  # shingles of both
@@ -150,7 +160,7 @@ class Items:
     def matches(self, text: str) -> list[dict]:
         """The best window for each item that has one, in order of the items; of equal ones the first."""
         words = self.hashes(words_of(text))
-        runs, counts = {}, {}
+        runs, counts, repeats = {}, {}, {}
         for z, any_item in self.all.items():
             runs[z] = shingles(words, z)
             if not len(runs[z]):
@@ -163,18 +173,28 @@ class Items:
             if hit.any():
                 counts[z] = np.concatenate(([0], np.cumsum(hit)))
         best: dict[int, dict] = self._shorter(len(words), runs, counts)
-        for n, (which, wanted, index, _) in self.groups.items() if counts else ():
+        for n, (which, wanted, index, _, repeated) in self.groups.items() if counts else ():
             z = min(n, self.size)
             if z not in counts or len(words) < n:
                 continue
             size = n - z + 1  # shingles of a window; those in common are at least 2st/(1+t)
             least = int(np.ceil(2 * size * self.similarity / (1 + self.similarity) - 1e-9))
             starts = np.flatnonzero(counts[z][size:] - counts[z][:-size] >= least)
+            if len(starts) and z not in repeats:
+                repeats[z] = latest_repeats(runs[z])
             for part in range(0, len(starts), 4096):
                 some = starts[part : part + 4096]
                 low = int(some[0])
                 prints = simhashes(runs[z][low : int(some[-1]) + size], some - low, size)
-                for row, item in zip(*(x.tolist() for x in index.pairs(prints))):
+                found = set(zip(*(x.tolist() for x in index.pairs(prints))))
+                again = repeats[z][some + size - 1] >= some
+                for item in range(len(wanted)) if again.any() else np.flatnonzero(repeated).tolist():
+                    rows = np.arange(len(some)) if repeated[item] else np.flatnonzero(again)
+                    near = np.isin(runs[z][low : int(some[-1]) + size], np.fromiter(wanted[item], np.uint64, len(wanted[item])))
+                    near = np.concatenate(([0], np.cumsum(near)))
+                    at = some[rows] - low
+                    found.update((row, item) for row in rows[near[at + size] - near[at] >= least].tolist())
+                for row, item in sorted(found):
                     start = int(some[row])
                     common = sum((Counter(runs[z][start : start + size].tolist()) & wanted[item]).values())
                     value = common / (2 * size - common)

@@ -92,6 +92,14 @@ def test_leaks_in_texts_shorter_than_an_item(spark):
     assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
 
 
+def test_leaks_that_differ_in_a_repeated_shingle():
+    for k in range(40):
+        common = [f"c{k}x{j}" for j in range(200)]
+        item, text = (" ".join([*common, *[f"{x}{k}"] * 24]) for x in "ab")
+        got = decontamination.Items([(k, item)], 5, 0.8, 24).build().matches("tail " + text + " tail")
+        assert [(m["item_id"], round(m["similarity"], 9), m["start"], m["n_words"]) for m in got] == best_windows("tail " + text + " tail", [(k, item)]) != []
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "three words only"), (2, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     assert [r.doc_id for r in decontamination.find(odd, bench).collect()] == [5]
