@@ -1,26 +1,38 @@
 """Toxicity (operator 4): class-conditional Kneser-Ney models.
 
-Two bigram models, toxic and ordinary, are counted on labelled documents. All counts are continuation counts (how many
-different words come before a bigram, or a word), so copies of a document weigh no more than one. Each model backs
-off from its bigrams to its words, and from there to the words of the whole corpus, which both share. Counts up to the discount go to the backoff whole, so an expression that is
-rare among the labelled documents is judged by the corpus. A document's score compares the two log-likelihoods per
-word: words within ``margin`` of each other are even (the ratio of ordinary words only mirrors the mixture of
-languages and topics), what is beyond is summed and divided by the length, and a logistic curve with two inputs
-(that mean, and the sum) turns it into a probability. The curve is fitted on labelled rows that the counts did not
-see.
+Two bigram models, toxic and ordinary, are counted on labelled documents. A document's score compares its two
+log-likelihoods, each divided by the number of words: the difference goes through a logistic curve of one input, which
+is fitted on labelled rows that the counts did not see. Words for and against either class count alike.
+
+Each model is interpolated Kneser-Ney of order two. The top order counts occurrences of bigrams, the lower one how
+many different words come before a word; from there both models back off to the same distribution, the continuation
+counts of all documents. What a discount takes from a count goes to the backoff. A discount here is
+
+* of a word: ``discount``, or as large a part of its count as ``excess`` times its share of all documents' words is of
+  its share of the class's, if that is more;
+* of a bigram: ``pair_discount``, or ``pair_excess`` times what the lower order, or the bigram's share of its context in
+  all documents, leads to expect, if that is more; and the whole count if so few documents of the class hold the bigram.
+
+So an expression that a class uses about as often as the corpus does, and one that is rare, are judged by the shared
+counts in both models and say nothing, whatever mixture of languages and topics the labelled documents are. Shares of
+occurrences don't change as the corpus grows, so this holds at any size. Both models stay proper distributions.
 
 Learning takes at most ``per_class`` labelled documents of each class for the counts and as many for the curve, those
-with the least hash of the id, so the models are bounded. The corpus counts take every document: the different bigrams
-of all words are counted by a distributed distinct, without a ceiling.
+with the least hash of the id, so the models are bounded; the curve weighs rows so that classes count as often as they
+are labelled. The corpus counts take every document: the different predecessors of each word of the models are counted
+by a distributed distinct, exactly up to collisions of 64-bit hashes; only the number of all bigrams, one number, is
+from a sketch.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +42,7 @@ from .shared import small_batches, table, text_bytes, written
 
 _WORD = re.compile(r"\w+")
 _LOG_SENT = 21  # of the bigrams that a task knows it has sent
+_LOG_REGISTERS = 14  # of the sketch that counts all bigrams
 START = ""
 
 
@@ -37,48 +50,76 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@dataclass(frozen=True)
+class Options:
+    """See the module; ``per_class`` documents of a class are learnt from at most."""
+
+    per_class: int = 4000
+    discount: float = 3.0
+    excess: float = 4.0
+    pair_discount: float = 5.0
+    pair_excess: float = 8.0
+
+    def excess_of(self, part: float) -> float:
+        """A word of one class alone is ``1 / part`` times as frequent there as everywhere; the rarer class's bound stays below."""
+        return self.excess if part > 0.5 else min(self.excess, part**-0.6)
+
+
 @dataclass
 class Model:
-    """Arrays by word number; 0 is any other word. ``pairs``: bigrams over the discount, by ``u << 32 | v``, sorted."""
+    """Arrays by word number; 0 is any word without evidence, 1 the start. ``pairs``: by ``u << 32 | v``, sorted.
+
+    A probability of word 0 is given as a multiple of the shared one, which is the same in both models.
+    """
 
     words: dict[str, int]
-    p: np.ndarray  # (2, words): continuation probability with the shared backoff; row 1 is toxic
-    back: np.ndarray  # (2, words): what a context gives to the backoff
+    p: np.ndarray  # (2, words): the lower order; row 1 is toxic
+    back: np.ndarray  # (2, words): what a context gives to the lower order
     pairs: np.ndarray
-    extra: np.ndarray  # (2, pairs): discounted probability of the bigram
-    margin: float
-    curve: np.ndarray  # bias and two weights
+    extra: np.ndarray  # (2, pairs): discounted share of the bigram in its context
+    curve: np.ndarray  # bias and weight
 
-    def features(self, words: list[str]) -> tuple[float, float]:
-        """Of the words' log-likelihood ratios beyond the margin: the logarithms of the mean and of the sum."""
-        if not words:
-            return float(np.log(1e-3)), 0.0
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """(2, words): each word's log-likelihood given the word before, but for what both models share."""
         get = self.words.get
-        v = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        u = np.concatenate(([get(START, 0)], v[:-1]))
+        v = np.array([get(w, 0) for w in words], np.int64)
+        u = np.concatenate(([1], v[:-1]))[: len(v)]
         p = self.back[:, u] * self.p[:, v]
         if len(self.pairs):
             key = u << 32 | v
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            found = (self.pairs[at] == key) & (u > 0) & (v > 0)
+            found = self.pairs[at] == key
             p[:, found] += self.extra[:, at[found]]
-        beyond = np.maximum(np.log(p[1] / p[0]) - self.margin, 0).sum()
-        return float(np.log(1e-3 + beyond / len(words))), float(np.log1p(beyond))
+        return np.log(p)
+
+    def difference(self, words: list[str]) -> float:
+        """The toxic less the ordinary log-likelihood per word, from that of a text without evidence (as one without words)."""
+        if not words:
+            return 0.0
+        ordinary, toxic = self.likelihoods(words).mean(axis=1)
+        return float(toxic - ordinary - np.log(self.p[1, 0] / self.p[0, 0]))
 
     def score(self, words: list[str]) -> float:
-        z = float(self.curve @ np.array([1.0, *self.features(words)]))
+        z = float(self.curve @ (1.0, stretched(self.difference(words))))
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
+def stretched(difference: float) -> float:
+    """Differences of a thousandth and of a tenth both matter, so the curve takes their logarithm, with the sign."""
+    return float(np.sign(difference) * np.log1p(1000 * abs(difference)))
+
+
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """``toxic, part, text``: the learning rows, at most ``per_class`` of each class in each of two parts; a written table."""
+def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """``toxic, part, text``: the learning rows, at most ``per_class`` of each class in each of two parts, a written
+    table; and how many labels each class has."""
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     one = one.withColumn("fold", _fold(F.col("doc_id"))).where("fold != 0").withColumn("part", F.when(F.col("fold") == 4, 1).otherwise(0))
-    one = one.withColumn("nth", F.xxhash64("doc_id"))
+    one = written(one.select("doc_id", "toxic", "part", F.xxhash64("doc_id").alias("nth")), "labels")
+    sizes = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     chosen = None
     for toxic in (0, 1):
         for part in (0, 1):
@@ -87,47 +128,86 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     chosen = written(chosen.select(F.col("doc_id").alias("_id"), "toxic", "part"), "chosen")
     # at most 4 * per_class ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    # copies of one text count once, and labels of copies that differ cancel out
+    # copies of one text count once in a class
     rows = rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["toxic", "part", "_text"])
-    return written(rows.select("toxic", "part", F.coalesce("text", F.lit("")).alias("text")), "labelled")
+    return written(rows.select("toxic", "part", F.coalesce("text", F.lit("")).alias("text")), "labelled"), sizes
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """``toxic, u, v, n``: how many different words come before a bigram in the learning rows of a class.
-
-    Copies of a text, or a text that repeats itself, bring no new word before a bigram.
-    """
-    schema = pa.schema([("toxic", pa.int64()), ("t", pa.string()), ("u", pa.string()), ("v", pa.string())])
+    """``toxic, u, v, n, d``: how often, and in how many documents, a bigram occurs in the learning rows of a class."""
+    schema = pa.schema([("toxic", pa.int64()), ("u", pa.string()), ("v", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: set[tuple] = set()
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words_of(text)
-                got.update(zip([toxic] * len(w), [START, START, *w], [START, *w], w))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), schema)], schema=schema)
+                if w:
+                    pairs = Counter(zip([START, *w], w))
+                    u, v = zip(*pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(u)), pa.array(u), pa.array(v), pa.array(list(pairs.values()))], schema=schema)
+
+    out = rows.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, u string, v string, n long")
+    return written(out.groupBy("toxic", "u", "v").agg(F.sum("n").alias("n"), F.count("*").alias("d")), "bigrams")
 
-    out = rows.select(F.col("toxic").cast("long"), "text").mapInArrow(run, "toxic long, t string, u string, v string")
-    return written(out.distinct().groupBy("toxic", "u", "v").agg(F.count("*").alias("n")), "bigrams")
 
+@dataclass
+class Corpus:
+    """Counts over all documents, by number of the words and bigrams that were asked for."""
+
+    before: np.ndarray  # different words before a word
+    words: np.ndarray  # occurrences of a word
+    tokens: float  # occurrences of all words
+    types: float  # different bigrams
+    pairs: np.ndarray  # occurrences of a bigram
+    contexts: np.ndarray  # occurrences of its first word as a context
 
-def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "text") -> tuple[np.ndarray, float]:
-    """How many different words come before each known word in all of ``docs``, and how many bigrams there are.
 
-    Exact up to collisions of 64-bit hashes of bigrams. A task sends a bigram once, or again where another has taken
-    its slot meanwhile; no task gathers a word's bigrams. The driver gets a row per known word.
+def corpus_counts(docs: DataFrame, words: list[str], pairs: list[tuple[str, str]], text: str = "text") -> Corpus:
+    """Counts of ``words`` and ``pairs`` in all of ``docs``.
+
+    Predecessors are exact up to collisions of 64-bit hashes of bigrams. A task sends a bigram once, or again where
+    another has taken its slot meanwhile; no task gathers a word's bigrams. The driver gets a row per word and pair.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(words)
+    small_batches(spark)
+    starts = {u: k for k, u in enumerate(sorted({u for u, _ in pairs}))}
+    sent = spark.sparkContext.broadcast(({w: k + 1 for k, w in enumerate(words)}, pairs, starts))
+    shift = np.uint64(64 - _LOG_REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, digest = known.value.get, xxhash.xxh64_intdigest
-        sent = np.zeros(1 << _LOG_SENT, np.uint64)
+        known, wanted, starts = sent.value
+        get, digest = known.get, xxhash.xxh64_intdigest
+        last_sent = np.zeros(1 << _LOG_SENT, np.uint64)
+        registers = np.zeros(1 << _LOG_REGISTERS, np.int64)
         hashes: dict[str, int] = {}
+
+        def mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+            both = (before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xBF58476D1CE4E5B9)
+            both = (both ^ (both >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            return both ^ (both >> np.uint64(29))
+
+        def hashed(some: list[str]) -> np.ndarray:
+            return np.array([0 if x == START else digest(x, 3) for x in some], np.uint64)
+
+        pair_hash = mixed(hashed([u for u, _ in wanted]), hashed([v for _, v in wanted]))
+        pair_order = np.argsort(pair_hash)
+        pair_sorted = pair_hash[pair_order]
+        start_hash = hashed(list(starts))
+        start_order = np.argsort(start_hash)
+        start_sorted = start_hash[start_order]
+        pair_count, start_count, word_count = (np.zeros(n, np.int64) for n in (len(pair_hash), len(start_hash), len(known) + 1))
+
+        def found(sorted_: np.ndarray, order: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+            if len(sorted_):
+                at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+                counts += np.bincount(order[at[sorted_[at] == values]], minlength=len(counts))
+
+        def rows(kind: int, number: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            kinds = np.full(len(number), kind, np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(number.astype(np.int32)), pa.array(value.astype(np.int64))], names=["kind", "number", "value"])
+
         for batch in batches:
-            every, ids = [], []
+            every, ids, first = [], [], []
             for raw in text_bytes(batch.column(0)):
                 w = words_of(raw.decode())
                 if not w:
@@ -139,89 +219,152 @@ def corpus_predecessors(docs: DataFrame, words: dict[str, int], text: str = "tex
                         hashes[x] = digest(x, 3)
                 h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
                 before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-                both = (before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xBF58476D1CE4E5B9)
-                both ^= both >> np.uint64(31)
-                both *= np.uint64(0x94D049BB133111EB)
-                every.append(both)
-                ids.append(np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
+                first.append(before)
+                every.append(mixed(before, h))
+                ids.append(np.array([get(x, 0) for x in w], np.int32))
             if not every:
                 continue
-            both, at = np.unique(np.concatenate(every), return_index=True)
+            both, v = np.concatenate(every), np.concatenate(ids)
+            found(pair_sorted, pair_order, both, pair_count)
+            found(start_sorted, start_order, np.concatenate(first), start_count)
+            word_count += np.bincount(v, minlength=len(word_count))
+            # log2 of a double is exact enough: its exponent is what counts
+            rank = 64 - _LOG_REGISTERS - np.frexp((both << np.uint64(_LOG_REGISTERS) >> np.uint64(_LOG_REGISTERS)).astype(np.float64))[1] + 1
+            np.maximum.at(registers, (both >> shift).astype(np.int64), rank)
+            both, v = both[v > 0], v[v > 0]
+            both, at = np.unique(both, return_index=True)
             slot = (both >> np.uint64(64 - _LOG_SENT)).astype(np.int64)
-            new = (sent[slot] != both) | (both == 0)  # zero is what an empty slot holds
-            both, slot, v = both[new], slot[new], np.concatenate(ids)[at[new]]
-            sent[slot] = both
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(both.view(np.int64))], names=["word", "bigram"])
+            new = (last_sent[slot] != both) | (both == 0)  # zero is what an empty slot holds
+            both, slot, v = both[new], slot[new], v[at[new]]
+            last_sent[slot] = both
+            yield rows(0, v, both.view(np.int64))
+        used = np.flatnonzero(registers)
+        yield rows(1, used, registers[used])
+        for kind, counts in ((2, pair_count), (3, start_count), (4, word_count)):  # word 0 is all others
+            used = np.flatnonzero(counts)
+            yield rows(kind, used, counts[used])
+
+    made = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "kind int, number int, value long")
+    # one pass over the documents: a bigram, or a register's rank, or a task's count is one row after the distinct sum
+    slim = made.groupBy("kind", "number", F.when(F.col("kind") == 0, F.col("value")).alias("bigram")).agg(F.sum(F.when(F.col("kind") > 1, F.col("value"))).alias("total"), F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("most"))
+    per_word = F.when(F.col("kind") == 0, F.lit(1)).when(F.col("kind") == 1, F.col("most")).otherwise(F.col("total"))
+    got = slim.select("kind", "number", per_word.cast("long").alias("value")).groupBy("kind", "number").agg(F.sum("value").alias("value")).toPandas()
+    out = [np.zeros(n, np.float64) for n in (len(words) + 1, 1 << _LOG_REGISTERS, len(pairs), len(starts), len(words) + 1)]
+    for kind, target in enumerate(out):
+        own = got[got["kind"] == kind]
+        target[own["number"].to_numpy(np.int64)] = own["value"].to_numpy(np.float64)
+    before, registers, pair_counts, start_counts, word_counts = out
+    return Corpus(before[1:], word_counts[1:], float(word_counts.sum()), _distinct(registers), pair_counts, start_counts[[starts[u] for u, _ in pairs]] if pairs else np.empty(0))
+
+
+def _distinct(registers: np.ndarray) -> float:
+    """HyperLogLog's estimate, with linear counting while registers are empty."""
+    m, empty = len(registers), int((registers == 0).sum())
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0**-registers)
+    return float(m * np.log(m / empty)) if empty and raw <= 2.5 * m else float(raw)
+
+
+def lower_order(counts: np.ndarray, share: np.ndarray, everywhere: np.ndarray, total: float, discount: float, excess: float) -> tuple[np.ndarray, float]:
+    """The discounted share of each word among the ``total`` continuation counts of a class, and what is left to the shared distribution.
+
+    ``share`` and ``everywhere`` are the word's parts of the class's words and of all words.
+    """
+    taken = np.maximum(discount, counts * np.minimum(1, excess * everywhere / np.where(share > 0, share, 1)))
+    kept = np.maximum(counts - taken, 0) / total
+    return kept, 1.0 - float(kept.sum())
+
 
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word int, bigram long")
-    got = rows.distinct().groupBy("word").count().toPandas()
-    ids, counts = got["word"].to_numpy(np.int64), got["count"].to_numpy(np.float64)
-    out = np.zeros(len(words) + 1)
-    out[ids[ids > 0]] = counts[ids > 0]
-    return out, float(counts.sum())
+def top_order(n: np.ndarray, documents: np.ndarray, context: np.ndarray, expected: np.ndarray, options: Options) -> np.ndarray:
+    """The discounted share of each bigram in its context, which occurs ``context`` times."""
+    taken = np.where(documents <= options.pair_discount, n, np.maximum(options.pair_discount, options.pair_excess * context * expected))
+    return np.maximum(n - taken, 0) / context
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: int = 2, pair_discount: int = 5, margin: float = 2.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
     """Learns from ``labels`` (``doc_id, toxic``) of documents whose crc32(id as text) mod 5 isn't 0.
 
-    ``discount`` is for words, ``pair_discount`` for bigrams, whose contexts are smaller. Folds 1 to 3 give the counts, fold 4 the curve. Null labels and ids are ignored; of several labels of an id
+    Folds 1 to 3 give the counts, fold 4 the curve. Null labels and ids are ignored; of several labels of an id
     toxic wins. Without rows of both classes in both parts, every score is the share of toxic rows (0 of none).
     """
-    rows = _labelled(docs, labels, per_class)
+    rows, sizes = _labelled(docs, labels, options.per_class)
+    parts = {(r["toxic"], r["part"]): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
     bigrams = _bigrams(rows.where("part = 0"))
-    d, e = F.lit(discount), F.lit(pair_discount)
-    after = bigrams.groupBy("v").pivot("toxic", [0, 1]).count().fillna(0)
-    ahead = bigrams.groupBy(F.col("u").alias("c")).pivot("toxic", [0, 1]).agg(F.sum("n").alias("n"), F.sum(F.least("n", e)).alias("m")).fillna(0)
-    both = after.join(ahead, F.col("v") == F.col("c"), "full").select(F.coalesce("v", "c").alias("word"), *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"x{k}") for k, c in enumerate(("0", "1", "0_n", "1_n", "0_m", "1_m"))])
-    total = both.agg(*[F.sum(x) for x in ("x0", "x1")], *[F.sum(F.least(x, d)) for x in ("x0", "x1")]).first()
-    kept = both.where((F.col("x0") > d) | (F.col("x1") > d) | (F.col("x4") < F.col("x2")) | (F.col("x5") < F.col("x3")) | (F.col("word") == START)).orderBy("word").toPandas()  # of a bounded sample
-    words = {w: k + 1 for k, w in enumerate(kept["word"])}
-    sizes = {(r["toxic"], r["part"]): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
-    if len(sizes) < 4 or not total[0] or not total[1]:
-        n = sum(sizes.values())
-        share = sum(c for (t, _), c in sizes.items() if t) / n if n else 0.0
+    totals = {r["toxic"]: (r["types"], r["tokens"]) for r in bigrams.groupBy("toxic").agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).collect()}
+    if len(parts) < 4 or len(totals) < 2:
+        n = sum(parts.values())
+        share = sum(c for (t, _), c in parts.items() if t) / n if n else 0.0
         bias = -30.0 if share == 0 else 30.0 if share == 1 else float(np.log(share / (1 - share)))
-        return Model({}, np.ones((2, 1)), np.ones((2, 1)), np.empty(0, np.int64), np.ones((2, 0)), margin, np.array([bias, 0.0, 0.0]))
-    before, bigram_types = corpus_predecessors(docs, words)
-    shared = (before + 1) / (bigram_types + len(words) + 1)
-    count = np.vstack([np.concatenate(([0], kept[f"x{k}"].to_numpy(np.float64))) for k in range(6)])
-    p = np.vstack([np.maximum(count[k] - discount, 0) / total[k] + total[2 + k] / total[k] * shared for k in (0, 1)])
-    back = np.where(count[2:4] > 0, count[4:6] / np.maximum(count[2:4], 1), 1.0)
-    pairs = bigrams.where(F.col("n") > e).toPandas()
-    key = pairs["u"].map(words).to_numpy(np.int64) << 32 | pairs["v"].map(words).fillna(0).to_numpy(np.int64)
-    order = np.unique(key)
-    extra = np.zeros((2, len(order)))
-    at = np.searchsorted(order, key)
-    for k in (0, 1):
-        own = (pairs["toxic"] == k).to_numpy()
-        u = key[own] >> 32
-        np.add.at(extra[k], at[own], (pairs["n"].to_numpy()[own] - pair_discount) / count[2 + k][u])
-    model = Model(words, p, back, order, extra, margin, np.zeros(3))
-    held = rows.where("part = 1").select("toxic", "text")
-    made = _features(held, model).toPandas()
-    model.curve = _fit(made[["a", "b"]].to_numpy(np.float64), made["toxic"].to_numpy(np.float64))
+        return Model({}, np.ones((2, 2)), np.ones((2, 2)), np.empty(0, np.int64), np.ones((2, 0)), np.array([bias, 0.0]))
+    # all of this is of the bounded sample
+    after = bigrams.groupBy("toxic", "v").agg(F.count("*").alias("types"), F.sum("n").alias("n")).where(F.col("types") > options.discount).orderBy("v").toPandas()
+    pairs = bigrams.where(F.col("d") > options.pair_discount)
+    contexts = bigrams.join(pairs.select("u").distinct(), "u", "left_semi").groupBy("toxic", "u").agg(F.sum("n").alias("context"))
+    pairs = pairs.join(contexts, ["toxic", "u"]).orderBy("u", "v", "toxic").toPandas()
+    words = sorted({*after["v"], *pairs["v"]})
+    both = sorted(set(zip(pairs["u"], pairs["v"])))
+    return _model(after, totals, pairs, words, both, corpus_counts(docs, words, both), rows, sizes, options)
+
+
+def _model(after: pd.DataFrame, totals: dict[int, tuple[int, int]], pairs: pd.DataFrame, words: list[str], both: list[tuple[str, str]], corpus: Corpus, rows: DataFrame, sizes: dict[int, int], options: Options) -> Model:
+    at = {w: k for k, w in enumerate(words)}
+    shared = (corpus.before + 1) / (corpus.types + len(words) + 1)
+    nth = {x: k for k, x in enumerate(both)}
+    p, gamma, kept = np.zeros((2, len(words))), np.zeros(2), []
+    for c in (0, 1):
+        counts, share = np.zeros(len(words)), np.zeros(len(words))
+        some = after[after["toxic"] == c]
+        k = [at[v] for v in some["v"]]
+        counts[k], share[k] = some["types"], some["n"] / totals[c][1]
+        own, gamma[c] = lower_order(counts, share, corpus.words / corpus.tokens, totals[c][0], options.discount, options.excess_of(sizes[c] / sum(sizes.values())))
+        p[c] = own + gamma[c] * shared
+        some = pairs[pairs["toxic"] == c]
+        k = np.array([nth[x] for x in zip(some["u"], some["v"])], np.int64)
+        v = np.array([at[x] for x in some["v"]], np.int64)
+        expected = np.maximum(p[c][v], corpus.pairs[k] / np.maximum(corpus.contexts[k], 1)) if len(k) else np.empty(0)
+        share = top_order(some["n"].to_numpy(np.float64), some["d"].to_numpy(np.float64), some["context"].to_numpy(np.float64), expected, options)
+        kept += [(c, *both[i], x) for i, x in zip(k.tolist(), share.tolist()) if x > 0]
+    # only words and bigrams that tell the classes apart stay in the model
+    telling = {w for w, a, b in zip(words, p[0] / (gamma[0] * shared), p[1] / (gamma[1] * shared)) if a > 1 + 1e-12 or b > 1 + 1e-12}
+    telling |= {x for _, u, v, _ in kept for x in (u, v) if x != START}
+    known = {START: 1} | {w: k + 2 for k, w in enumerate(sorted(telling))}
+    size = len(known) + 1
+    model = Model(known, np.ones((2, size)), np.ones((2, size)), np.unique(np.array([known[u] << 32 | known[v] for _, u, v, _ in kept], np.int64)), np.zeros((2, 0)), np.zeros(2))
+    model.p[:, 0] = model.p[:, 1] = gamma
+    for w in telling:
+        # a word that is but a context has the shared probability, given as a multiple like that of word 0
+        model.p[:, known[w]] = p[:, at[w]] if w in at else gamma
+    model.extra = np.zeros((2, len(model.pairs)))
+    for c, u, v, x in kept:
+        model.extra[c, np.searchsorted(model.pairs, known[u] << 32 | known[v])] = x
+        model.back[c, known[u]] -= x
+    model.back = np.maximum(model.back, 1e-9)
+    made = _differences(rows.where("part = 1").select("toxic", "text"), model).toPandas()  # of the bounded sample
+    toxic = made["toxic"].to_numpy(np.float64)
+    true = np.array([sizes[0], sizes[1]]) / sum(sizes.values())
+    seen = np.array([(toxic == 0).mean(), (toxic == 1).mean()])
+    model.curve = _fit(np.array([stretched(x) for x in made["difference"]]), toxic, (true / seen)[toxic.astype(int)])
     return model
 
 
-def _features(rows: DataFrame, model: Model) -> DataFrame:
+def _differences(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sent.value.features(words_of(x)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())], names=["toxic", "a", "b"])
+            got = [sent.value.difference(words_of(x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["toxic", "difference"])
 
-    return rows.mapInArrow(run, "toxic int, a double, b double")
+    return rows.mapInArrow(run, "toxic int, difference double")
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Weighted logistic regression by Newton's method."""
     x = np.column_stack((np.ones(len(x)), x))
-    w, keep = np.zeros(3), np.diag([1e-6, ridge, ridge])
-    for _ in range(50):
+    w, keep = np.zeros(2), np.diag([1e-6, ridge])
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + keep, x.T @ (q - y) + keep @ w)
-        w -= step
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + keep, x.T @ (weight * (q - y)) + keep @ w)
+        w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
     return w

@@ -183,28 +183,145 @@ def test_toxicity_odd_rows(spark, talk, odd, empty):
     assert {r.score > 0.99 for r in toxicity.with_scores(odd, some).collect()} == {True}
 
 
-def test_predecessors_of_all_documents(spark):
+def plain_toxicity(docs, labels, options):
+    """The scores of the two models by their definitions, in plain Python, with exact counts but for the number of all bigrams."""
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    label = {}
+    for d, t in labels:
+        if d is not None and t in (0, 1) and fold(d):
+            label[d] = max(t, label.get(d, 0))
+    parts = {}
+    for d, t in docs:
+        if d in label:
+            parts.setdefault((label[d], fold(d) == 4), set()).add(t or "")
+    pairs_of = lambda t: list(zip(["", *toxicity.words_of(t)], toxicity.words_of(t)))
+    corpus, before = Counter(), {}
+    for _, t in docs:
+        corpus.update(pairs_of(t or ""))
+    for u, v in corpus:
+        before.setdefault(v, set()).add(u)
+    starts = Counter()
+    for (u, _), n in corpus.items():
+        starts[u] += n
+    n, d, after, context, used, everywhere = {}, {}, {}, {}, {}, Counter()
+    for (_, v), k in corpus.items():
+        everywhere[v] += k
+    sizes = Counter(label.values())
+    for c in (0, 1):
+        n[c], d[c], context[c] = Counter(), Counter(), Counter()
+        for t in parts[c, False]:
+            n[c].update(pairs_of(t))
+            d[c].update(set(pairs_of(t)))
+        after[c] = Counter(v for _, v in n[c])
+        used[c] = Counter()
+        for (_, v), k in n[c].items():
+            used[c][v] += k
+        for (u, _), k in n[c].items():
+            context[c][u] += k
+    held = {x for c in (0, 1) for x in d[c] if d[c][x] > options.pair_discount}
+    known = {v for c in (0, 1) for v in after[c] if after[c][v] > options.discount} | {v for _, v in held}
+
+    def models(types):
+        shared = {v: (len(before[v]) + 1) / (types + len(known) + 1) for v in known}
+        gamma, p, extra, back = {}, {}, {}, {}
+        for c in (0, 1):
+            total = len(n[c])
+            part = sizes[c] / sizes.total()
+            excess = options.excess if part > 0.5 else min(options.excess, part**-0.6)
+            ratio = {v: (used[c][v] / used[c].total()) / (everywhere[v] / everywhere.total()) for v in known}
+            kept = {v: max(after[c][v] - max(options.discount, after[c][v] * min(1, excess / ratio[v] if ratio[v] else 1)), 0) / total for v in known}
+            gamma[c] = 1 - sum(kept.values())
+            p[c] = {v: kept[v] + gamma[c] * shared[v] for v in known}
+            extra[c], back[c] = {}, {}
+            for u, v in held:
+                k = n[c][u, v]
+                if d[c][u, v] <= options.pair_discount:
+                    continue
+                expected = max(p[c][v], corpus[u, v] / starts[u])
+                extra[c][u, v] = max(k - max(options.pair_discount, options.pair_excess * context[c][u] * expected), 0) / context[c][u]
+                back[c][u] = back[c].get(u, 1) - extra[c][u, v]
+
+        def difference(text):
+            total = {0: 0.0, 1: 0.0}
+            words = pairs_of(text)
+            for c in (0, 1):
+                for u, v in words:
+                    low = p[c][v] if v in known else gamma[c] * 1e-9  # any shared probability: it is the same in both
+                    total[c] += np.log(back[c].get(u, 1) * low + extra[c].get((u, v), 0))
+            return (total[1] - total[0]) / len(words) - np.log(gamma[1] / gamma[0]) if words else 0.0
+
+        return difference, sum(x > 0 for c in (0, 1) for x in extra[c].values())
+
+    return models, parts
+
+
+@pytest.mark.parametrize("options", [toxicity.Options(), toxicity.Options(discount=1.0, excess=1.5, pair_discount=2.0, pair_excess=1.2)])
+def test_models_against_plain_kneser_ney(spark, talk, options):
+    docs, df, labels = talk
+    rows = [(k, t) for k, t, *_ in docs]
+    # an expression that the toxic rows have far oftener than its words let expect, and one that all have
+    rows = [(k, t + (" low blow" if k % 6 == 0 and k % 4 == 0 else " blow low" if k % 3 else "") + " by the way") for k, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    models, parts = plain_toxicity(rows, [tuple(r) for r in labels.collect()], options)
+    seen = []
+    counts = toxicity.corpus_counts
+    try:
+        toxicity.corpus_counts = lambda *a: seen.append(counts(*a)) or seen[-1]
+        model = toxicity.train(df, labels, options)
+    finally:
+        toxicity.corpus_counts = counts
+    every = {x for _, t in rows for x in zip(["", *toxicity.words_of(t)], toxicity.words_of(t))}
+    assert abs(seen[0].types / len(every) - 1) < 0.03
+    difference, bigrams = models(seen[0].types)
+    assert len(model.words) > 3 and (bigrams > 0) == (len(model.pairs) > 0)
+    texts = [t for _, t in rows] + ["", "unseen words only", "low blow low blow", "grumph"]
+    got, want = np.array([model.difference(toxicity.words_of(t)) for t in texts]), np.array([difference(t) for t in texts])
+    assert np.abs(got - want).max() < 1e-9 and (want < -1e-6).any() and (want > 1e-3).sum() > 100
+    # the curve is fitted on the fourth fold alone, by weighted maximum likelihood: a step either way is no better
+    x = [(toxicity.stretched(difference(t)), c) for (c, held), some in parts.items() if held for t in some]
+    weight = {c: sum(1 for d, t in {(r.doc_id, r.toxic) for r in labels.collect()} if t == c and d is not None and zlib.crc32(str(d).encode()) % 5) / len([1 for _, k in x if k == c]) for c in (0, 1)}
+    loss = lambda a, b: sum(weight[c] * np.logaddexp(0, (a + b * s) * (1 - 2 * c)) for s, c in x) / sum(weight.values())
+    a, b = model.curve
+    assert all(loss(a, b) <= loss(a + e, b + f) + 0.05 for e in (-1, 0, 1) for f in (-0.5, 0, 0.5))
+
+
+def test_corpus_counts(spark):
     rng = random.Random(1)
     texts = [" ".join(f"u{rng.randrange(400)} {rng.choice(['x', 'y', 'z'])}" for _ in range(rng.randrange(60))) for _ in range(300)] + ["q y", None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    seen, every = {}, set()
+    seen, every, starts = {}, Counter(), Counter()
     for t in texts:
         w = toxicity.words_of(t or "")
         for u, v in zip(["", *w], w):
             seen.setdefault(v, set()).add(u)
-            every.add((u, v))
-    words = {"x": 1, "u3": 2, "absent": 3, "": 4}
-    got, total = toxicity.corpus_predecessors(df, words)
-    assert abs(got[1] / len(seen["x"]) - 1) < 0.25 and abs(got[2] - len(seen["u3"])) < 1 and got[3] == 0
-    assert abs(total / len(every) - 1) < 0.1
+            every[u, v] += 1
+            starts[u] += 1
+    pairs = [("u3", "x"), ("", "q"), ("x", "u7"), ("never", "x")]
+    got = toxicity.corpus_counts(df, ["x", "u3", "absent"], pairs)
+    assert got.tokens == every.total() and got.words.tolist() == [sum(n for (_, v), n in every.items() if v == w) for w in ("x", "u3", "absent")]
+    assert got.before.tolist() == [len(seen["x"]), len(seen["u3"]), 0] and abs(got.types / len(every) - 1) < 0.05
+    assert got.pairs.tolist() == [every[p] for p in pairs] and got.contexts.tolist() == [starts[u] for u, _ in pairs]
+    none = toxicity.corpus_counts(df.limit(0), ["x"], [])
+    assert none.before.tolist() == [0] and none.types == 0
 
 
 def test_predecessors_have_no_ceiling(spark):
     texts = [" ".join(f"p{k} common" for k in range(s, s + 1500)) for s in range(0, 12000, 1000)]
     df = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(4)
-    got, total = toxicity.corpus_predecessors(df, {"common": 1, "p1000": 2})
+    got = toxicity.corpus_counts(df, ["common", "p1000"], [("p7", "common")])
     # every text but the first begins with a word that also follows "common" in another
-    assert got.tolist() == [0, 12500, 2] and total == 12500 + 12499 + 12
+    assert got.before.tolist() == [12500, 2] and abs(got.types / (12500 + 12499 + 12) - 1) < 0.03
+    assert got.pairs.tolist() == got.contexts.tolist() == [2]
+
+
+def test_evidence_counts_for_both_classes(spark, talk):
+    """Long clean documents, and words of the ordinary class, do not gather towards toxic."""
+    docs, df, labels = talk
+    model = toxicity.train(df, labels)
+    clean = " ".join(t for k, t, *_ in docs[:600] if k % 6)
+    assert len(clean.split()) > 20_000 and model.score(toxicity.words_of(clean)) < 0.5
+    assert model.difference(["grumph"]) > 0 and model.difference(["grumph", *["unseen"] * 99]) > 0
+    assert abs(100 * model.difference(["grumph", *["unseen"] * 99]) - model.difference(["grumph"])) < 1e-9
 
 
 def test_op4_query(spark, sf_dir, duck):
