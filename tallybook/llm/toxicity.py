@@ -19,9 +19,9 @@ occurrences don't change as the corpus grows, so this holds at any size. Both mo
 
 Learning takes at most ``per_class`` labelled documents of each class for the counts and as many for the curve, those
 with the least hash of the id, so the models are bounded; the curve weighs rows so that classes count as often as they
-are labelled. The corpus counts take every document: the different predecessors of each word of the models are counted
-by a distributed distinct, exactly up to collisions of 64-bit hashes; only the number of all bigrams, one number, is
-from a sketch.
+are labelled. The corpus counts take every document. How many different words come before each word of the models, and
+how many bigrams there are, is counted by HyperLogLog registers, which have no ceiling: a task sends 256 bytes a word
+however long its documents are, where the bigrams themselves took three times the input.
 """
 
 from __future__ import annotations
@@ -35,14 +35,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import small_batches, table, text_bytes, written
 
 _WORD = re.compile(r"\w+")
-_LOG_SENT = 21  # of the bigrams that a task knows it has sent
-_LOG_REGISTERS = 14  # of the sketch that counts all bigrams
+_LOG_OWN, _LOG_ALL = 8, 14  # registers for the bigrams that end in one word, and for all bigrams
+_BLOCK = 1 << 14  # registers or counts in a row
 START = ""
 
 
@@ -154,31 +155,69 @@ def _bigrams(rows: DataFrame) -> DataFrame:
 class Corpus:
     """Counts over all documents, by number of the words and bigrams that were asked for."""
 
-    before: np.ndarray  # different words before a word
+    before: np.ndarray  # about how many different words come before a word
     words: np.ndarray  # occurrences of a word
     tokens: float  # occurrences of all words
-    types: float  # different bigrams
+    types: float  # about how many different bigrams
     pairs: np.ndarray  # occurrences of a bigram
     contexts: np.ndarray  # occurrences of its first word as a context
 
 
+def _ranks(hashes: np.ndarray, log_registers: int) -> np.ndarray:
+    """The place of the first one bit after those that choose the register."""
+    rest = hashes << np.uint64(log_registers) >> np.uint64(log_registers)
+    return (65 - log_registers - np.frexp(rest.astype(np.float64))[1]).astype(np.uint8)
+
+
+def distinct(registers: np.ndarray) -> np.ndarray:
+    """HyperLogLog's estimate for each row of registers, with linear counting while registers are empty."""
+    m, empty = registers.shape[1], (registers == 0).sum(axis=1)
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0 ** -registers.astype(np.float64), axis=1)
+    return np.where((empty > 0) & (raw <= 2.5 * m), m * np.log(m / np.maximum(empty, 1)), raw)
+
+
+_SENT = "kind int, block int, salt int, payload binary"
+
+
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Blocks of registers (kinds 0 and 1) by their maximum, of counts by their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in last), pa.array([held.tobytes()], pa.binary())], names=["kind", "block", "salt", "payload"])
+
+        for batch in batches:
+            for kind, block, salt, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (kind, block, salt if "salt" in by else 0)
+                values = np.frombuffer(payload, np.uint8 if kind < 2 else np.int64)
+                if key != last:
+                    if last is not None:
+                        yield out()
+                    last, held = key, values
+                else:
+                    held = np.maximum(held, values) if kind < 2 else held + values
+        if last is not None:
+            yield out()
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _SENT)
+
+
 def corpus_counts(docs: DataFrame, words: list[str], pairs: list[tuple[str, str]], text: str = "text") -> Corpus:
-    """Counts of ``words`` and ``pairs`` in all of ``docs``.
+    """Counts of ``words`` and ``pairs`` in all of ``docs``. A task sends its registers and counts once, in blocks.
 
-    Predecessors are exact up to collisions of 64-bit hashes of bigrams. A task sends a bigram once, or again where
-    another has taken its slot meanwhile; no task gathers a word's bigrams. The driver gets a row per word and pair.
+    Blocks of many tasks are merged in two steps, so that none meets the blocks of all tasks at once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     starts = {u: k for k, u in enumerate(sorted({u for u, _ in pairs}))}
     sent = spark.sparkContext.broadcast(({w: k + 1 for k, w in enumerate(words)}, pairs, starts))
-    shift = np.uint64(64 - _LOG_REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, wanted, starts = sent.value
         get, digest = known.get, xxhash.xxh64_intdigest
-        last_sent = np.zeros(1 << _LOG_SENT, np.uint64)
-        registers = np.zeros(1 << _LOG_REGISTERS, np.int64)
+        own, every = np.zeros((len(known) + 1) << _LOG_OWN, np.uint8), np.zeros(1 << _LOG_ALL, np.uint8)
         hashes: dict[str, int] = {}
 
         def mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -189,25 +228,23 @@ def corpus_counts(docs: DataFrame, words: list[str], pairs: list[tuple[str, str]
         def hashed(some: list[str]) -> np.ndarray:
             return np.array([0 if x == START else digest(x, 3) for x in some], np.uint64)
 
-        pair_hash = mixed(hashed([u for u, _ in wanted]), hashed([v for _, v in wanted]))
-        pair_order = np.argsort(pair_hash)
-        pair_sorted = pair_hash[pair_order]
-        start_hash = hashed(list(starts))
-        start_order = np.argsort(start_hash)
-        start_sorted = start_hash[start_order]
-        pair_count, start_count, word_count = (np.zeros(n, np.int64) for n in (len(pair_hash), len(start_hash), len(known) + 1))
+        class Wanted:
+            """Counts of some hashes."""
 
-        def found(sorted_: np.ndarray, order: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
-            if len(sorted_):
-                at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-                counts += np.bincount(order[at[sorted_[at] == values]], minlength=len(counts))
+            def __init__(self, some: np.ndarray):
+                self.order = np.argsort(some)
+                self.some, self.counts = some[self.order], np.zeros(len(some), np.int64)
 
-        def rows(kind: int, number: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-            kinds = np.full(len(number), kind, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(number.astype(np.int32)), pa.array(value.astype(np.int64))], names=["kind", "number", "value"])
+            def add(self, values: np.ndarray) -> None:
+                if len(self.some):
+                    at = np.minimum(np.searchsorted(self.some, values), len(self.some) - 1)
+                    self.counts += np.bincount(self.order[at[self.some[at] == values]], minlength=len(self.counts))
 
+        of_pairs = Wanted(mixed(hashed([u for u, _ in wanted]), hashed([v for _, v in wanted])))
+        of_starts = Wanted(hashed(list(starts)))
+        of_words = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            every, ids, first = [], [], []
+            after, before, ids = [], [], []
             for raw in text_bytes(batch.column(0)):
                 w = words_of(raw.decode())
                 if not w:
@@ -218,50 +255,36 @@ def corpus_counts(docs: DataFrame, words: list[str], pairs: list[tuple[str, str]
                     if x not in hashes:
                         hashes[x] = digest(x, 3)
                 h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-                before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-                first.append(before)
-                every.append(mixed(before, h))
-                ids.append(np.array([get(x, 0) for x in w], np.int32))
-            if not every:
+                after.append(h)
+                before += [np.zeros(1, np.uint64), h[:-1]]
+                ids.append(np.array([get(x, 0) for x in w], np.int64))
+            if not ids:
                 continue
-            both, v = np.concatenate(every), np.concatenate(ids)
-            found(pair_sorted, pair_order, both, pair_count)
-            found(start_sorted, start_order, np.concatenate(first), start_count)
-            word_count += np.bincount(v, minlength=len(word_count))
-            # log2 of a double is exact enough: its exponent is what counts
-            rank = 64 - _LOG_REGISTERS - np.frexp((both << np.uint64(_LOG_REGISTERS) >> np.uint64(_LOG_REGISTERS)).astype(np.float64))[1] + 1
-            np.maximum.at(registers, (both >> shift).astype(np.int64), rank)
+            u, v = np.concatenate(before), np.concatenate(ids)
+            both = mixed(u, np.concatenate(after))
+            of_pairs.add(both)
+            of_starts.add(u)
+            of_words += np.bincount(v, minlength=len(of_words))
+            np.maximum.at(every, (both >> np.uint64(64 - _LOG_ALL)).astype(np.int64), _ranks(both, _LOG_ALL))
             both, v = both[v > 0], v[v > 0]
-            both, at = np.unique(both, return_index=True)
-            slot = (both >> np.uint64(64 - _LOG_SENT)).astype(np.int64)
-            new = (last_sent[slot] != both) | (both == 0)  # zero is what an empty slot holds
-            both, slot, v = both[new], slot[new], v[at[new]]
-            last_sent[slot] = both
-            yield rows(0, v, both.view(np.int64))
-        used = np.flatnonzero(registers)
-        yield rows(1, used, registers[used])
-        for kind, counts in ((2, pair_count), (3, start_count), (4, word_count)):  # word 0 is all others
-            used = np.flatnonzero(counts)
-            yield rows(kind, used, counts[used])
-
-    made = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "kind int, number int, value long")
-    # one pass over the documents: a bigram, or a register's rank, or a task's count is one row after the distinct sum
-    slim = made.groupBy("kind", "number", F.when(F.col("kind") == 0, F.col("value")).alias("bigram")).agg(F.sum(F.when(F.col("kind") > 1, F.col("value"))).alias("total"), F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("most"))
-    per_word = F.when(F.col("kind") == 0, F.lit(1)).when(F.col("kind") == 1, F.col("most")).otherwise(F.col("total"))
-    got = slim.select("kind", "number", per_word.cast("long").alias("value")).groupBy("kind", "number").agg(F.sum("value").alias("value")).toPandas()
-    out = [np.zeros(n, np.float64) for n in (len(words) + 1, 1 << _LOG_REGISTERS, len(pairs), len(starts), len(words) + 1)]
-    for kind, target in enumerate(out):
-        own = got[got["kind"] == kind]
-        target[own["number"].to_numpy(np.int64)] = own["value"].to_numpy(np.float64)
-    before, registers, pair_counts, start_counts, word_counts = out
-    return Corpus(before[1:], word_counts[1:], float(word_counts.sum()), _distinct(registers), pair_counts, start_counts[[starts[u] for u, _ in pairs]] if pairs else np.empty(0))
-
-
-def _distinct(registers: np.ndarray) -> float:
-    """HyperLogLog's estimate, with linear counting while registers are empty."""
-    m, empty = len(registers), int((registers == 0).sum())
-    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0**-registers)
-    return float(m * np.log(m / empty)) if empty and raw <= 2.5 * m else float(raw)
+            np.maximum.at(own, v << _LOG_OWN | (both >> np.uint64(64 - _LOG_OWN)).astype(np.int64), _ranks(both, _LOG_OWN))
+        salt = TaskContext.get().partitionId() % 64
+        for kind, values in enumerate((own, every, of_pairs.counts, of_starts.counts, of_words)):
+            cuts = range(0, len(values), _BLOCK)
+            some = [k for k, at in enumerate(cuts) if values[at : at + _BLOCK].any()]
+            for k in some:
+                payload = values[k * _BLOCK : (k + 1) * _BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([payload], pa.binary())], names=["kind", "block", "salt", "payload"])
+
+    made = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, _SENT)
+    out = [np.zeros(n, np.uint8 if k < 2 else np.int64) for k, n in enumerate(((len(words) + 1) << _LOG_OWN, 1 << _LOG_ALL, len(pairs), len(starts), len(words) + 1))]
+    for r in _merged(_merged(made, ["kind", "block", "salt"]), ["kind", "block"]).collect():  # of the models' words and pairs
+        values = np.frombuffer(r["payload"], np.uint8 if r["kind"] < 2 else np.int64)
+        out[r["kind"]][r["block"] * _BLOCK : r["block"] * _BLOCK + len(values)] = values
+    own, every, pair_counts, start_counts, word_counts = out
+    before = distinct(own.reshape(-1, 1 << _LOG_OWN))[1:]
+    contexts = start_counts[[starts[u] for u, _ in pairs]] if pairs else np.empty(0)
+    return Corpus(before, word_counts[1:], float(word_counts.sum()), float(distinct(every[None, :])[0]), pair_counts, contexts)
 
 
 def lower_order(counts: np.ndarray, share: np.ndarray, everywhere: np.ndarray, total: float, discount: float, excess: float) -> tuple[np.ndarray, float]:
