@@ -10,6 +10,7 @@ bucket, the bucket's exponential, and the rank of a HyperLogLog.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,15 +27,22 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_resolving = threading.RLock()
+
+
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
-    """64-bit arithmetic wraps in expressions that are resolved inside; they keep that when they run later."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """64-bit arithmetic wraps in expressions that are resolved inside; they keep that when they run later.
+
+    One thread at a time: the setting is the session's.
+    """
+    with _resolving:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def element_hash(x: Column, seed: int, family: str = "portable") -> Column:

@@ -68,6 +68,25 @@ def pack(values: np.ndarray, bits: int) -> bytes:
     return np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
+def float_codes(values: np.ndarray, exp_bits: int, mant_bits: int) -> np.ndarray:
+    """Values of a custom float as its bits, exponent first. The greatest value reads as an empty register; so does infinity."""
+    v = np.asarray(values, np.float64)
+    most = (1 << (exp_bits + mant_bits)) - 1
+    mantissa, exponent = np.frexp(np.where(np.isfinite(v), v, 1.0))
+    place = exponent.astype(np.int64) - 1 + (1 << (exp_bits - 1)) - 1
+    code = (place << mant_bits) | np.floor((2 * mantissa - 1) * float(1 << mant_bits)).astype(np.int64)
+    return np.where(np.isfinite(v), code, most)
+
+
+def code_values(codes: np.ndarray, exp_bits: int, mant_bits: int) -> np.ndarray:
+    """The values of ``float_codes``; infinity for the greatest."""
+    codes = np.asarray(codes, np.int64)
+    exponent = (codes >> mant_bits) - ((1 << (exp_bits - 1)) - 1)
+    fraction = (codes & ((1 << mant_bits) - 1)) / float(1 << mant_bits)
+    with np.errstate(over="ignore"):
+        return np.where(codes == (1 << (exp_bits + mant_bits)) - 1, np.inf, np.ldexp(1 + fraction, exponent.astype(np.int32)))
+
+
 def unpack(data: bytes, bits: int, size: int) -> np.ndarray:
     ones = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: size * bits].reshape(size, bits)
     return (ones.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)

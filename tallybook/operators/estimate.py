@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import SketchSpec
-from .registers import names
+from .keys import by_inner_names, names
 
 NEWTON_TOLERANCE, NEWTON_MOST = 1e-6, 100
 
@@ -31,12 +31,15 @@ def hll_alpha(m: int) -> float:
     return {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
 
 
+@by_inner_names
 def estimate(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:
     """``keys, estimate``: the weighted cardinality. Without any register 0 (only possible without keys).
 
     Sketches whose estimator divides by a sum give 0 for one register.
     """
     keys, m = names(keys), spec.m
+    if spec.traits.family == "sequential":
+        raise ValueError(f"{spec.kind} is estimated while its rows are read: use ordered.build_ordered")
     if spec.kind in ("QSketch", "kQSketch", "kQSketchShifted"):
         return newton(registers, spec, keys).select(*keys, "estimate")
     value = reconstructed(spec, F.col("r"))
@@ -64,11 +67,17 @@ def estimate_corrected(registers: DataFrame, spec: SketchSpec, keys: str | Seque
     return estimate(registers, spec, keys).withColumn("estimate", F.col("estimate") * F.lit(factor))
 
 
+@by_inner_names
 def estimate_direct(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:
-    """The closed form of the sketches with a logarithmic base."""
+    """The closed form of the sketches with a logarithmic base.
+
+    That of a kQSketchRoundedDyn is its running value, which the table that ``ordered.dyn`` gives holds.
+    """
     keys = names(keys)
     if not spec.has_newton:
         raise ValueError(f"{spec.kind} has no direct estimate")
+    if spec.kind == "kQSketchRoundedDyn":
+        return _running(registers, keys)
     if spec.kind == "kQSketchRounding":
         return estimate(registers, spec, keys)
     top = F.lit((spec.logarithm_base - 1) * spec.m / spec.log_step)
@@ -76,6 +85,12 @@ def estimate_direct(registers: DataFrame, spec: SketchSpec, keys: str | Sequence
     return got.select(*keys, F.when(F.col("_s").isNull(), 0.0).otherwise(top / F.col("_s")).alias("estimate"))
 
 
+def _running(state: DataFrame, keys: list[str]) -> DataFrame:
+    if "estimate" not in state.columns:
+        raise ValueError("a kQSketchRoundedDyn is estimated from its running value: give the table that ordered.dyn makes")
+    return state.select(*keys, "estimate")
+
+
 def step_q(w: float, r: np.ndarray, n: np.ndarray) -> float:
     """f / f' of the QSketch likelihood at ``w``; ``n`` registers hold ``r``."""
     x = np.exp2(-r - 1.0)
@@ -123,12 +138,15 @@ def solve(spec: SketchSpec, r: np.ndarray, n: np.ndarray, start: str) -> tuple[f
     raise ArithmeticError(f"Newton's method did not settle in {NEWTON_MOST} turns")
 
 
+@by_inner_names
 def newton(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), start: str = "default") -> DataFrame:
     """``keys, estimate, iterations``. Runs on the histogram of a key's registers, at most ``m`` rows per key."""
     keys = names(keys)
     if spec.kind not in ("QSketch", "kQSketch", "kQSketchShifted"):
         if not spec.has_newton:
             raise ValueError(f"{spec.kind} has no Newton estimate")
+        if spec.kind == "kQSketchRoundedDyn":
+            return _running(registers, keys).withColumn("iterations", F.lit(0))
         return estimate(registers, spec, keys).withColumn("iterations", F.lit(0))
     if start not in ("default", "warm", "cold") or (start == "warm" and spec.kind == "QSketch"):
         raise ValueError("start is default, cold, or warm where there is a direct estimate")

@@ -14,7 +14,7 @@ form sorts every element's registers twice, and from 128 registers on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +25,13 @@ from pyspark.sql import types as T
 from ..functions.hashing import derived_seeds, element_hash, mixed, mixed_np, murmur64, to_unit_interval, unit, unit_np, wrapping
 from ..functions.quantize import quantize, quantize_np
 from ..spec import QuantizationMode, SketchSpec
+from .keys import column, inner, names, outward, quoted
 
 TINY = 1e-300  # stands for an exponential of exactly 0, whose logarithm would not be finite
 LN2 = 0.6931471805599453
 R_TYPES = {"double": "double", "float": "float", "int": "int"}
 
 
-def names(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
-
-
 def valid_rows(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
     """``keys, _x, _w``: rows as they are, with weight 1 for unweighted sketches or without ``w``.
 
@@ -43,23 +40,23 @@ def valid_rows(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str
     """
     if on_invalid not in ("error", "drop"):
         raise ValueError("on_invalid is error or drop")
-    keys = names(keys)
-    rows = df.where(F.col(x).isNotNull())
+    keys, x = [quoted(k) for k in names(keys)], column(df, x)
+    rows = df.where(x.isNotNull())
     if w is None or not spec.is_weighted:
-        return rows.select(*keys, F.col(x).cast("string").alias("_x"), F.lit(1.0).alias("_w"))
-    weight = F.col(w).cast("double")
+        return rows.select(*keys, x.cast("string").alias("_x"), F.lit(1.0).alias("_w"))
+    weight = column(df, w).cast("double")
     valid = (weight > 0) & (weight < float("inf"))
     rows = rows.where(weight.isNotNull())
     if on_invalid == "drop":
         rows = rows.where(valid)
     else:
         weight = F.when(valid, weight).otherwise(F.raise_error(F.lit("a weight must be finite and positive")))
-    return rows.select(*keys, F.col(x).cast("string").alias("_x"), weight.alias("_w"))
+    return rows.select(*keys, x.cast("string").alias("_x"), weight.alias("_w"))
 
 
 def deduplicated(df: DataFrame, spec: SketchSpec, keys: Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
     """``keys, _x, _w``: every element of a key once, with its greatest weight."""
-    return valid_rows(df, spec, keys, x, w, on_invalid).groupBy(*names(keys), "_x").agg(F.max("_w").alias("_w"))
+    return valid_rows(df, spec, keys, x, w, on_invalid).groupBy(*map(quoted, names(keys)), "_x").agg(F.max("_w").alias("_w"))
 
 
 def register_value(spec: SketchSpec, g: Column) -> Column:
@@ -156,8 +153,10 @@ def bucket_columns(rows: DataFrame, spec: SketchSpec, keys: Sequence[str], *more
     """``keys, i, g`` (and ``rho``): the one register of an element, and what it gets."""
     m = spec.m
     h = _hashed(rows, spec)
+    # Dyn kinds choose the register by a hash of their own, which is the same one where the seeds are equal
+    own = F.col("_h") if spec.traits.family != "sequential" or spec.g_seed == spec.seed else element_hash(F.col("_x"), spec.g_seed, spec.hash)
     g = -F.ln(unit(mixed(F.col("_h"), F.lit(2 * m + 1)))) / F.col("_w")
-    out = h.select(*keys, *more, "_w", F.pmod(F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m)), 12), F.lit(m)).cast("int").alias("i"), g.alias("_g"), F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m + 2)), 12).alias("_z"))
+    out = h.select(*keys, *more, "_w", F.pmod(F.shiftrightunsigned(mixed(own, F.lit(2 * m)), 12), F.lit(m)).cast("int").alias("i"), g.alias("_g"), F.shiftrightunsigned(mixed(F.col("_h"), F.lit(2 * m + 2)), 12).alias("_z"))
     rho = F.when(F.col("_z") == 0, F.lit(53)).otherwise(F.lit(53) - F.length(F.bin("_z"))).cast("int")
     return out.select(*keys, *more, "_w", "i", "_g", rho.alias("_rho"))
 
@@ -168,7 +167,7 @@ def _bucket(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     return one.select(*keys, "i", value.alias("r"))
 
 
-_KEYS_HELD = 20_000  # keys whose registers a task holds at once
+_BYTES_HELD = 64 << 20  # of registers that a task holds at once
 
 
 def block_exponentials(spec: SketchSpec, h: np.ndarray | None, elements: list[bytes] | None, w: np.ndarray) -> np.ndarray:
@@ -236,7 +235,7 @@ def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
                 starts = np.flatnonzero(np.diff(ids, prepend=-1))
                 for k, r in zip(ids[starts].tolist(), lower.reduceat(values[order], starts, axis=0)):
                     held[known[k]] = lower(held[known[k]], r) if known[k] in held else r
-            if len(held) > _KEYS_HELD:
+            if len(held) * 8 * spec.m > _BYTES_HELD:
                 yield out()
         if held:
             yield out()
@@ -251,7 +250,7 @@ def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: st
     """The registers of every key: ``keys, i, r``. Sequential kinds have their own builder (``ordered.build_ordered``).
 
     ``dedup`` reduces rows to one per element first, at the cost of a shuffle of the elements; the registers are the
-    same with and without. By default that is done where an element becomes many rows or columns, and not for kinds with
+    same with and without. A key may have any name but ``i`` and ``r``. By default that is done where an element becomes many rows or columns, and not for kinds with
     one register per element or for ordered kinds in the Arrow form, which leave out repetitions themselves. An
     empty register is a missing row. No rows give no registers.
     """
@@ -259,7 +258,7 @@ def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: st
         raise ValueError(f"{spec.kind} depends on the order of rows: use build_ordered")
     if method not in ("auto", "relational", "arrow"):
         raise ValueError("method is auto, relational or arrow")
-    keys, family = names(keys), spec.traits.family
+    keys, outer, family = inner(names(keys)), names(keys), spec.traits.family
     if method == "auto":
         method = "arrow" if spec.hash == "murmur3" or family == "ordered" or (family == "independent" and spec.m >= 128) else "relational"
     if spec.hash == "murmur3" and (method != "arrow" or family == "bucket"):
@@ -269,10 +268,106 @@ def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: st
         dedup = family == "independent" or spec.hash == "murmur3"
     # the window form tells elements apart by their text, so it always needs them once
     dedup = dedup or (family == "ordered" and not numpy)
+    few = df.select(*[column(df, k).alias(n) for k, n in zip(outer, keys)], column(df, x).alias("_in_x"), *([] if w is None or not spec.is_weighted else [column(df, w).alias("_in_w")]))
     with wrapping(df.sparkSession):
-        rows = (deduplicated if dedup else valid_rows)(df, spec, keys, x, w, on_invalid)
+        rows = (deduplicated if dedup else valid_rows)(few, spec, keys, "_in_x", None if w is None else "_in_w", on_invalid)
         if numpy:
             spread = _arrow(rows, spec, keys)
         else:
             spread = {"independent": _independent, "ordered": _ordered, "bucket": _bucket}[family](rows, spec, keys)
-        return merged(spread, spec, keys)
+        return outward(merged(spread, spec, keys), outer)
+
+
+def build_many(df: DataFrame, specs: Mapping[str, SketchSpec], keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
+    """The registers of several sketches from one pass over the rows: ``keys, sketch, i, r``, where ``r`` is a double.
+
+    All specs share a seed and a hash family (portable or xx), so an element is hashed once; ``sketch`` is a name of
+    ``specs``. Every element is brought to the registers of each sketch in numpy, and one array per key, sketch and task
+    is dealt out. Unweighted kinds take weight 1. ``one_of`` gives the registers of one sketch, as ``build`` makes them.
+    """
+    specs = dict(specs)
+    first = next(iter(specs.values()), None)
+    if first is None:
+        raise ValueError("no sketch is asked for")
+    for spec in specs.values():
+        if spec.traits.family == "sequential":
+            raise ValueError(f"{spec.kind} depends on the order of rows: use build_ordered")
+        if spec.hash == "murmur3" or (spec.seed, spec.hash) != (first.seed, first.hash):
+            raise ValueError("sketches of one pass share a seed, and a hash family that is not murmur3")
+    outer, keys = names(keys), inner(names(keys))
+    weighted = next((s for s in specs.values() if s.is_weighted), first)
+    few = df.select(*[column(df, k).alias(n) for k, n in zip(outer, keys)], column(df, x).alias("_in_x"), *([] if w is None or not weighted.is_weighted else [column(df, w).alias("_in_w")]))
+    kinds = list(specs.values())
+    block = max(64, (1 << 19) // max(s.m for s in kinds))
+    each = 8 * sum(s.m for s in kinds)
+
+    def values(spec: SketchSpec, h: np.ndarray, weight: np.ndarray, group: np.ndarray) -> dict[int, np.ndarray]:
+        """The registers of each group; NaN where none."""
+        low, m = spec.traits.least, spec.m
+        weight = weight if spec.is_weighted else np.ones(len(weight))
+        join = np.fmin if low else np.fmax
+        if spec.traits.family == "bucket":
+            draws = mixed_np(h, np.arange(2 * m, 2 * m + 3))
+            i = ((draws[:, 0] >> np.uint64(12)) % np.uint64(m)).astype(np.int64)
+            if spec.kind == "HyperLogLog":
+                r = 53.0 - np.frexp((draws[:, 2] >> np.uint64(12)).astype(np.float64))[1]
+            else:
+                r = register_value_np(spec, -np.log(unit_np(draws[:, 1])) / weight).astype(np.float64)
+            found = {g: np.full(m, np.nan) for g in np.unique(group).tolist()}
+            for g, out in found.items():
+                own = group == g
+                join.at(out, i[own], r[own])
+            return found
+        order = np.argsort(group, kind="stable")
+        ids = group[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        made = block_exponentials(spec, h, None, weight)
+        top = np.maximum if spec.kind == "WeightedMinHash" else np.minimum
+        made = top.reduceat(made[order], starts, axis=0)
+        return dict(zip(ids[starts].tolist(), (made if spec.kind == "WeightedMinHash" else register_value_np(spec, made)).astype(np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def out() -> pa.RecordBatch:
+            some = [dict(zip(fields, k)) for k in held for _ in kinds]
+            flat = [r for rs in held.values() for r in rs]
+            got = pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(list(range(len(kinds))) * len(held), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["_k", "_s", "_rs"])
+            held.clear()
+            return got
+
+        for batch in batches:
+            key_type = batch.column(0).type
+            fields = [f.name for f in key_type]
+            numbers: dict[tuple, int] = {}
+            group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(*(batch.column(0).field(n).to_pylist() for n in range(len(fields))))), np.int64, batch.num_rows)
+            known, h, weight = list(numbers), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            for at in range(0, len(h), block):
+                part = slice(at, at + block)
+                for n, spec in enumerate(kinds):
+                    for g, r in values(spec, h[part], weight[part], group[part]).items():
+                        rows = held.setdefault(known[g], [np.full(s.m, np.nan) for s in kinds])
+                        rows[n] = (np.fmin if spec.traits.least else np.fmax)(rows[n], r)
+            if len(held) * each > _BYTES_HELD:
+                yield out()
+        if held:
+            yield out()
+
+    with wrapping(df.sparkSession):
+        rows = valid_rows(few, weighted, keys, "_in_x", None if w is None else "_in_w", on_invalid)
+        rows = rows.select(F.struct(*keys, F.lit(0).alias("_one")).alias("_k"), element_hash(F.col("_x"), first.seed, first.hash).alias("_h"), "_w")
+    schema = T.StructType([rows.schema["_k"], *T._parse_datatype_string("_s int, _rs array<double>").fields])
+    made = rows.mapInArrow(run, schema).select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], "_s", F.posexplode("_rs").alias("i", "r")).where(~F.isnan("r"))
+    lattice = made.groupBy(*keys, "_s", "i").agg(F.min("r").alias("_low"), F.max("r").alias("_high"))
+    least = F.col("_s").isin([n for n, s in enumerate(kinds) if s.traits.least])
+    label = F.element_at(F.array(*map(F.lit, specs)), F.col("_s") + 1)
+    out = lattice.select(*keys, label.alias("sketch"), "i", F.when(least, F.col("_low")).otherwise(F.col("_high")).alias("r"))
+    return outward(out, outer)
+
+
+def one_of(many: DataFrame, name: str, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:
+    """The registers of one sketch of ``build_many``: ``keys, i, r`` in the sketch's own type."""
+    keys = names(keys)
+    own = many.where(F.col("sketch") == name)
+    own = own.select(*[quoted(k).alias(n) for k, n in zip(keys, inner(keys))], "i", F.col("r").cast(R_TYPES[spec.traits.value]).alias("r"))
+    return outward(clamped(own, spec, inner(keys)), keys)

@@ -12,10 +12,10 @@ from .. import spec as S
 from ..functions.hashing import element_hash, mixed, unit, wrapping
 from ..functions.memory import memory_usage
 from ..functions.quantize import quantize
-from ..operators.combine import clone_with, cube, dense, jaccard, merge, rollup
+from ..operators.combine import all_pairs, clone_with, cube, dense, jaccard, merge, moving_union, rollup, set_sizes
 from ..operators.estimate import estimate, estimate_corrected, estimate_direct, newton
-from ..operators.ordered import build_ordered
-from ..operators.registers import build, deduplicated
+from ..operators.ordered import build_ordered, dyn, records
+from ..operators.registers import build, build_many, deduplicated, one_of
 from ..sources import generators
 from ..sources.tables import from_state, table, to_state
 from ..streaming.windows import window_registers, window_sums
@@ -115,10 +115,9 @@ SELECT round(sum(least(wa, wb)) / sum(greatest(wa, wb)), 9) AS weighted, round(s
 
 
 def merge_query(spec: S.SketchSpec, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open and finished lines are sketched apart and merged."""
-    rows = lines(spark, sf_dir)
-    parts = [(build(rows.where(F.col("status") == s), spec, FLAG), spec) for s in ("F", "O")]
-    return shown(merge(parts, FLAG), spec, *FLAG)
+    """Open and finished lines, or early and late events, are sketched apart and merged."""
+    sides, keys = _halves(spec, spark, sf_dir)
+    return shown(merge([(build(x, spec, keys), spec) for x in sides], keys), spec, *keys)
 
 
 def rollup_query(spec: S.SketchSpec, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,15 +139,17 @@ def _cube_sql() -> str:
     SELECT flag, status, level::INTEGER AS level, round({spec.m - 1} / sum(r), 3) AS estimate FROM c GROUP BY flag, status, level"""
 
 
-def jaccard_query(spec: S.SketchSpec, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open against finished lines by flag, or events of the first half of the month against the rest."""
+def _halves(spec: S.SketchSpec, spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[str]]:
+    """Open and finished lines by flag, or events of the first half of the month and the rest."""
     if spec.is_weighted:
-        rows, keys = lines(spark, sf_dir), FLAG
-        sides = [rows.where(F.col("status") == s) for s in ("F", "O")]
-    else:
-        rows, keys = events(spark, sf_dir), TYPE
-        early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-        sides = [rows.where(early), rows.where(~early)]
+        rows = lines(spark, sf_dir)
+        return [rows.where(F.col("status") == s) for s in ("F", "O")], FLAG
+    rows, early = events(spark, sf_dir), F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return [rows.where(early), rows.where(~early)], TYPE
+
+
+def jaccard_query(spec: S.SketchSpec, spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides, keys = _halves(spec, spark, sf_dir)
     a, b = (build(x, spec, keys) for x in sides)
     return jaccard(a, b, spec, keys=keys).withColumn("jaccard", F.round("jaccard", 9))
 
@@ -174,12 +175,16 @@ def _direct_sql(spec: S.SketchSpec) -> str:
 
 def newton_query(spec: S.SketchSpec, start: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     got = newton(build(lines(spark, sf_dir), spec, FLAG), spec, FLAG, start)
-    return rounded(got).select("flag", "estimate", (F.col("iterations") > 0).alias("settled"))
+    return rounded(got).select("flag", "estimate", "iterations")
 
 
 def _newton_sql(spec: S.SketchSpec, start: str) -> str:
     turns = 60 if start == "cold" else 30
-    return f"WITH {', '.join(Q.registers_ctes(spec, LINES, FLAG) + Q.newton_ctes(spec, FLAG, start, turns))} SELECT flag, round(w, 3) AS estimate, true AS settled FROM n{turns - 1}"
+    ctes = Q.registers_ctes(spec, LINES, FLAG) + Q.newton_ctes(spec, FLAG, start, turns)
+    ctes += ["path AS (" + " UNION ALL ".join(f"SELECT flag, {k} AS k, w FROM n{k}" for k in range(turns)) + ")"]
+    # the turns until a step is a billionth of the value at most
+    ctes += ["turns AS (SELECT flag, k FROM (SELECT flag, k, w, lag(w) OVER (PARTITION BY flag ORDER BY k) AS v FROM path) WHERE abs(w - v) <= 1e-9 * abs(w))"]
+    return f"WITH {', '.join(ctes)} SELECT flag, round(any_value(w), 3) AS estimate, min(k)::INTEGER AS iterations FROM n{turns - 1} JOIN turns USING (flag) GROUP BY flag"
 
 
 def corrected_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,14 +207,14 @@ def clone_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(got, coarse, *FLAG)
 
 
-def dense_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registers of a key as one array, a shifted kind's relative to its offset."""
-    spec = SPECS["kqsketch_shifted"]
+    spec = SPECS[name]
     return dense(build(lines(spark, sf_dir), spec, FLAG), spec, FLAG).select("flag", F.array_join("registers", ",").alias("registers"), "offset")
 
 
-def _dense_sql() -> str:
-    ctes = Q.registers_ctes(SPECS["kqsketch_shifted"], LINES, FLAG)
+def _dense_sql(name: str) -> str:
+    ctes = Q.registers_ctes(SPECS[name], LINES, FLAG)
     return f"WITH {', '.join(ctes)} SELECT flag, string_agg((r - low)::VARCHAR, ',' ORDER BY i) AS registers, any_value(low) AS \"offset\" FROM (SELECT *, min(r) OVER (PARTITION BY flag) AS low FROM registers) GROUP BY flag"
 
 
@@ -227,6 +232,99 @@ def dyn_query(spec: S.SketchSpec, post_update: bool, spark: SparkSession, sf_dir
     return rounded(build_ordered(events(spark, sf_dir), spec, TYPE, "x", "w", "o", on_invalid="drop", post_update=post_update))
 
 
+def dyn_verb_query(verb: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The direct and the Newton estimate of a kQSketchRoundedDyn are its running value."""
+    state = dyn(records(events(spark, sf_dir), KQDYN, TYPE, "x", "w", "o", on_invalid="drop"), KQDYN, TYPE)
+    return rounded(estimate_direct(state, KQDYN, TYPE) if verb == "direct" else newton(state, KQDYN, TYPE, "cold"))
+
+
+def null_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard where a key is null on both sides, and another is on one side alone."""
+    spec = SPECS["exp"]
+    rows = lines(spark, sf_dir).withColumn("flag", F.when(F.col("flag") != "N", F.col("flag")))
+    a, b = build(rows, spec, FLAG), build(rows.where("flag is null or (flag = 'A' and status = 'F')"), spec, FLAG)
+    return jaccard(a, b, spec, keys=FLAG).withColumn("jaccard", F.round("jaccard", 9))
+
+
+def _null_key_sql() -> str:
+    spec, rows = SPECS["exp"], f"SELECT * REPLACE (nullif(flag, 'N') AS flag) FROM ({LINES})"
+    a, b = (f"(WITH {', '.join(Q.registers_ctes(spec, s, FLAG))} SELECT flag, i, r FROM registers)" for s in (rows, f"SELECT * FROM ({rows}) WHERE flag IS NULL OR (flag = 'A' AND status = 'F')"))
+    return f"""SELECT a.flag, round(count(*) FILTER (a.r = b.r) / {spec.m}.0::DOUBLE, 9) AS jaccard
+    FROM {a} a LEFT JOIN {b} b ON a.flag IS NOT DISTINCT FROM b.flag AND a.i = b.i GROUP BY 1"""
+
+
+MANY = ("exp", "exp_float32", "fast_exp", "qsketch", "kqsketch_shifted", "weighted_minhash", "weighted_hll", "hll")
+
+
+def many_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registers of several kinds from one pass over the lines."""
+    specs = {n: SPECS[n] for n in MANY}
+    many, out = build_many(lines(spark, sf_dir), specs, FLAG), None
+    for n, spec in specs.items():
+        one = shown(one_of(many, n, spec, FLAG), spec, *FLAG).select(F.lit(n).alias("sketch"), "flag", "i", F.round(F.col("r").cast("double"), 9).alias("r"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _many_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS sketch, flag, i, round(r::DOUBLE, 9) AS r FROM ({Q.registers_sql(SPECS[n], LINES, FLAG)})" for n in MANY)
+
+
+def all_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of every two event types' users that share a register."""
+    spec = SPECS["minhash"]
+    return all_pairs(build(events(spark, sf_dir), spec, TYPE), spec, "kind", 0.05).withColumn("jaccard", F.round("jaccard", 9))
+
+
+def _all_pairs_sql() -> str:
+    spec = SPECS["minhash"]
+    return f"""WITH {', '.join(Q.registers_ctes(spec, EVENTS, TYPE))}
+    SELECT * FROM (SELECT a.kind AS key_a, b.kind AS key_b, round(count(*) FILTER (a.r = b.r) / {spec.m}.0::DOUBLE, 9) AS jaccard
+    FROM registers a JOIN registers b ON a.i = b.i AND a.kind < b.kind GROUP BY 1, 2) WHERE jaccard >= 0.05"""
+
+
+def set_sizes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What finished and open lines have in common, and apart."""
+    spec = SPECS["exp"]
+    sides, keys = _halves(spec, spark, sf_dir)
+    got = set_sizes(*(build(x, spec, keys) for x in sides), spec, keys)
+    return got.select("flag", *[F.round(c, 3).alias(c) for c in got.columns if c != "flag"])
+
+
+def _set_sizes_sql() -> str:
+    spec = SPECS["exp"]
+    one = lambda t: f"(WITH {', '.join(Q.registers_ctes(spec, f'SELECT * FROM ({LINES}) WHERE {t}', FLAG))} SELECT flag, i, r FROM registers)"
+    m = spec.m
+    return f"""WITH j AS (SELECT coalesce(a.flag, b.flag) AS flag, a.r AS ra, b.r AS rb FROM {one("status = 'F'")} a FULL JOIN {one("status = 'O'")} b ON a.flag = b.flag AND a.i = b.i),
+    s AS (SELECT flag, coalesce({m - 1} / sum(ra), 0) AS a, coalesce({m - 1} / sum(rb), 0) AS b, {m - 1} / sum(least(coalesce(ra, rb), coalesce(rb, ra))) AS u, count(*) FILTER (ra = rb) / {m}.0::DOUBLE AS j FROM j GROUP BY flag)
+    SELECT flag, round(a, 3) AS size_a, round(b, 3) AS size_b, round(u, 3) AS size_union, round(u * j, 3) AS size_intersection, round(greatest(u - b, 0), 3) AS size_difference FROM s"""
+
+
+def moving_union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's estimate over that day and the two before, from the days' registers."""
+    spec, keys = S.ExpSketch(16), ["kind", "day"]
+    rows = events(spark, sf_dir).withColumn("day", F.datediff("ts", F.lit("2024-01-01")))
+    daily = build(rows, spec, keys, on_invalid="drop")
+    return rounded(estimate(moving_union(daily, spec, TYPE, "day", 2), spec, keys)).withColumn("day", F.col("day").cast("int"))
+
+
+def _moving_union_sql() -> str:
+    spec = S.ExpSketch(16)
+    ctes = Q.registers_ctes(spec, f"SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS day FROM ({WEIGHED})", ["kind", "day"])
+    ctes += ["moved AS (SELECT a.kind, a.day, b.i, min(b.r) AS r FROM (SELECT DISTINCT kind, day FROM registers) a JOIN registers b ON a.kind = b.kind AND b.day BETWEEN a.day - 2 AND a.day GROUP BY ALL)"]
+    return f"WITH {', '.join(ctes)} SELECT kind, day, round({spec.m - 1} / sum(r), 3) AS estimate FROM moved GROUP BY kind, day"
+
+
+def error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relative error of the estimate against the truth, by flag."""
+    got = estimate_query(SPECS["exp"], spark, sf_dir).join(exact_cardinality(spark, sf_dir), "flag")
+    return got.select("flag", F.round(F.abs(F.col("estimate") - F.col("total")) / F.col("total"), 9).alias("error"))
+
+
+def _error_sql() -> str:
+    return f"SELECT flag, round(abs(estimate - total) / total, 9) AS error FROM ({Q.estimate_sql(SPECS['exp'], LINES, FLAG)}) JOIN (SELECT flag, sum(w) AS total FROM (SELECT flag, x, max(w) AS w FROM ({LINES}) GROUP BY flag, x) GROUP BY flag) USING (flag)"
+
+
 def quantize_query(mode: S.QuantizationMode, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices in a custom float of five exponent and six mantissa bits."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 7919.0).alias("v"))
@@ -325,8 +423,7 @@ for _name, _spec in SPECS.items():
     _add(f"estimate_{_name}", partial(estimate_query, _spec), Q.estimate_sql(_spec, _sql, _keys))
     if _spec.has_jaccard:
         _add(f"jaccard_{_name}", partial(jaccard_query, _spec), _jaccard_sql(_spec))
-    if _spec.is_weighted:
-        _add(f"merge_{_name}", partial(merge_query, _spec), Q.registers_sql(_spec, LINES, FLAG))
+    _add(f"merge_{_name}", partial(merge_query, _spec), Q.registers_sql(_spec, _sql, _keys))
 for _name in ("exp", "weighted_hll", "kqsketch_shifted"):
     _add(f"rollup_{_name}", partial(rollup_query, SPECS[_name]), Q.estimate_sql(SPECS[_name], LINES, ["status"]))
 for _name in ("exp", "exp_float32", "fast_exp_custom_float", "logexp_fast_noshift", "logexp_slow_shifted", "qsketch", "kqsketch_shifted", "weighted_hll", "hll"):
@@ -340,10 +437,20 @@ for _name in ("kqsketch", "kqsketch_shifted"):
 _add("corrected_kqsketch_rounding", corrected_query, _corrected_sql())
 _add("cube_exp", cube_query, _cube_sql())
 _add("clone_with", clone_query, Q.registers_sql(SPECS["fast_exp_custom_float"].with_(exp_bits=7, mant_bits=5), LINES, FLAG))
-_add("dense_registers", dense_query, _dense_sql())
+for _name, _of in (("dense_registers", "kqsketch_shifted"), ("dense_logexp_slow_shifted", "logexp_slow_shifted"), ("dense_logexp_fast_shifted", "logexp_fast_shifted")):
+    _add(_name, partial(dense_query, _of), _dense_sql(_of))
 _add("martingale_minhash", martingale_query, Q.martingale_sql(MARTINGALE, EVENTS, TYPE))
 _add("qsketch_dyn", partial(dyn_query, QDYN, False), Q.dyn_sql(QDYN, WEIGHED, TYPE))
 _add("qsketch_dyn_post_update", partial(dyn_query, QDYN, True), Q.dyn_sql(QDYN, WEIGHED, TYPE, True))
+_add("qsketch_dyn_gseed", partial(dyn_query, QDYN.with_(g_seed=7), False), Q.dyn_sql(QDYN.with_(g_seed=7), WEIGHED, TYPE))
+_add("direct_kqsketch_rounded_dyn", partial(dyn_verb_query, "direct"), Q.dyn_sql(KQDYN, WEIGHED, TYPE))
+_add("newton_kqsketch_rounded_dyn", partial(dyn_verb_query, "newton"), f"SELECT *, 0::INTEGER AS iterations FROM ({Q.dyn_sql(KQDYN, WEIGHED, TYPE)})")
+_add("jaccard_null_key", null_key_query, _null_key_sql())
+_add("several_sketches", many_query, _many_sql())
+_add("all_pairs_similarity", all_pairs_query, _all_pairs_sql())
+_add("set_sizes", set_sizes_query, _set_sizes_sql())
+_add("moving_union", moving_union_query, _moving_union_sql())
+_add("relative_error", error_query, _error_sql())
 _add("kqsketch_rounded_dyn", partial(dyn_query, KQDYN, False), Q.dyn_sql(KQDYN, WEIGHED, TYPE))
 for _mode in S.QuantizationMode:
     _add(f"quantize_{_mode.value.lower()}", partial(quantize_query, _mode), _quantize_sql(_mode))

@@ -193,8 +193,8 @@ def records_ctes(spec: SketchSpec, source: str, keys: list[str]) -> list[str]:
         out += mixer_sql("mx", f"(SELECT *, t.i AS i FROM hashed, range({m}) AS t(i))", "i")
         out += [f"vals AS (SELECT *, -ln({UNIT}) AS r FROM mx)"]
     else:
-        out += mixer_sql("bx", "hashed", str(2 * m))
-        out += [f"bu AS (SELECT * EXCLUDE z, ((z >> 12) % {m})::INTEGER AS i FROM bx)"]
+        out += mixer_sql("bx", f"(SELECT * REPLACE ({hash_sql(spec.g_seed)} AS h) FROM hashed)", str(2 * m))
+        out += [f"bu AS (SELECT * EXCLUDE z REPLACE ({hash_sql(spec.seed)} AS h), ((z >> 12) % {m})::INTEGER AS i FROM bx)"]
         out += mixer_sql("gx", "bu", str(2 * m + 1))
         out += [f"vals AS (SELECT *, {value_sql(spec, f'(-ln({UNIT}) / w)')} AS r FROM gx)"]
     join, test = ("min", "before IS NULL OR r < before") if spec.traits.least else ("max", "r > before")

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.memory import pack, register_bits, unpack
+from ..functions.memory import code_values, float_codes, pack, register_bits, unpack
 from ..operators.combine import dense
-from ..operators.registers import names
+from ..operators.keys import names, quoted
 from ..spec import SketchSpec
 
 
@@ -30,19 +30,21 @@ STATE = "spec string, registers binary, offset int"
 
 
 def to_state(registers: DataFrame, spec: SketchSpec, keys=()) -> DataFrame:
-    """``keys, spec, registers, offset``: one self-describing row per key, integer registers bit-packed."""
+    """``keys, spec, registers, offset``: one self-describing row per key, integer and custom-float registers bit-packed."""
     keys = names(keys)
     said, bits = json.dumps(spec.to_dict(), sort_keys=True), register_bits(spec)
     integer, low = spec.traits.value == "int", min(0, spec.r_min) if spec.amount_bits and not spec.kind.endswith("Shifted") else 0
 
     @F.pandas_udf("binary")
     def packed(rows: pd.Series) -> pd.Series:
+        if spec.exp_bits is not None:
+            return rows.map(lambda r: pack(float_codes(r, spec.exp_bits, spec.mant_bits), bits))
         if not integer:
             return rows.map(lambda r: np.asarray(r, "<f4" if spec.traits.value == "float" else "<f8").tobytes())
         return rows.map(lambda r: pack(np.clip(np.asarray(r, np.int64) - low, 0, (1 << bits) - 1), bits))
 
     got = dense(registers, spec, keys)
-    return got.select(*keys, F.lit(said).alias("spec"), packed("registers").alias("registers"), "offset")
+    return got.select(*map(quoted, keys), F.lit(said).alias("spec"), packed("registers").alias("registers"), "offset")
 
 
 def from_state(state: DataFrame, spec: SketchSpec, keys=()) -> DataFrame:
@@ -54,12 +56,14 @@ def from_state(state: DataFrame, spec: SketchSpec, keys=()) -> DataFrame:
 
     @F.pandas_udf(f"array<{kind}>")
     def opened(rows: pd.Series) -> pd.Series:
+        if spec.exp_bits is not None:
+            return rows.map(lambda r: code_values(unpack(r, bits, spec.m), spec.exp_bits, spec.mant_bits))
         if not integer:
             return rows.map(lambda r: np.frombuffer(r, "<f4" if spec.traits.value == "float" else "<f8"))
         return rows.map(lambda r: (unpack(r, bits, spec.m).astype(np.int64) + low).astype(np.int32))
 
     same = F.when(F.col("spec") == said, F.col("registers")).otherwise(F.raise_error(F.lit("the stored sketch has other parameters")))
-    got = state.select(*keys, "offset", F.posexplode(opened(same)).alias("i", "r"))
+    got = state.select(*map(quoted, keys), "offset", F.posexplode(opened(same)).alias("i", "r"))
     if integer:
         got = got.withColumn("r", (F.col("r") + F.col("offset")).cast("int"))
     missing = {"WeightedMinHash": 0.0, "HyperLogLog": 0}.get(spec.kind)
@@ -71,7 +75,7 @@ def from_state(state: DataFrame, spec: SketchSpec, keys=()) -> DataFrame:
         got = got.where(F.col("r") < spec.capacity)
     elif spec.amount_bits and not spec.kind.endswith("Shifted"):
         got = got.where(F.col("r") > spec.r_min)
-    return got.select(*keys, "i", "r")
+    return got.select(*map(quoted, keys), "i", "r")
 
 
 def save(registers: DataFrame, spec: SketchSpec, path: str, keys=(), mode: str = "errorifexists") -> None:

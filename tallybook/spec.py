@@ -106,6 +106,8 @@ class SketchSpec:
             raise ValueError("m must be a positive integer")
         if not 0 <= self.seed < 1 << 64:
             raise ValueError("the seed must be an unsigned 64-bit integer")
+        if not 0 <= self.g_seed < 1 << 64:
+            raise ValueError("g_seed must be an unsigned 64-bit integer")
         for name in self.traits.needs:
             if getattr(self, name) is None:
                 raise ValueError(f"{self.kind} needs {name}")

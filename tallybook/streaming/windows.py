@@ -17,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.hashing import wrapping
 from ..operators.estimate import reconstructed
 from ..operators.ordered import DynState
-from ..operators.registers import _bucket, _independent, bucket_columns, names, register_value
+from ..operators.keys import by_inner_names, column, inner, names, outward
+from ..operators.registers import _bucket, _independent, bucket_columns, register_value
 from ..spec import SketchSpec
 
 
@@ -28,19 +29,20 @@ def window_registers(df: DataFrame, spec: SketchSpec, window: Column, keys: str
     registers; those with ordered registers have the distribution of ``ExpSketch``. A weight that is not finite
     and positive is dropped, since an error would end the stream.
     """
-    keys = names(keys)
+    outer, keys = names(keys), inner(names(keys))
     if spec.traits.family not in ("independent", "bucket"):
         raise ValueError(f"{spec.kind} has no windowed form: use ExpSketch, which has the same distribution")
     with wrapping(df.sparkSession):
         rows = df.withColumn(time, F.col(time).cast("timestamp"))
         if df.isStreaming:
             rows = rows.withWatermark(time, delay)
-        weight = F.col(w).cast("double") if w is not None and spec.is_weighted else F.lit(1.0)
-        rows = rows.select(*keys, time, F.col(x).cast("string").alias("_x"), weight.alias("_w")).where(F.col("_x").isNotNull() & (F.col("_w") > 0) & (F.col("_w") < float("inf")))
+        weight = column(df, w).cast("double") if w is not None and spec.is_weighted else F.lit(1.0)
+        rows = rows.select(*[column(df, k).alias(n) for k, n in zip(outer, keys)], time, column(df, x).cast("string").alias("_x"), weight.alias("_w")).where(F.col("_x").isNotNull() & (F.col("_w") > 0) & (F.col("_w") < float("inf")))
         spread = (_bucket if spec.traits.family == "bucket" else _independent)(rows, spec, [*keys, time])
-        return spread.groupBy(window.alias("window"), *keys, "i").agg((F.min if spec.traits.least else F.max)("r").alias("r"))
+        return outward(spread.groupBy(window.alias("window"), *keys, "i").agg((F.min if spec.traits.least else F.max)("r").alias("r")), outer)
 
 
+@by_inner_names
 def window_sums(registers: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:
     """``window, keys, estimate`` of sketches whose estimate is (m-1) over a sum; a second aggregation in one stream."""
     keys = names(keys)

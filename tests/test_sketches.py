@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import tallybook as tb
+from tallybook.functions.hashing import wrapping
 from tallybook.operators.ordered import DynState, build_ordered, dyn, records
+from tallybook.operators.registers import bucket_columns, register_value
 from tallybook.sources import generators
 
 M400 = {
@@ -267,3 +269,142 @@ def test_generator_errors_and_measures(spark):
     assert got == [pytest.approx(0.1), 10, 10, 10, 10]
     rse = generators.experiment(spark, lambda m: tb.ExpSketch(m), [32, 64], 50, 10.0, 60, "zipf").collect()
     assert [r.m for r in rse] == [32, 64] and all(0.4 < r.rse * math.sqrt(r.m - 2) < 1.8 for r in rse)
+
+
+def test_keys_may_have_any_name(spark):
+    rows = generators.weighted_stream(spark, 60, 100.0, "uniform", 4).withColumn("seq", F.col("pos"))
+    spec, dyn_spec = tb.ExpSketch(8), tb.QSketchDyn(8, 42, 8)
+    key = F.when(F.col("pos") % 3 > 0, F.col("pos") % 3)  # null, 1, 2
+    plain = rows.withColumn("k", key)
+    want = as_dict(tb.build(plain, spec, ["k"]), "k")
+    estimates = {r.k: r.estimate for r in tb.estimate(tb.build(plain, spec, ["k"]), spec, ["k"]).collect()}
+    ordered = {r.k: r.estimate for r in tb.build_ordered(plain, dyn_spec, ["k"]).collect()}
+    assert len(estimates) == len(ordered) == 3
+    for name in ("_h", "_x", "_w", "_g", "_s", "_n", "_k", "_o", "_ra", "a.b", "a`b", "_key0_", "before"):
+        for method in ("relational", "arrow"):
+            got = tb.build(rows.withColumn(name, key), spec, [name], method=method)
+            assert got.columns == [name, "i", "r"]
+            assert {(k, i): r for k, i, r in map(tuple, got.collect())} == pytest.approx(want)
+        assert dict(map(tuple, tb.estimate(got, spec, [name]).collect())) == pytest.approx(estimates)
+        assert set(map(tuple, tb.jaccard(got, got, spec, keys=[name]).collect())) == {(k, 1.0) for k in estimates}
+        assert dict(map(tuple, tb.build_ordered(rows.withColumn(name, key), dyn_spec, [name]).collect())) == pytest.approx(ordered)
+        assert tb.merge([(got, spec), (got, spec)], [name]).count() == tb.rollup(got, spec, [name]).count() == len(want)
+    for name in ("i", "r"):
+        with pytest.raises(ValueError):
+            tb.build(rows.withColumn(name, key), spec, [name])
+
+
+def test_jaccard_of_null_and_one_sided_keys(spark):
+    spec = tb.ExpSketch(16)
+    a = tb.build(spark.createDataFrame([(None, "x", 1.0), ("p", "x", 1.0), ("q", "x", 1.0)], "k string, x string, w double"), spec, ["k"])
+    b = tb.build(spark.createDataFrame([(None, "x", 1.0), ("q", "y", 1.0), ("z", "y", 1.0)], "k string, x string, w double"), spec, ["k"])
+    got = dict(map(tuple, tb.jaccard(a, b, spec, keys=["k"]).collect()))
+    assert got == {None: 1.0, "p": 0.0, "q": 0.0, "z": 0.0}
+    assert tb.jaccard(a.limit(0), b.limit(0), spec, keys=["k"]).count() == 0
+    assert tb.jaccard(a.limit(0), b.limit(0), spec).first()[0] == 1.0  # two empty sketches
+    sizes = {r.k: r for r in tb.set_sizes(a, b, spec, ["k"]).collect()}
+    assert sizes[None].size_difference == 0 and sizes["p"].size_b == 0 and sizes["p"].size_difference == sizes["p"].size_a == sizes["p"].size_union
+    assert tb.all_pairs(a, spec, "k").collect() == [("p", "q", 1.0)]
+
+
+def test_ordered_sketches_deal_out_few_rows(spark):
+    from tallybook.operators import ordered
+
+    n = 20_000
+    rows = generators.weighted_stream(spark, n, 1e4, "uniform", 3).withColumnRenamed("pos", "seq").repartition(4).cache()
+    seen = []
+    own = ordered.own_records
+    try:
+        ordered.own_records = lambda *a: seen.append(own(*a)) or seen[-1]
+        for spec, weight in ((tb.MartingaleMinHash(32), None), (tb.QSketchDyn(32, 42, 8), "w"), (tb.kQSketchRoundedDyn(32, 42, 8, 1.5), "w")):
+            whole = {(r._o, r.i): r.r for r in records(rows, spec, (), "x", weight).collect()}
+            few = seen[-1].count()
+            batches = -(-n // 4 // 10_000) * 4
+            assert len(whole) <= few <= 4 * batches * 32 * (1 + math.log(n)) < n * (32 if weight is None else 1)
+            # the same records as without tasks that leave rows out
+            every = {}
+            for r in sorted(seen[-1].collect(), key=lambda r: (r._o, r._x)):
+                held = every.setdefault(r.i, [])
+                if not held or (r.r < held[-1][1] if weight is None else r.r > held[-1][1]):
+                    held.append((r._o, r.r))
+            assert whole == {(o, i): r for i, x in every.items() for o, r in x}
+    finally:
+        ordered.own_records = own
+
+
+def test_records_match_a_loop(spark):
+    spec = tb.QSketchDyn(4, 42, 8)
+    rows = generators.weighted_stream(spark, 500, 300.0, "exponential", 8).withColumn("seq", F.col("pos") % 50).repartition(3)
+    got = sorted((r._o, r._x, r.i, r.r, r.before) for r in records(rows, spec).collect())
+    with wrapping(spark):
+        one = bucket_columns(rows.select("seq", F.col("x").alias("_x"), F.col("w").alias("_w")), spec, [], "seq", "_x")
+        one = one.select("seq", "_x", "_w", "i", register_value(spec, F.col("_g")).alias("r"))
+    held, want = {}, []
+    for r in sorted(one.collect(), key=lambda r: (r.seq, r._x, r._w)):
+        before = held.get(r.i, spec.r_min)
+        if r.r > before:
+            want.append((r.seq, r._x, r.i, r.r, before))
+            held[r.i] = r.r
+    assert got == sorted(want)
+
+
+def test_g_seed_chooses_other_registers(rows):
+    one, two = (tb.QSketchDyn(16, 42, 8, g_seed=s) for s in (42, 7))
+    a, b = (build_ordered(rows, s, ["g"], order="x").collect() for s in (one, two))
+    assert {r.estimate for r in a}.isdisjoint({r.estimate for r in b})
+    with pytest.raises(ValueError):
+        tb.QSketchDyn(16, 42, 8, g_seed=-1)
+
+
+def test_rounded_dyn_verbs_need_the_running_value(rows):
+    spec = tb.kQSketchRoundedDyn(200, 42, 8, 1.5)
+    changes = records(rows, spec, ["g"], order="x")
+    state = dyn(changes, spec, ["g"])
+    running = {r.g: r.estimate for r in state.collect()}
+    assert running["even"] == pytest.approx(1e4, rel=0.3)
+    assert {r.g: r.estimate for r in tb.estimate_direct(state, spec, ["g"]).collect()} == running
+    assert {(r.g, r.iterations): r.estimate for r in tb.newton(state, spec, ["g"], "warm").collect()} == {(g, 0): e for g, e in running.items()}
+    for verb in (tb.estimate, tb.estimate_direct, tb.newton):
+        with pytest.raises(ValueError):
+            verb(tb.last_registers(changes, spec, ["g"]), spec, ["g"])
+
+
+@pytest.mark.parametrize("hash_", ["portable", "xx"])
+def test_several_sketches_in_one_pass(rows, hash_):
+    specs = {k: s.with_(m=24, hash=hash_) for k, (s, _) in M400.items()}
+    many = tb.build_many(rows, specs, ["g"]).cache()
+    for kind, spec in specs.items():
+        close(as_dict(tb.one_of(many, kind, spec, ["g"]), "g"), as_dict(sketched(spec, rows), "g"), spec.traits.value)
+    for bad in ({}, {"a": tb.ExpSketch(4), "b": tb.ExpSketch(4, 1)}, {"a": tb.QSketchDyn(4, 42, 8)}):
+        with pytest.raises(ValueError):
+            tb.build_many(rows, bad, ["g"])
+    assert tb.build_many(rows.limit(0), specs).count() == 0
+
+
+def test_custom_floats_are_stored_in_their_bits(rows):
+    for spec in (tb.FastExpSketchCustomFloat(64, 42, 8, 7), tb.WeightedHyperLogLogCustomFloat(500, 42, 5, 3)):
+        registers = sketched(spec, rows)
+        state = tb.to_state(registers, spec, ["g"])
+        assert {len(r.registers) for r in state.collect()} == {(spec.m * (spec.exp_bits + spec.mant_bits) + 7) // 8}
+        most = max(r.r for r in registers.collect())
+        want = {k: v for k, v in as_dict(registers, "g").items() if v < most or spec.m == 64}
+        got = as_dict(tb.from_state(state, spec, ["g"]), "g")
+        assert {k: got.get(k) for k in want} == want
+
+
+def test_moving_union_is_the_union_of_the_range(spark):
+    spec = tb.HyperLogLog(16)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"x{rng.integers(40)}", int(t), None if t % 2 else "k") for t in rng.integers(0, 12, 80)], "x string, t long, k string")
+    daily = tb.build(df, spec, ["k", "t"], "x", None)
+    got = {}
+    for r in tb.moving_union(daily, spec, ["k"], "t", 3).collect():
+        got.setdefault((r.k, r.t), {})[r.i] = r.r
+    times = {(r.k, r.t) for r in df.collect()}
+    for k, t in times:
+        some = df.where(F.col("k").eqNullSafe(F.lit(k)) & F.col("t").between(t - 3, t))
+        assert got[k, t] == {r.i: r.r for r in tb.build(some, spec, (), "x", None).collect()}
+    assert got.keys() == times
+    whole = tb.moving_union(tb.build(df, spec, ["t"], "x", None), spec, (), "t", 100)
+    last = max(t for _, t in times)
+    assert {r.i: r.r for r in whole.where(F.col("t") == last).collect()} == {r.i: r.r for r in tb.build(df, spec, (), "x", None).collect()}
