@@ -260,8 +260,7 @@ def _least_rows(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFr
     return out.select("all.*")
 
 _HOT_DOCS, _HOT_LEAST, _HOT_MOST = 10_000, 5, 200_000  # sampled documents, in how many of them a shingle is hot, longest list
-_MAP_BITS = 26  # of the bitmap of candidates
-_STEPS = 4  # nearest rows of a group that the first round meets
+_NEAREST = 8  # rows that one outside its group's largest component meets before it meets all
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
@@ -288,7 +287,7 @@ def _over_texts(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [x for t in text_bytes(batch.column(0)) if (x := rows(numbered(shingle_hashes(t, size)))) is not None]
+            made = [rows(numbered(shingle_hashes(t, size))) for t in text_bytes(batch.column(0))]
             if made:
                 columns = [np.concatenate(x) for x in zip(*made)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
@@ -296,153 +295,261 @@ def _over_texts(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``run, node, n, bits``: of each text as many shingles, the rarest first, that two texts alike must share one.
+def _hot(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents of a sample hold, sorted, and about how many of all documents hold them.
 
-    Any order that all texts share is right; hot shingles of a sample come last, so that few groups are large.
+    The sample only orders shingles and steers where rows go; links are the same without it.
     """
     every = max(1, docs.count() // _HOT_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     hot = _over_texts(sample, size, "run long", lambda runs: (runs,)).groupBy("run").count().where(F.col("count") >= _HOT_LEAST)
-    hot = hot.orderBy(F.desc("count"), "run").limit(_HOT_MOST).toPandas()  # at most _HOT_MOST rows
-    by_hash = np.argsort(hot["run"].to_numpy(np.int64))
-    sent = docs.sparkSession.sparkContext.broadcast((hot["run"].to_numpy(np.int64)[by_hash], (len(hot) - by_hash).astype(np.int64)))
-
-    def rows(runs: np.ndarray):
-        n = len(runs)
-        if not n:
-            return None
-        known, rank = sent.value
-        late = np.zeros(n, np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-            late = np.where(known[at] == runs, rank[at], 0)
-        least = int(np.ceil(similarity * n - 1e-9))
-        some = runs[np.lexsort((runs, late))[: n - least + 1]]
-        return some, np.full(len(some), _node(runs)), np.full(len(some), n, np.int32), np.full(len(some), majority(runs.view(np.uint64)))
-
-    return _over_texts(docs, size, "run long, node long, n int, bits long", rows)
-
-
-def _meetings(similarity: float, radius: int, steps: int | None):
-    """Pairs of one group that may be alike by length and fingerprint, in rows sorted by ``run, n, node``.
-
-    With ``steps`` each row meets so many next ones; the rows of groups that are larger follow as ``node, run, n, bits``.
-    Without, all rows of a group meet those of other components (column ``root``).
-    """
+    hot = hot.orderBy(F.desc("count"), "run").limit(_HOT_MOST).toPandas().sort_values("run")  # at most _HOT_MOST rows
+    return hot["run"].to_numpy(np.int64), hot["count"].to_numpy(np.int64) * every
 
-    def pairs(run, node, n, bits, root):
-        own = np.ones(len(run), bool)
-        own[1:] = (np.diff(run) != 0) | (np.diff(node) != 0)  # copies of a text are one node
-        run, node, n, bits, root = (x[own] for x in (run, node, n, bits, root))
-        at, d = np.arange(len(run)), 1
-        while True:
-            at = at[at + d < len(run)]
-            at = at[(run[at] == run[at + d]) & (n[at] >= similarity * n[at + d] - 1e-9)]
-            if not len(at):
-                return
-            if steps and d > steps:
-                large = np.isin(run, run[at])
-                yield node[large], run[large], n[large], bits[large]
-                return
-            near = at[(np.bitwise_count((bits[at] ^ bits[at + d]).view(np.uint64)) <= radius) & (root[at] != root[at + d])]
-            if len(near):
-                a, b = node[near], node[near + d]
-                both = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
-                yield both[:, 0], both[:, 1], np.zeros(len(both), np.int32), np.zeros(len(both), np.int64)
-            d += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        waiting = 0
+def _texts(rows: DataFrame, size: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``doc_id, _row, node, n, bits, t, prefix`` of rows ``doc_id, _row, t, _text``.
 
-        def out(rows):
-            for x in pairs(*rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "n", "bits"])
+    ``prefix`` has as many of a text's shingles, the rarest first, that two texts alike must share one. Any order that
+    all texts share is right; hot shingles come last, so that few groups are large.
+    """
+    small_batches(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(hot)
+    schema = rows.select("doc_id", "_row", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bits"), "t", F.lit(None).cast("array<long>").alias("prefix")).schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [batch.column(k).to_numpy() for k in range(5)]
-            held.append(part)
-            waiting += batch.num_rows
-            if waiting < 1 << 17 or (part[0][0] == part[0][-1] and held[0][0][0] == part[0][-1]):
+            node, n, bits, prefix = [], [], [], []
+            for text in text_bytes(batch.column(3)):
+                runs = numbered(shingle_hashes(text, size))
+                late = np.zeros(len(runs), np.int64)
+                if len(known) and len(runs):
+                    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+                    late = np.where(known[at] == runs, often[at], 0)
+                least = int(np.ceil(similarity * len(runs) - 1e-9))
+                node.append(_node(runs))
+                n.append(len(runs))
+                bits.append(majority(runs.view(np.uint64)))
+                prefix.append(runs[np.lexsort((runs, late))[: len(runs) - least + 1]] if len(runs) else runs)
+            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefix])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.int64()), batch.column(2), lists], names=["doc_id", "_row", "node", "n", "bits", "t", "prefix"])
+
+    return rows.select("doc_id", "_row", "t", "_text").mapInArrow(run, schema)
+
+
+def _group_chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first, in chunks that hold whole groups."""
+    held: list[list[np.ndarray]] = []
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [batch.column(k).to_numpy() for k in range(width)]
+        held.append(part)
+        waiting += batch.num_rows
+        if waiting < 1 << 17 or held[0][0][0] == part[0][-1]:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1  # the last group may go on
+        yield [x[:cut] for x in rows]
+        held, waiting = [[x[cut:] for x in rows]], len(rows[0]) - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
+
+class _Pairs:
+    """Which rows may be alike by length and fingerprint, each pair of nodes once a chunk."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, radius: int):
+        self.node, self.n, self.bits, self.similarity, self.radius = node, n, bits, similarity, radius
+        self.found: list[np.ndarray] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        near = (np.minimum(self.n[i], self.n[j]) >= self.similarity * np.maximum(self.n[i], self.n[j]) - 1e-9) & (self.node[i] != self.node[j])
+        i, j = i[near], j[near]
+        near = _distance(self.bits[i], self.bits[j]) <= self.radius
+        a, b = self.node[i[near]], self.node[j[near]]
+        self.found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b))))
+
+    def rows(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty((0, 2), np.int64), *self.found]), axis=0)
+
+
+_MET = "a long, b long, run long, n int, bits long"
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    none = np.zeros(len(pairs), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], pairs[:, 1], none, none.astype(np.int32) - 1, none)], names=["a", "b", "run", "n", "bits"])
+
+
+def _meet_center(similarity: float, radius: int):
+    """In rows ``place, run, n, node, bits`` by place: each meets the next one and its group's center, the row nearest to the
+    bits that most rows of the group have. Near copies of one text differ more from each other than from that text.
+
+    Rows of groups over two follow as ``a = node, run, n, bits``; pairs have ``n = -1``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, run_, n, node, bits in _group_chunks(batches, 5):
+            first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+            size = np.diff(np.append(first, len(place)))
+            some = np.repeat(size > 1, size)  # most shingles have one text
+            run_, n, node, bits, size = run_[some], n[some], node[some], bits[some], size[size > 1]
+            if not len(size):
                 continue
-            rows = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1  # the last group may go on
-            yield from out([x[:cut] for x in rows])
-            held, waiting = [[x[cut:] for x in rows]], len(rows[0]) - cut
-        if held:
-            yield from out([np.concatenate(x) for x in zip(*held)])
+            first = np.concatenate(([0], np.cumsum(size)[:-1]))
+            group = np.repeat(np.arange(len(size)), size)
+            pairs = _Pairs(node, n, bits, similarity, radius)
+            following = np.flatnonzero(group[1:] == group[:-1])
+            pairs.add(following, following + 1)
+            most = np.zeros(len(size), np.uint64)
+            for k in range(64):
+                ones = np.add.reduceat((bits.view(np.uint64) >> np.uint64(k)) & np.uint64(1), first)
+                most |= (2 * ones > size).astype(np.uint64) << np.uint64(k)
+            rank = _distance(bits, most.view(np.int64)[group]).astype(np.int64) << 40 | np.arange(len(bits))
+            center = np.minimum.reduceat(rank, first) & ((1 << 40) - 1)
+            pairs.add(np.arange(len(bits)), center[group])
+            yield _pair_batch(pairs.rows())
+            more = np.repeat(size > 2, size)
+            if more.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (node, node, run_, n, bits)], names=["a", "b", "run", "n", "bits"])
+
+    return run
+
+
+def _meet_others(similarity: float, radius: int, nearest: int | None):
+    """In rows ``place, tag, n, node, bits, root`` by place and tag: rows meet those of other components.
+
+    With ``nearest``, a row outside its group's largest component meets that many, by bits. Without, each of these
+    meets all rows; rows with tag 1 are guests from other parts of their group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, tag, n, node, bits, root in _group_chunks(batches, 6):
+            first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(place)]):
+                roots, counts = np.unique(root[s:e], return_counts=True)
+                if len(roots) < 2:
+                    continue
+                pairs = _Pairs(node, n, bits, similarity, radius)
+                home = s + np.flatnonzero(tag[s:e] == 0)
+                rest = s + np.flatnonzero((root[s:e] != roots[counts.argmax()]) | (tag[s:e] == 1))
+                step = max(1, (1 << 22) // max(1, len(home)))
+                for at in range(0, len(rest), step):
+                    part = rest[at : at + step]
+                    apart = root[part][:, None] != root[home][None, :]
+                    if nearest is None:
+                        i, j = np.nonzero(apart)
+                    else:
+                        far = np.where(apart, _distance(bits[part][:, None], bits[home][None, :]).astype(np.int64), 99)
+                        k = min(nearest, len(home))
+                        j = np.argpartition(far, k - 1, axis=1)[:, :k].ravel()
+                        i = np.repeat(np.arange(len(part)), k)
+                        i, j = i[apart[i, j]], j[apart[i, j]]
+                    pairs.add(part[i], home[j])
+                    if sum(map(len, pairs.found)) > 1 << 20:
+                        yield _pair_batch(pairs.rows())
+                        pairs.found.clear()
+                yield _pair_batch(pairs.rows())
 
     return run
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of the pairs ``(a, b)`` of nodes those whose shingles are alike, by exact comparison."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    place = F.col("node").bitwiseAND((1 << _MAP_BITS) - 1)
-    words = nodes.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("m")).toPandas()  # at most 2 ** 20 rows
-    bitmap = np.zeros(1 << _MAP_BITS - 6, np.int64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
+    texts = docs.select(F.col("text").cast("string").alias("_text"), F.xxhash64("text").alias("t"))
+    texts = texts.join(wanted.select("t"), "t", "left_semi")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of copies one is enough
         for batch in batches:
-            got, nodes = [], []
-            for t in text_bytes(batch.column(0)):
-                runs = numbered(shingle_hashes(t, size))
-                k = _node(runs)
-                if sent.value[(k & (1 << _MAP_BITS) - 1) >> 6] >> (k & 63) & 1:
-                    nodes.append(k)
-                    got.append(runs)
+            got, names = [], []
+            for t, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                if t in seen:
+                    continue
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                seen.add(t)
+                got.append(numbered(shingle_hashes(text, size)))
+                names.append(_node(got[-1]))
             if got:
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["node", "runs"])
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["node", "runs"])
 
-    sets = docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(run, "node long, runs array<long>")
+    sets = texts.select("t", "_text").mapInArrow(run, "node long, runs array<long>")
     sets = written(sets.groupBy("node").agg(F.first("runs").alias("runs")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
 
 
-def similar_links(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], size: int = 5, similarity: float = 0.8, radius: int = 24, group_rows: int = 1 << 17) -> DataFrame:
     """Links ``(a, b)`` that join all nodes whose weighted shingle similarity is at least ``similarity``.
 
-    Candidates share one of their rarest shingles, which loses nothing, and have fingerprints within the radius; each is
-    compared exactly. Groups of a shingle first meet by nearest length; then only rows that are still in different
-    components meet, so that a group of copies does not make all its pairs.
+    Candidates share one of their rarest shingles, which loses nothing, and have fingerprints within the radius (by
+    exclusive-or and bit counts in tiles); each is compared exactly. The texts with a shingle form a group. First each
+    text meets its group's center; a text that is then outside the largest component meets those with the nearest
+    fingerprints, and only what is still apart meets all others. So a group of near copies costs a few pairs a text, not
+    all pairs. A group over ``group_rows`` texts, as the sample has it, is dealt out in parts: its center rounds run in each
+    part, and in the last round texts outside its largest component visit every part.
     """
-    out = "a long, b long, n int, bits long"
-    rows = _prefixes(docs, size, similarity).withColumn("root", F.col("node"))
-    met = written(rows.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(_meetings(similarity, radius, _STEPS), out), "meetings")
-    links = written(_alike(docs, met.where("n = 0").select("a", "b").distinct(), size, similarity), "alike")
-    large = met.where("n > 0").select(F.col("b").alias("run"), F.col("a").alias("node"), "n", "bits")
-    roots = components(links)
-    large = large.join(roots, "node", "left").select("run", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
-    more = large.repartition("run").sortWithinPartitions("run", "n", "node").mapInArrow(_meetings(similarity, radius, None), out)
-    more = written(more.select("a", "b").distinct(), "more")
-    return links if more.isEmpty() else links.unionByName(_alike(docs, more, size, similarity))
-
-
-def keep_one_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
+    spark = docs.sparkSession
+    nodes = written(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("t").alias("t")), "distinct-texts")
+    rows = nodes.select(F.explode("prefix").alias("run"), "n", "node", "bits")
+    known, often = hot
+    split = spark.createDataFrame([(r, -(-c * 2 // group_rows)) for r, c in zip(known.tolist(), often.tolist()) if c > group_rows], "run long, parts long")  # at most _HOT_MOST rows
+    few = F.broadcast(split)
+
+    def placed(df: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+        return df.join(few, "run", "left").withColumn("part", own).withColumn("place", F.xxhash64("run", "part"))
+
+    def dealt(df: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+        order = [c for c in ("place", "tag", "n", "node") if c in columns]
+        return df.select(*columns).repartition("place").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+    met = written(dealt(placed(rows), ["place", "run", "n", "node", "bits"], _meet_center(similarity, radius), _MET), "meetings")
+    links = written(_alike(docs, nodes, met.where("n = -1").select("a", "b").distinct(), size, similarity), "alike")
+    # a part of a split group may be a single row that still has to meet those of other parts
+    large = met.where("n >= 0").select("run", F.col("a").alias("node"), "n", "bits").join(few, "run", "left_anti")
+    large = large.unionByName(rows.select("run", "node", "n", "bits").join(few, "run", "left_semi"))
+    for nearest in (_NEAREST, None):
+        roots = components(links)
+        now = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("run")
+        large = written(now.join(apart, "run", "left_semi").select("run", "node", "n", "bits", "root"), "apart")
+        spread = placed(large).withColumn("tag", F.lit(0))
+        if nearest is None:
+            most = large.join(F.broadcast(split.select("run")), "run", "left_semi").groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", "count").alias("most"))
+            guests = large.join(few, "run").join(most, "run").where("root != most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            spread = spread.unionByName(guests.withColumn("place", F.xxhash64("run", "part")).withColumn("tag", F.lit(1)), allowMissingColumns=True)
+        more = written(dealt(spread, ["place", "tag", "n", "node", "bits", "root"], _meet_others(similarity, radius, nearest), _MET).select("a", "b").distinct(), "more")
+        if more.isEmpty():
+            continue
+        links = written(links.unionByName(_alike(docs, nodes, more, size, similarity)), "alike")
+    return links
+
+
+def keep_one_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, group_rows: int = 1 << 17) -> DataFrame:
     """As ``keep_one``, but the groups join documents by weighted shingle similarity, each link compared exactly.
 
-    Documents with the same shingles are one node, so texts without words (null, empty) are one group.
+    Documents with the same shingles are one node (up to collisions of 64-bit hashes), so texts without words (null,
+    empty) are one group.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", row_hash(docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
-    schema = rows.select("doc_id", "_row", F.lit(0).cast("long").alias("fp")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [_node(numbered(shingle_hashes(x, size))) for x in text_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.int64())], names=["doc_id", "_row", "fp"])
-
-    prints = written(rows.mapInArrow(run, schema), "nodes")
-    roots = components(similar_links(docs.select("text"), size, similarity, radius))
+    rows = docs.select("doc_id", row_hash(docs.columns).alias("_row"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("_text"))
+    hot = _hot(docs.select("text"), size)
+    texts = written(_texts(rows, size, similarity, hot), "texts")
+    roots = components(similar_links(docs.select("text"), texts, hot, size, similarity, radius, group_rows))
+    prints = texts.select("doc_id", "_row", F.col("node").alias("fp"))
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return _least_rows(docs, prints, rooted)
 

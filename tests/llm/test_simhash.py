@@ -135,8 +135,9 @@ def alike_groups(texts, size=5, similarity=0.8):
     return [find(k) for k in range(len(texts))]
 
 
-def test_keep_one_similar_joins_scattered_edits(spark):
-    """Copies with one-word edits all over, repeated words, a hot line, a chain, exact copies."""
+@pytest.mark.parametrize("group_rows", [1 << 17, 6])
+def test_keep_one_similar_joins_scattered_edits(spark, group_rows):
+    """Groups whole and in parts; copies with one-word edits all over, repeated words, a hot line, a chain, exact copies."""
     rng = random.Random(11)
     line = " ".join(f"hot{k}" for k in range(12))
     texts = [None, "", " ", "one", "one", "ha " * 60, "ha " * 70, "ha " * 90, line, line]
@@ -153,10 +154,31 @@ def test_keep_one_similar_joins_scattered_edits(spark):
         texts.append(" ".join(chain))
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     want = sorted(set(alike_groups(texts)))
-    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == want
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs, group_rows=group_rows).collect()) == want
     assert simhash.keep_one(docs).count() > len(want)
 
 
+def test_near_copies_of_one_text_cost_few_pairs_each(spark, monkeypatch):
+    """Near copies that are like the text that they come from, but less than 0.8 like each other; and some like a copy only."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), 3):
+            words[at] = f"e{rng.random()}"
+        if k % 40 == 0:
+            texts.append(" ".join(words))
+            for at in rng.sample(range(150), 3):
+                words[at] = f"e{rng.random()}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    met, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda docs, nodes, pairs, *a: met.append(pairs.count()) or alike(docs, nodes, pairs, *a))
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == sorted(set(alike_groups(texts)))
+    assert sum(met) < 20 * len(texts) < len(texts) ** 2 / 10
+
+
 def test_keep_one_similar_odd_rows(odd, odd_rows, empty):
     got = simhash.keep_one_similar(odd)
     assert got.columns == odd.columns and got.count() == len(set(alike_groups([r[1] for r in odd_rows])))
