@@ -1,10 +1,10 @@
 """URL filters (operator 6), with DataFrame functions only.
 
 A URL is expanded into its host's suffixes times those prefixes of its path whose length some rule has. The
-expressions meet the rules by an equi-join on the first four bytes of their SHA-256; the whole digest then
-confirms, and the longest rule wins. A row's expressions are aggregated again before they are dealt out, so
-a host that holds a third of all pages is one partial row per page. Rules are broadcast while they are few
-(``broadcast_rules``, counted); beyond that the distinct expressions meet them first.
+expressions meet the rules by the first four bytes of their SHA-256; the whole digest then confirms, and the longest
+rule wins. Up to ``in_row`` rules are a map in the plan that each row looks into: nothing is dealt out. With more, the
+distinct pairs of host and path are expanded (never whole pages), distinct expressions meet the rules by an equi-join,
+and the few that a rule has come back to them; what is replicated for hot hosts and pages is small.
 """
 
 from __future__ import annotations
@@ -34,12 +34,22 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _digests(expression: Column) -> tuple[Column, Column]:
-    whole = F.sha2(expression, 256)
-    return F.conv(F.substring(whole, 1, 8), 16, 10).cast("long"), whole
+def _expressions(host: Column, path: Column, sizes: list[int]) -> Column:
+    """SHA-256, in hex, of each suffix of the host with each prefix of the path that is as long as some rule's."""
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sizes]).cast("array<string>"), lambda p: p.isNotNull())
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat(h, F.lit("\n"), p), 256))))
+
+
+def _short(whole: Column) -> Column:
+    return F.conv(F.substring(whole, 1, 8), 16, 10).cast("long")
+
 
+_SALTS = 16  # copies of a matched rule, so that a hot expression or page is many keys
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", broadcast_rules: int = 100_000) -> DataFrame:
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", in_row: int = 200) -> DataFrame:
     """``pages`` with all columns and ``host, path, rule, verdict``, one row per row.
 
     ``rules`` has ``host, path, action``. A rule fits its host and all subdomains if the path starts with the
@@ -48,37 +58,45 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     default. Rules with a null are ignored, repeated ones count once. Columns of ``pages`` that are called like
     the new ones are replaced. Empty tables are fine.
     """
-    spark = pages.sparkSession
     new = ("host", "path", "rule", "verdict")
     keep = [c for c in pages.columns if c not in new]
     ruled = rules.where("host is not null and path is not null and action is not null")
-    ruled = ruled.select("host", "path", "action").distinct()
-    expression = F.concat("host", "path")
-    short, whole = _digests(F.concat_ws("\n", "host", "path"))
+    ruled = ruled.select(F.col("host").cast("string"), F.col("path").cast("string"), F.col("action").cast("string")).distinct()
+    expression, whole = F.concat("host", "path"), F.sha2(F.concat("host", F.lit("\n"), "path"), 256)
     ruled = ruled.select(
-        short.alias("r_short"), whole.alias("r_whole"),
+        whole.alias("whole"), F.length("path").alias("n"),
         F.struct(F.length(expression).alias("size"), F.length("host").alias("h_size"), F.col("action").alias("action"), expression.alias("rule")).alias("r"),
     )
-    # the lengths of rule paths: no more than the longest URL has characters
-    sizes = sorted(r[0] for r in rules.where("path is not null").select(F.length("path")).distinct().collect())
-    few = ruled.limit(broadcast_rules + 1).count() <= broadcast_rules
-
-    rows = pages.select(F.struct(*[f"`{c}`" for c in keep]).alias("_page"), F.monotonically_increasing_id().alias("_row"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes]).cast("array<string>"), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
-    expanded = rows.withColumn("e", F.explode_outer(pairs))
-    short, whole = _digests(F.col("e"))
-    expanded = expanded.withColumn("short", short).withColumn("whole", whole).drop("e")
-    fits = (F.col("short") == F.col("r_short")) & (F.col("whole") == F.col("r_whole"))
-    if few:
-        met = expanded.join(F.broadcast(ruled), fits, "left")
-    else:  # each distinct expression once, so no host or path is hot
-        known = expanded.select("short", "whole").distinct().join(ruled, fits).select("r_short", "r_whole", "r")
-        met = expanded.join(known, fits, "left")
-    best = met.groupBy("_row").agg(F.first("_page").alias("_page"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("r").alias("r"))
-    return best.select("_page.*", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.lit(default)).alias("verdict"))
+    # of rules that are alike but for the action one wins anyway
+    ruled = ruled.groupBy("whole", "n").agg(F.max("r").alias("r"))
+    # the lengths of rule paths: no more than the longest path has characters
+    sizes = sorted(r[0] for r in ruled.select("n").distinct().collect())
+    few = ruled.limit(in_row + 1).collect()  # so many at most
+    rows = pages.select(F.struct(*[f"`{c}`" for c in keep]).alias("_page"), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    wholes = _expressions(F.col("host"), F.col("path"), sizes)
+    if len(few) <= in_row:
+        by_short: dict[int, list] = {}
+        for rule in few:
+            by_short.setdefault(int(rule["whole"][:8], 16), []).append(F.struct(F.lit(rule["whole"]).alias("whole"), F.struct(*[F.lit(x).alias(k) for k, x in rule["r"].asDict().items()]).alias("r")))
+        kind = "array<struct<whole: string, r: struct<size: int, h_size: int, action: string, rule: string>>>"
+        entries = [x for short, some in by_short.items() for x in (F.lit(short).cast("long"), F.array(*some).cast(kind))]
+        if not entries:
+            best = F.lit(None).cast("struct<size: int, h_size: int, action: string, rule: string>")
+        else:
+            known = F.create_map(*entries)
+            hits = F.transform(wholes, lambda w: F.array_max(F.transform(F.filter(known[_short(w)], lambda x: x["whole"] == w), lambda x: x["r"])))
+            best = F.array_max(hits)
+        got = rows.withColumn("r", best)
+    else:
+        keys = [F.col("host"), F.col("path")]
+        expanded = rows.select("host", "path").distinct().withColumn("whole", F.explode(wholes)).withColumn("short", _short(F.col("whole")))
+        once = expanded.select("short", "whole").distinct()
+        met = once.join(ruled.select(_short(F.col("whole")).alias("short"), F.col("whole").alias("r_whole"), "r"), "short").where("whole = r_whole").select("short", "whole", "r")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+        fits = expanded.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")).join(met.select("*", salts), ["short", "whole", "salt"])
+        best = fits.groupBy("host", "path").agg(F.max("r").alias("r")).select("*", salts)
+        got = rows.withColumn("salt", F.pmod(F.xxhash64("_page"), F.lit(_SALTS)).cast("int")).join(best, ["host", "path", "salt"], "left")
+    return got.select("_page.*", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", F.lit(default)).alias("verdict"))
 
 
 def contract_rules(spark: SparkSession) -> DataFrame:
