@@ -43,23 +43,31 @@ def record_roles(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return rows.select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
 
-def _line(value: str) -> bytes:
-    """A header's value: controls would end it, so they are percent-escaped, and so is the escape."""
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value).encode()
+_UNFIT = re.compile(r"[\x00-\x1f\x7f]|^ | $")
 
 
-def _urn(page_id: int | None) -> bytes:
-    return b"<urn:page:%s>" % (b"null" if page_id is None else b"%d" % page_id)
+def _target(url: str | None) -> list[bytes]:
+    """The target line: the URL as it is. One with controls, or blanks at its ends, would not survive in a header: there
+    these and the percent sign are escaped, and a line of its own says so."""
+    if url is None:
+        return []
+    if not _UNFIT.search(url):
+        return [b"WARC-Target-URI: " + url.encode()]
+    return [b"WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url).encode(), b"X-Target-URI-Escaped: 1"]
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: HTTP response headers, and unless it is a revisit the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """One record: HTTP response headers, and unless it is a revisit the payload.
+
+    Its id is made from ``place``, the archive and offset, so no two records share one; page ids are in lines of their own.
+    A revisit names the page that it repeats, and its digest.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     head = [
-        b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + _urn(page_id), b"WARC-Date: " + _DATE.encode(),
-        *([b"WARC-Target-URI: " + _line(url)] if url is not None else []), b"WARC-Payload-Digest: sha1:" + digest.encode(),
-        *([] if refers_to is None else [b"WARC-Refers-To: " + _urn(refers_to), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
+        b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <%s>" % uuid.uuid5(uuid.NAMESPACE_URL, place).urn.encode(), b"WARC-Date: " + _DATE.encode(),
+        *([b"X-Page-ID: %d" % page_id] if page_id is not None else []), *_target(url), b"WARC-Payload-Digest: sha1:" + digest.encode(),
+        *([] if refers_to is None else [b"X-Refers-To-Page-ID: %d" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block),
     ]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -81,13 +89,14 @@ def parse(raw: bytes) -> dict:
         raise ValueError(f"the payload of {fields[b'warc-record-id']} differs from its digest")
 
     def page(name: bytes) -> int | None:
-        found = fields.get(name, b"<urn:page:null>")[10:-1]
-        return None if found == b"null" else int(found)
+        return int(fields[name]) if name in fields else None
 
-    uri = fields.get(b"warc-target-uri")
+    uri = fields[b"warc-target-uri"].decode() if b"warc-target-uri" in fields else None
+    if b"x-target-uri-escaped" in fields:
+        uri = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), uri)
     return {
-        "page_id": page(b"warc-record-id"), "url": None if uri is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), uri.decode()),
-        "record_type": kind, "refers_to": page(b"warc-refers-to"), "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None,
+        "page_id": page(b"x-page-id"), "url": uri,
+        "record_type": kind, "refers_to": page(b"x-refers-to-page-id"), "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None,
     }
 
 
@@ -111,7 +120,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000) -> Data
             rows = batch.to_pydict()
             offsets, lengths = [], []
             for k in range(batch.num_rows):
-                member = gzip.compress(record(rows["page_id"][k], rows["url"][k], rows["html"][k] or b"", rows["payload_digest"][k], rows["refers_to"][k]), 6, mtime=0)
+                member = gzip.compress(record(rows["page_id"][k], rows["url"][k], rows["html"][k] or b"", rows["payload_digest"][k], rows["refers_to"][k], f"{name}/{at}"), 6, mtime=0)
                 out.write(member)
                 offsets.append(at)
                 lengths.append(len(member))
