@@ -13,6 +13,7 @@ the same files. Order: null ids first, then ascending; equal ids by text; equal
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import files, new_folder, parallel, small_batches, table, write_whole
 from .tokens import encoder, public_path
 
+_SHARD_BYTES = 128 << 20  # of input for a shard
+
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
     """Encodes ``docs`` and writes them in order of their ids to the folder ``path`` (a URI); returns the manifest.
@@ -34,6 +37,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     """
     spark = docs.sparkSession
     small_batches(spark)
+    if shards is None:  # by the plan's own estimate of the input
+        shards = max(parallel(spark), int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() // _SHARD_BYTES))
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     fs, folder = files(path)
     fs.create_dir(folder, recursive=True)
@@ -42,12 +47,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         name = f"{TaskContext.get().partitionId():05d}"
-        sizes, ids, nulls = [], [], []
+        sizes, ids, nulls = array("q"), array("q"), bytearray()  # 17 bytes a document
 
         def parts():
             for batch in batches:
-                nulls.extend(batch.column(0).is_null().to_pylist())
-                ids.extend(batch.column(0).fill_null(0).to_pylist())
+                nulls.extend(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes())
+                ids.frombytes(batch.column(0).fill_null(0).to_numpy().tobytes())
                 for x in batch.column(1).to_pylist():
                     got = np.frombuffer(coder.ids(x or "") + end, "<u4")
                     sizes.append(len(got))
@@ -55,12 +60,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
 
         fs, folder = files(path)
         write_whole(fs, folder, f"{name}.bin", parts())
-        offsets = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))).astype("<i8")
-        write_whole(fs, folder, f"{name}.idx", [offsets.tobytes(), np.array(ids, "<i8").tobytes(), np.array(nulls, "u1").tobytes()])
+        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64)))).astype("<i8")
+        write_whole(fs, folder, f"{name}.idx", [offsets.tobytes(), np.frombuffer(ids, np.int64).astype("<i8").tobytes(), bytes(nulls)])
         yield pa.RecordBatch.from_pydict({"shard": [int(name)], "documents": [len(sizes)], "tokens": [int(offsets[-1])]})
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards or parallel(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     # sorted here: a sort in Spark would run the tasks once more to sample them
     made = sorted((r.asDict() for r in dealt.mapInArrow(run, "shard long, documents long, tokens long").collect()), key=lambda r: r["shard"])
     made = [r for r in made if r["documents"]]

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.llm import packing, token_counts, token_files
 from tallybook.llm.shared import new_folder
@@ -40,6 +41,16 @@ def test_token_files_round_trip(spark, odd, odd_rows, vocabulary):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
 
 
+def test_many_tiny_documents_in_one_shard(spark):
+    n = 200_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.lit("a b")).alias("text"))
+    path = new_folder(spark, "t")
+    manifest = token_files.write_token_files(docs, path, public_path("byte_bpe_50k.json"), 2, 50_257, shards=1)
+    assert [(r["documents"], r["tokens"]) for r in manifest["shards"]] == [(n, 3 * n - 2 * -(-n // 7))]
+    got = token_files.read_token_files(spark, path).agg(F.count("*"), F.sum("n_tokens"), F.max("start"), F.countDistinct("doc_id")).first()
+    assert tuple(got) == (n, 3 * n - 2 * -(-n // 7), 3 * n - 2 * -(-n // 7) - (1 if (n - 1) % 7 == 0 else 3), n)
+
+
 def test_token_files_of_nothing(spark, empty):
     path = new_folder(spark, "t")
     assert token_files.write_token_files(empty, path, public_path(FILES[0]), 2, 50_257)["shards"] == []
