@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import row_hash, small_batches, table, text_bytes, written
+from .shared import parallel, row_hash, small_batches, table, text_bytes, written
 
 _ONES = np.uint64(0x0101010101010101)
+_TASK_PAIRS = 2e8  # comparisons that a task should have
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -208,7 +209,11 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, cell_rows: int = 1 << 17,
     else:
         away = away.withColumn("part", F.lit(0))
     rows = home.unionByName(away.select(key(F.col("cell"), F.col("part")).alias("key"), F.lit(1).alias("tag"), "fp"))
-    return rows.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_tile_links(radius, side), "a long, b long")
+    # comparisons, not bytes, are what a task must have few of: a cell's rows meet each other and those of near cells
+    around = {c: sum(counts.get(c + 64 * dx + dy, 0) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if abs(dx) + abs(dy) <= radius) for c in counts}
+    work = sum(n * around[c] for c, n in counts.items()) / 2
+    tasks = max(parallel(fps.sparkSession), int(work / _TASK_PAIRS))
+    return rows.repartition(min(tasks, max(1, len(counts) + sum(parts.values())) * 4), "key").sortWithinPartitions("key", "tag").mapInArrow(_tile_links(radius, side), "a long, b long")
 
 
 def with_components(prints: DataFrame, radius: int = 4, doc_id: str = "doc_id") -> DataFrame:
