@@ -2,9 +2,10 @@
 
 Of each document the windows of an item's size (in words) are compared with the items of that size. A window
 needs so many shingles in common with some item that most windows fall out by a running count of shingles
-that any item has; this loses nothing. The rest get a SimHash of their shingles, weighted by how often they
-occur; blocks of the fingerprint (one more than the radius) index the items, so two fingerprints within the
-radius agree in a block. The radius loses nothing for different shingles only, so windows and items that repeat a
+that any item has; this loses nothing. The rest get a SimHash of 128 bits of their shingles, weighted by how often they
+occur, and meet the items whose fingerprints are within the radius, all of them: similarity 0.8 is about 19 bits apart,
+unlike texts 64, so the radius of 38 loses about one true match at exactly 0.8 in some 200,000 and lets hardly any
+other pair through. The radius holds for different shingles only, so windows and items that repeat a
 shingle skip the fingerprints. Candidates are then verified by the exact weighted similarity of shingles, the sum of
 the lesser counts over the sum of the greater. A document that has fewer words than an item is one window as a whole.
 
@@ -59,44 +60,73 @@ def latest_repeats(hashes: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(out)
 
 
+WORDS = 2  # of 64 bits in a fingerprint
+_CELLS = 1 << 20  # pairs that are compared at once
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    more = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    both = np.column_stack((hashes, more ^ (more >> np.uint64(33))))
+    return np.unpackbits(both.view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The SimHash of ``size`` shingles from each start; a shingle counts as often as it occurs."""
-    sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)))
-    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1, bitorder="little").view(np.uint64).ravel()
+    """The SimHash of ``size`` shingles from each start, a row of ``WORDS`` numbers; a shingle counts as often as it occurs."""
+    sums = np.concatenate((np.zeros((1, 64 * WORDS), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)))
+    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1, bitorder="little").view(np.uint64)
 
 
 class HammingIndex:
-    """Fingerprints by their blocks; ``pairs`` finds all within the radius."""
+    """Fingerprints by their blocks, one more than the radius, so that two within it agree in a block; ``pairs`` finds all within it.
+
+    At radii that make blocks of a few bits a pair would be met once for about every block, so there fingerprints are
+    compared tile by tile instead, which finds the same. Either way a bounded number of pairs is held at once.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        some = [(s, e) for s, e in zip(edges.tolist(), edges[1:].tolist()) if e > s]
-        self.shifts = np.array([s for s, _ in some], np.uint64)
-        self.masks = np.array([(1 << (e - s)) - 1 for s, e in some], np.uint64)
-        keys = self._keys(prints)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], order // len(self.shifts)
-
-    def _keys(self, prints: np.ndarray) -> np.ndarray:
-        """For each print, each block's number and value; radius 0 has one block, the whole print."""
-        if self.radius == 0:
-            return prints
-        return (((prints[:, None] >> self.shifts) & self.masks) | (np.arange(len(self.shifts), dtype=np.uint64) << np.uint64(40))).ravel()
+        self.blocks: list[tuple[int, np.uint64, np.uint64]] = []  # word, shift, mask
+        for word in range(WORDS):
+            edges = np.linspace(0, 64, (radius + 1 + word) // WORDS + 1).astype(int)
+            self.blocks += [(word, np.uint64(s), np.uint64((1 << (e - s)) - 1)) for s, e in zip(edges.tolist(), edges[1:].tolist()) if e > s]
+        met = sum(2.0 ** -int(mask).bit_count() for *_, mask in self.blocks)
+        self.tables = []
+        self.tiled = met > 0.25 or len(self.blocks) <= radius
+        if not self.tiled:
+            for word, shift, mask in self.blocks:
+                keys = (prints[:, word] >> shift) & mask
+                order = np.argsort(keys, kind="stable")
+                self.tables.append((keys[order], order))
+
+    def _near(self, prints: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        apart = sum(np.bitwise_count(prints[row, w] ^ self.prints[at, w]).astype(np.int16) for w in range(WORDS))
+        return apart <= self.radius
 
     def pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``prints`` and of the index that are within the radius, each pair once."""
-        own = self._keys(prints)
-        low, high = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
-        n = high - low
-        row = np.repeat(np.arange(len(own)) // len(self.shifts), n)
-        at = self.rows[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        near = np.bitwise_count(prints[row] ^ self.prints[at]) <= self.radius
-        return np.divmod(np.unique(row[near] * len(self.prints) + at[near]), max(1, len(self.prints)))
+        size, found = max(1, len(self.prints)), [np.empty(0, np.int64)]
+        if self.tiled:
+            step = max(1, _CELLS // size)
+            for low in range(0, len(prints), step):
+                part = prints[low : low + step]
+                apart = sum(np.bitwise_count(part[:, None, w] ^ self.prints[None, :, w]).astype(np.int16) for w in range(WORDS))
+                row, at = np.nonzero(apart <= self.radius)
+                found.append((row + low) * size + at)
+            return np.divmod(np.concatenate(found), size)
+        for (word, shift, mask), (keys, order) in zip(self.blocks, self.tables):
+            own = (prints[:, word] >> shift) & mask
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            ends = np.cumsum(high - low)
+            start = 0
+            while start < len(own):  # as many rows as bring a bounded number of pairs, one at least
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _CELLS, "right")))
+                n = (high - low)[start:stop]
+                row = np.repeat(np.arange(start, stop), n)
+                at = order[np.repeat(low[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                near = self._near(prints, row, at)
+                found.append(row[near] * size + at[near])
+                start = stop
+        return np.divmod(np.unique(np.concatenate(found)), size)
 
 
 @dataclass
@@ -182,8 +212,8 @@ class Items:
             starts = np.flatnonzero(counts[z][size:] - counts[z][:-size] >= least)
             if len(starts) and z not in repeats:
                 repeats[z] = latest_repeats(runs[z])
-            for part in range(0, len(starts), 4096):
-                some = starts[part : part + 4096]
+            # windows of a stretch of the text at a time, so that sums of bits are held for that alone
+            for some in np.split(starts, np.flatnonzero(np.diff(starts // 4096)) + 1) if len(starts) else ():
                 low = int(some[0])
                 prints = simhashes(runs[z][low : int(some[-1]) + size], some - low, size)
                 found = set(zip(*(x.tolist() for x in index.pairs(prints))))
@@ -204,7 +234,7 @@ class Items:
         return [best[k] for k in sorted(best)]
 
 
-def with_matches(docs: DataFrame, items: list[tuple[int | None, str]], size: int = 5, similarity: float = 0.8, radius: int = 24, text: str = "text") -> DataFrame:
+def with_matches(docs: DataFrame, items: list[tuple[int | None, str]], size: int = 5, similarity: float = 0.8, radius: int = 38, text: str = "text") -> DataFrame:
     """``docs`` with all columns and ``matches``: the items of one block that a text holds, each with its best window."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c != "matches"]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -230,7 +260,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield sorted((tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 38, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, item_id, similarity, start, n_words``: a row for each document and item that it holds.
 
     ``start`` counts words (runs of letters and digits) from 0; ``n_words`` are the window's: the item's, or all of a
@@ -245,7 +275,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 38, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns. Null and empty texts stay."""
     inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("text").alias("text"))
     for items in blocks(benchmark, block_bytes):

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import zlib
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.llm import decontamination, quality, toxicity, url_filter, warc
-from tallybook.llm.shared import new_folder
+from tallybook.llm.shared import files, new_folder
 
 
 def rows_of(df, *cols):
@@ -109,13 +110,36 @@ def test_leaks_odd_rows(spark, odd, empty):
     assert decontamination.find(odd, bench.limit(0)).count() == 0 and decontamination.clean(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_hamming_index_finds_all_in_radius():
+def test_hamming_index_finds_all_in_radius(monkeypatch):
+    monkeypatch.setattr(decontamination, "_CELLS", 3000)
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, (200, 2)).astype(np.uint64)
+    b = a[rng.integers(0, 200, 300)].copy()
+    for k in range(300):
+        for bit in rng.choice(128, rng.integers(0, 40), replace=False):
+            b[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    apart = (np.bitwise_count(b[:, None] ^ a[None])).astype(int).sum(axis=2)
+    for radius in (0, 3, 8, 12, 38, 127):
+        index = decontamination.HammingIndex(a, radius)
+        assert index.tiled == (radius > 12) and (index.tiled or len(index.blocks) == radius + 1)
+        row, at = index.pairs(b)
+        assert sorted(zip(row.tolist(), at.tolist())) == sorted(map(tuple, np.argwhere(apart <= radius).tolist()))
+        assert not len(decontamination.HammingIndex(a[:0], radius).pairs(b)[0])
+
+
+def test_few_pairs_are_candidates_and_true_ones_all_are():
+    """4,000 items of one length: hardly any other pair is within the radius, and pairs at similarity 0.8 are."""
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    b = np.concatenate([a[:200] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 9)).astype(np.uint64), axis=1), a[:20]])
-    for radius in (0, 3, 8, 24, 63):
-        got = set(zip(*(x.tolist() for x in decontamination.HammingIndex(a, radius).pairs(b))))
-        assert got == {(i, j) for i in range(len(b)) for j in range(len(a)) if int(b[i] ^ a[j]).bit_count() <= radius}
+    runs = rng.integers(0, 1 << 63, (4000, 56)).astype(np.uint64)
+    zero = np.zeros(1, np.int64)
+    index = decontamination.HammingIndex(np.concatenate([decontamination.simhashes(r, zero, 56) for r in runs]), 38)
+    other = np.concatenate([decontamination.simhashes(rng.integers(0, 1 << 63, 56).astype(np.uint64), zero, 56) for _ in range(300)])
+    assert len(index.pairs(other)[0]) < 0.001 * 300 * 4000
+    alike = runs[:2000].copy()
+    alike[:, :6] = rng.integers(0, 1 << 63, (2000, 6)).astype(np.uint64)  # 50 of 62 in common: 0.806
+    prints = np.concatenate([decontamination.simhashes(r, zero, 56) for r in alike])
+    row, at = index.pairs(prints)
+    assert set(range(2000)) <= set(row[row == at].tolist())
 
 
 def test_op1_query(spark, sf_dir, duck):
@@ -356,7 +380,7 @@ def test_urls_odd_rows(spark, few):
 
     pages = spark.createDataFrame([(k, u, "r", f"e{k}") for k, u in enumerate(URLS + URLS[5:8] * 2)] + [(None, None, None, None)], "page_id long, url string, rule string, e string")
     rules = url_filter.contract_rules(spark)
-    got = url_filter.judge(pages, rules.unionByName(rules), broadcast_rules=few)
+    got = url_filter.judge(pages, rules.unionByName(rules), in_row=few)
     assert got.columns == ["page_id", "url", "e", "host", "path", "rule", "verdict"]
     con = duckdb.connect()
     con.register("p", pages.toPandas())
@@ -371,6 +395,25 @@ def test_urls_run_no_python(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
 
 
+def test_ties_of_rules(spark):
+    rules = spark.createDataFrame([("a.com", "/bb", "allow"), ("x.a.com", "/", "block"), ("b.com", "/p", "block"), ("b.com", "/p", "allow"), ("c.com", "", "block"), ("", "/q", "block"), (None, "/", "block"), ("d.com", None, "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([("http://x.a.com/bbb",), ("http://b.com/pp",), ("http://c.com",), ("http://e.com/q",), ("http://d.com/",)], "url string")
+    for in_row in (200, 0):
+        got = rows_of(url_filter.judge(pages, rules, in_row=in_row), "url", "rule", "verdict")
+        # as many characters: the longer host; the same host and path: block
+        assert got == sorted([("http://x.a.com/bbb", "x.a.com/", "block"), ("http://b.com/pp", "b.com/p", "block"), ("http://c.com", "c.com", "block"), ("http://e.com/q", None, "allow"), ("http://d.com/", None, "allow")], key=str)
+
+
+def test_plan_of_url_rules(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    few = url_filter.judge(pages, url_filter.contract_rules(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in few and "Generate" not in few and "Join" not in few
+    many = url_filter.judge(pages, url_filter.contract_rules(spark), in_row=0)._jdf.queryExecution().optimizedPlan().toString()
+    # no page goes through the expansion: what is exploded has host and path only
+    assert all("html" not in line and "_page" not in line for line in many.splitlines() if "Generate" in line)
+    assert "Cartesian" not in many and "monotonically" not in many
+
+
 # 8: quality rules
 
 
@@ -422,6 +465,24 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in index.collect()} == {"response", "revisit"}
 
 
+def test_archives_as_other_readers_see_them(spark):
+    """URLs as they are in the target line, record ids that no two records share."""
+    urls = ["http://a/%20b", "http://a/%2520b?x=%41", "http://ü/ä b", "http://a/\r\nX: y%41", " http://blank ", None, "http://a/%20b"]
+    pages = spark.createDataFrame([(k if k < 5 else None, u, f"text {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(2)
+    path = new_folder(spark, "w")
+    index = warc.write_archives(pages, path)
+    raw = []
+    fs, folder = files(path)
+    for r in index.collect():
+        with fs.open_input_file(f"{folder}/{r.file}") as f:
+            raw.append(gzip.decompress(f.read_at(r.length, r.offset)))
+    heads = [dict(x.split(b": ", 1) for x in r.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]) for r in raw]
+    plain = [h[b"WARC-Target-URI"].decode() for h in heads if b"WARC-Target-URI" in h and b"X-Target-URI-Escaped" not in h]
+    assert sorted(plain) == sorted(["http://a/%20b", "http://a/%2520b?x=%41", "http://ü/ä b", "http://a/%20b"])
+    assert len({h[b"WARC-Record-ID"] for h in heads}) == len(urls)
+    assert sorted(str(r.url) for r in warc.read_records(index, path).collect()) == sorted(map(str, urls))
+
+
 def test_warc_of_nothing(spark):
     path = new_folder(spark, "w")
     index = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
