@@ -38,7 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     spark = docs.sparkSession
     small_batches(spark)
     if shards is None:  # by the plan's own estimate of the input
-        shards = max(parallel(spark), int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() // _SHARD_BYTES))
+        shards = max(parallel(spark), int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // _SHARD_BYTES)
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     fs, folder = files(path)
     fs.create_dir(folder, recursive=True)
