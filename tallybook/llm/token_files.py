@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import files, new_folder, parallel, small_batches, table, write_whole
 from .tokens import encoder, public_path
 
-_SHARD_BYTES = 128 << 20  # of input for a shard
+_SHARD_BYTES = 128 << 20  # of text in a shard
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
@@ -37,8 +37,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, v
     """
     spark = docs.sparkSession
     small_batches(spark)
-    if shards is None:  # by the plan's own estimate of the input
-        shards = max(parallel(spark), int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // _SHARD_BYTES)
+    if shards is None:
+        shards = max(parallel(spark), int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0) // _SHARD_BYTES)
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     fs, folder = files(path)
     fs.create_dir(folder, recursive=True)
