@@ -47,15 +47,18 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
 )
 BASE_WORDS, BASE_REPEATS = 20, 30
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words")
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules bound; a null text has no words and no lines.
 
     8-word windows are hashed by doubling: hashes of 1, 2, 4, then 8 words. Only texts in which two windows
-    have equal hashes are sorted. Columns of ``docs`` that are called like the new ones, or begin with ``_``, must not exist.
+    have equal hashes are sorted. Columns of ``docs`` that are called like the new ones are replaced.
     """
-    out = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    keep = [c for c in docs.columns if c not in COUNTS]
+    out = docs.select(F.struct(*[f"`{c}`" for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_given"))
+    out = out.withColumn("_text", F.coalesce(F.col("_given").cast("string"), F.lit("")))
     out = out.withColumn("_words", F.expr(rf"array_remove(split(_text, '[\\x20\\x09-\\x0D]+'), '')"))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
@@ -70,7 +73,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_places", F.expr(f"array_sort({places})"))
     covered = "aggregate(zip_with(_places, slice(_places, 2, size(_places)), (x, y) -> coalesce(least(8, y - x), 8)), 0L, (t, x) -> t + x)"
     return out.select(
-        *[f"`{c}`" for c in docs.columns],
+        "_row.*",
         "n_words",
         (F.length("_text") - F.regexp_count("_text", F.lit(WHITE))).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -90,7 +93,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     by one, so repeated rows are judged alike; an empty table gives no rows. Columns of ``docs`` that are called
     like the new ones are replaced.
     """
-    new = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words", "base_failed", "failed", "kept"}
+    new = {*COUNTS, "base_failed", "failed", "kept"}
     inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c not in new]).alias("row"), F.col(f"`{text}`").alias("text"))
     counted = with_counts(inner)
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))

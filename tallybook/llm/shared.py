@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
+    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Where it is unset, a local folder is set for a local master; another master is an error, as a
+    Where neither is set, a local folder is set for a local master; another master is an error, as a
     folder of one machine would lose rows on a cluster.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not at and sc._jsc.sc().getCheckpointDir().isDefined():
+        at = sc._jsc.sc().getCheckpointDir().get()
     if not at:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -70,7 +72,11 @@ def write_whole(fs: pafs.FileSystem, path: str, name: str, parts) -> None:
 
 
 def small_batches(spark: SparkSession, size: int = 1 << 20) -> None:
-    """Arrow batches of about ``size`` bytes: a worker holds one at a time, however long the texts are."""
+    """Arrow batches of about ``size`` bytes: a worker holds one at a time, however long the texts are.
+
+    The setting is the session's and stays, as plans that are built now run later; set it to 1 MB or less yourself to have
+    it left alone.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > size:

@@ -52,12 +52,12 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def with_fingerprints(docs: DataFrame, size: int = 4, text: str = "text", name: str = "fp") -> DataFrame:
-    """``docs`` without its text and with its SimHash as a long column.
+    """``docs`` without its text and with its SimHash as a long column, in place of one that is called like it.
 
     Null and empty texts have the fingerprint zero.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, name)]
     schema = docs.select(*[f"`{c}`" for c in keep]).withColumn(name, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
-"""Substring deduplication (operator 7): relative Lempel-Ziv factors against an index of the whole corpus.
+"""Substring deduplication (operator 7): repeated windows by content-defined blocks of the corpus.
 
 A window is ``window`` consecutive words of one document; every word goes that is covered by a window whose
-words also start anywhere else. The corpus is its own reference. It is cut into blocks by content: of the
+words also start anywhere else. The corpus is its own reference. A relative Lempel-Ziv parse, which extends greedy factors
+against every reference block, is not what runs here: it grows with the square of the corpus, or needs all of it in each
+task, and its factors still have to be checked window by window, since a window that repeats may lie across factors. The
+index alone answers that. The corpus is cut into blocks by content: of the
 8-word grams in a window the least hash is the window's anchor, so equal windows have equal anchors at equal
-places, and consecutive windows with the same anchor form a block, the unit that is indexed. Each document is
-then parsed against the index, block by block:
+places, and consecutive windows with the same anchor form a block, the unit that is indexed:
 
-* a block that the index holds twice or more is a factor that is long enough: all its windows repeat;
-* where an anchor is shared but the blocks around it differ, a factor ends inside the block. Such boundaries
+* of a block that the index holds twice or more all windows repeat;
+* where an anchor is shared but the blocks around it differ, a common stretch ends inside the block. Such boundaries
   are checked window by window, with 128-bit hashes; of equal blocks one is enough for that;
 * a block with an anchor of its own holds no repeated window.
 
@@ -74,6 +76,8 @@ class Parser:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         self._grow(len(words) + 1)
         self.n = len(words)
+        if self.n >= 1 << int(_PLACE):
+            raise ValueError(f"a text of {self.n} words: over {(1 << int(_PLACE)) - 1} an anchor's place has no room")
         self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * self.powers[k][: self.n]))) for k, x in enumerate((h, _mix(h)))]
         return words
 
@@ -321,7 +325,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 win AS (
   SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
   FROM d, unnest(range(1, len(w) - 33)) AS t(i)),

@@ -413,7 +413,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: ``doc_id, held_out, score, predicted`` for every document."""
+    """op4: ``doc_id, held_out, score, predicted`` for every document; a null id is not held out, as it has no labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = with_scores(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
