@@ -5,6 +5,7 @@
 >>> tallybook.estimate(registers, spec, keys=["day"])
 """
 
+from .operators.builtin import build_builtin, estimate_builtin, merge_builtin, set_sizes_builtin
 from .operators.combine import all_pairs, clone_with, cube, dense, jaccard, merge, moving_union, rollup, set_sizes
 from .operators.estimate import estimate, estimate_corrected, estimate_direct, newton
 from .operators.ordered import build_ordered, last_registers, records

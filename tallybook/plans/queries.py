@@ -12,6 +12,7 @@ from .. import spec as S
 from ..functions.hashing import element_hash, mixed, unit, wrapping
 from ..functions.memory import memory_usage
 from ..functions.quantize import quantize
+from ..operators.builtin import build_builtin, estimate_builtin, merge_builtin, set_sizes_builtin
 from ..operators.combine import all_pairs, clone_with, cube, dense, jaccard, merge, moving_union, rollup, set_sizes
 from ..operators.estimate import estimate, estimate_corrected, estimate_direct, newton
 from ..operators.ordered import build_ordered, dyn, records
@@ -315,6 +316,28 @@ def _moving_union_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT kind, day, round({spec.m - 1} / sum(r), 3) AS estimate FROM moved GROUP BY kind, day"
 
 
+def builtin_query(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's own sketches of each type's users by status of the day, merged: exact count, and whether the estimate is within 10 %."""
+    rows = events(spark, sf_dir).withColumn("half", F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    got = estimate_builtin(merge_builtin(build_builtin(rows, ["kind", "half"], kind=kind), TYPE, kind), TYPE, kind)
+    exact = rows.groupBy("kind").agg(F.countDistinct("x").alias("n"))
+    return got.join(exact, "kind").select("kind", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+
+
+def builtin_sets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the month's first half and of the rest by type: union, intersection and difference are within 15 % of the union."""
+    sides, keys = _halves(SPECS["minhash"], spark, sf_dir)
+    got = set_sizes_builtin(*(build_builtin(x, keys, kind="theta") for x in sides), keys)
+    a, b = (x.select("kind", "x", F.lit(True).alias(s)).distinct() for x, s in zip(sides, "ab"))
+    both = a.join(b, ["kind", "x"], "full").groupBy("kind").agg(F.count("*").alias("n_union"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("b").isNull()).alias("n_only"))
+    near = lambda c, n: (F.abs(F.col(c) - F.col(n)) <= 0.15 * F.col("n_union"))
+    return got.join(both, "kind").select("kind", "n_union", "n_both", "n_only", (near("size_union", "n_union") & near("size_intersection", "n_both") & near("size_difference", "n_only")).alias("close"))
+
+
+_BUILTIN_SETS = f"""WITH s AS (SELECT kind, x, bool_or(ts < TIMESTAMP '2024-01-16') AS a, bool_or(NOT ts < TIMESTAMP '2024-01-16') AS b FROM ({EVENTS}) WHERE x IS NOT NULL GROUP BY kind, x)
+SELECT kind, count(*) AS n_union, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (NOT b) AS n_only, true AS close FROM s GROUP BY kind HAVING bool_or(a) AND bool_or(b)"""
+
+
 def error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relative error of the estimate against the truth, by flag."""
     got = estimate_query(SPECS["exp"], spark, sf_dir).join(exact_cardinality(spark, sf_dir), "flag")
@@ -450,6 +473,9 @@ _add("several_sketches", many_query, _many_sql())
 _add("all_pairs_similarity", all_pairs_query, _all_pairs_sql())
 _add("set_sizes", set_sizes_query, _set_sizes_sql())
 _add("moving_union", moving_union_query, _moving_union_sql())
+for _name in ("hll", "theta"):
+    _add(f"builtin_{_name}", partial(builtin_query, _name), f"SELECT kind, count(DISTINCT x) AS n, true AS close FROM ({EVENTS}) GROUP BY kind")
+_add("builtin_theta_sets", builtin_sets_query, _BUILTIN_SETS)
 _add("relative_error", error_query, _error_sql())
 _add("kqsketch_rounded_dyn", partial(dyn_query, KQDYN, False), Q.dyn_sql(KQDYN, WEIGHED, TYPE))
 for _mode in S.QuantizationMode:

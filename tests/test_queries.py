@@ -67,6 +67,15 @@ def test_stream_registers_are_the_tables(spark, sf_dir, stream, tmp_path, spec,
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_session_registers_on_a_stream(spark, sf_dir, stream, tmp_path):
+    """Closed sessions only, as a stream gives them; those are the table's."""
+    spec = tb.ExpSketch(4)
+    live = window_registers(stream(), spec, F.session_window("ts", "2 hours"), ["kind"], delay="1 minute")
+    got = run(spark, live, "sessions", "append", tmp_path).collect()
+    want = set(map(str, window_registers(events(spark, sf_dir), spec, F.session_window("ts", "2 hours"), ["kind"]).collect()))
+    assert len(got) > 10 and set(map(str, got)) <= want
+
+
 def test_stream_estimates_in_one_query(spark, stream, tmp_path):
     spec = tb.ExpSketch(8)
     live = window_sums(window_registers(stream(), spec, F.window("ts", "1 day"), ["kind"], delay="1 minute"), spec, ["kind"])
