@@ -4,7 +4,7 @@ Of each document the windows of an item's size (in words) are compared with the
 needs so many shingles in common with some item that most windows fall out by a running count of shingles
 that any item has; this loses nothing. The rest get a SimHash of 128 bits of their shingles, weighted by how often they
 occur, and meet the items whose fingerprints are within the radius, all of them: similarity 0.8 is about 19 bits apart,
-unlike texts 64, so the radius of 38 loses about one true match at exactly 0.8 in some 200,000 and lets hardly any
+unlike texts 64, so the radius of 40 loses about two true matches at exactly 0.8 in a million and lets hardly any
 other pair through. The radius holds for different shingles only, so windows and items that repeat a
 shingle skip the fingerprints. Candidates are then verified by the exact weighted similarity of shingles, the sum of
 the lesser counts over the sum of the greater. A document that has fewer words than an item is one window as a whole.
@@ -234,7 +234,7 @@ class Items:
         return [best[k] for k in sorted(best)]
 
 
-def with_matches(docs: DataFrame, items: list[tuple[int | None, str]], size: int = 5, similarity: float = 0.8, radius: int = 38, text: str = "text") -> DataFrame:
+def with_matches(docs: DataFrame, items: list[tuple[int | None, str]], size: int = 5, similarity: float = 0.8, radius: int = 40, text: str = "text") -> DataFrame:
     """``docs`` with all columns and ``matches``: the items of one block that a text holds, each with its best window."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c != "matches"]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -260,7 +260,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int |
         yield sorted((tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 38, block_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 40, block_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, item_id, similarity, start, n_words``: a row for each document and item that it holds.
 
     ``start`` counts words (runs of letters and digits) from 0; ``n_words`` are the window's: the item's, or all of a
@@ -275,7 +275,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 38, block_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 40, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all columns. Null and empty texts stay."""
     inner = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("all"), F.col("text").alias("text"))
     for items in blocks(benchmark, block_bytes):
