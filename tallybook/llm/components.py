@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` links of long ids to ``(node, root)``: the least id that each linked node reaches.
 
     Ids without links do not appear, nor do the roots. Loops, repeated links and empty input are fine;
-    null ends are dropped. The number of rounds grows with the logarithm of the longest path.
+    null ends are dropped. What meets at a component's root are its links, 16 bytes each, with one row: least neighbours are
+    partial aggregates, and a root with so many links that its partition is large is split by AQE's skew join. The number of rounds grows with the logarithm of the longest path.
     """
     edges = written(edges.where("a is not null and b is not null and a != b").select("a", "b").distinct(), "links")
     seen = None

@@ -369,36 +369,40 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Pairs:
-    """Which rows may be alike by length and fingerprint, each pair of nodes once a chunk."""
+    """Which rows may be alike by length and fingerprint, each pair of nodes once a chunk, with a place where both are."""
 
-    def __init__(self, node: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, radius: int):
-        self.node, self.n, self.bits, self.similarity, self.radius = node, n, bits, similarity, radius
+    def __init__(self, place: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, radius: int):
+        self.place, self.node, self.n, self.bits, self.similarity, self.radius = place, node, n, bits, similarity, radius
         self.found: list[np.ndarray] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         near = (np.minimum(self.n[i], self.n[j]) >= self.similarity * np.maximum(self.n[i], self.n[j]) - 1e-9) & (self.node[i] != self.node[j])
         i, j = i[near], j[near]
         near = _distance(self.bits[i], self.bits[j]) <= self.radius
-        a, b = self.node[i[near]], self.node[j[near]]
-        self.found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b))))
+        i, j = i[near], j[near]
+        a, b = self.node[i], self.node[j]
+        self.found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b), self.place[i])))
 
-    def rows(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.empty((0, 2), np.int64), *self.found]), axis=0)
+    def rows(self) -> pa.RecordBatch:
+        """Each pair with its least place."""
+        made = np.concatenate([np.empty((0, 3), np.int64), *self.found])
+        made = made[np.lexsort((made[:, 2], made[:, 1], made[:, 0]))]
+        new = np.ones(len(made), bool)
+        new[1:] = (made[1:, :2] != made[:-1, :2]).any(axis=1)
+        made = made[new]
+        none = np.zeros(len(made), np.int64)
+        self.found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (made[:, 0], made[:, 1], made[:, 2], none.astype(np.int32) - 1, none)], names=["a", "b", "run", "n", "bits"])
 
 
 _MET = "a long, b long, run long, n int, bits long"
 
 
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    none = np.zeros(len(pairs), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], pairs[:, 1], none, none.astype(np.int32) - 1, none)], names=["a", "b", "run", "n", "bits"])
-
-
 def _meet_center(similarity: float, radius: int):
     """In rows ``place, run, n, node, bits`` by place: each meets the next one and its group's center, the row nearest to the
     bits that most rows of the group have. Near copies of one text differ more from each other than from that text.
 
-    Rows of groups over two follow as ``a = node, run, n, bits``; pairs have ``n = -1``.
+    Rows of groups over two follow as ``a = node, run, n, bits``; pairs have ``n = -1`` and their place as ``run``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,12 +410,12 @@ def _meet_center(similarity: float, radius: int):
             first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
             size = np.diff(np.append(first, len(place)))
             some = np.repeat(size > 1, size)  # most shingles have one text
-            run_, n, node, bits, size = run_[some], n[some], node[some], bits[some], size[size > 1]
+            place, run_, n, node, bits, size = place[some], run_[some], n[some], node[some], bits[some], size[size > 1]
             if not len(size):
                 continue
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             group = np.repeat(np.arange(len(size)), size)
-            pairs = _Pairs(node, n, bits, similarity, radius)
+            pairs = _Pairs(place, node, n, bits, similarity, radius)
             following = np.flatnonzero(group[1:] == group[:-1])
             pairs.add(following, following + 1)
             most = np.zeros(len(size), np.uint64)
@@ -421,7 +425,7 @@ def _meet_center(similarity: float, radius: int):
             rank = _distance(bits, most.view(np.int64)[group]).astype(np.int64) << 40 | np.arange(len(bits))
             center = np.minimum.reduceat(rank, first) & ((1 << 40) - 1)
             pairs.add(np.arange(len(bits)), center[group])
-            yield _pair_batch(pairs.rows())
+            yield pairs.rows()
             more = np.repeat(size > 2, size)
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (node, node, run_, n, bits)], names=["a", "b", "run", "n", "bits"])
@@ -443,7 +447,7 @@ def _meet_others(similarity: float, radius: int, nearest: int | None):
                 roots, counts = np.unique(root[s:e], return_counts=True)
                 if len(roots) < 2:
                     continue
-                pairs = _Pairs(node, n, bits, similarity, radius)
+                pairs = _Pairs(place, node, n, bits, similarity, radius)
                 home = s + np.flatnonzero(tag[s:e] == 0)
                 rest = s + np.flatnonzero((root[s:e] != roots[counts.argmax()]) | (tag[s:e] == 1))
                 step = max(1, (1 << 22) // max(1, len(home)))
@@ -460,19 +464,26 @@ def _meet_others(similarity: float, radius: int, nearest: int | None):
                         i, j = i[apart[i, j]], j[apart[i, j]]
                     pairs.add(part[i], home[j])
                     if sum(map(len, pairs.found)) > 1 << 20:
-                        yield _pair_batch(pairs.rows())
-                        pairs.found.clear()
-                yield _pair_batch(pairs.rows())
+                        yield pairs.rows()
+                yield pairs.rows()
 
     return run
 
 
+_PLACE_PAIRS = 1 << 20  # that are compared in one task
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of the pairs ``(a, b)`` of nodes those whose shingles are alike, by exact comparison."""
+    """Of the pairs ``(a, b, place)`` of nodes those whose shingles are alike, by exact comparison.
+
+    Pairs are compared where they met: a place gets the shingles of each of its texts once, however many pairs it has. A
+    place of very many pairs is split by one side.
+    """
+    spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
     texts = docs.select(F.col("text").cast("string").alias("_text"), F.xxhash64("text").alias("t"))
     texts = texts.join(wanted.select("t"), "t", "left_semi")
-    small_batches(docs.sparkSession)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of copies one is enough
@@ -490,11 +501,33 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, simil
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["node", "runs"])
 
-    sets = texts.select("t", "_text").mapInArrow(run, "node long, runs array<long>")
-    sets = written(sets.groupBy("node").agg(F.first("runs").alias("runs")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.col("common") / (F.col("total") - F.col("common")) >= similarity).select("a", "b")
+    sets = texts.select("t", "_text").mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"])
+    large = pairs.groupBy("place").count().where(F.col("count") > _PLACE_PAIRS).select("place", F.expr(f"count div {_PLACE_PAIRS} + 1").alias("parts"))
+    split = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))
+    pairs = pairs.join(large, "place", "left").select("a", "b", F.xxhash64("place", split).alias("place"))
+    members = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select(F.col("place").alias("at"), "node", "runs")
+
+    def compare(met: pa.Table, members: pa.Table) -> pa.Table:
+        node = members["node"].combine_chunks().to_numpy()
+        order = np.argsort(node)
+        lists = members["runs"].combine_chunks()
+        values, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        a, b = (met[c].combine_chunks().to_numpy() for c in ("a", "b"))
+        at, bt = (order[np.searchsorted(node[order], x)] for x in (a, b))
+        alike = np.zeros(len(a), bool)
+        by = np.argsort(at, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+            own = values[ends[at[some[0]]] : ends[at[some[0]] + 1]]
+            for few in np.split(some, range(256, len(some), 256)):
+                low, high = ends[bt[few]], ends[bt[few] + 1]
+                n = high - low
+                theirs = values[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = np.add.reduceat((own[place] == theirs).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
+                alike[few] = common >= similarity * (len(own) + n - common) - 1e-9
+        return pa.table({"a": a[alike], "b": b[alike]})
+
+    return pairs.groupBy("place").cogroup(members.groupBy("at")).applyInArrow(compare, "a long, b long")
 
 
 def similar_links(docs: DataFrame, texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], size: int = 5, similarity: float = 0.8, radius: int = 24, group_rows: int = 1 << 17) -> DataFrame:
@@ -523,7 +556,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, hot: tuple[np.ndarray, np.n
         return df.select(*columns).repartition("place").sortWithinPartitions(*order).mapInArrow(run, schema)
 
     met = written(dealt(placed(rows), ["place", "run", "n", "node", "bits"], _meet_center(similarity, radius), _MET), "meetings")
-    links = written(_alike(docs, nodes, met.where("n = -1").select("a", "b").distinct(), size, similarity), "alike")
+    links = written(_alike(docs, nodes, met.where("n = -1").groupBy("a", "b").agg(F.min("run").alias("place")), size, similarity), "alike")
     # a part of a split group may be a single row that still has to meet those of other parts
     large = met.where("n >= 0").select("run", F.col("a").alias("node"), "n", "bits").join(few, "run", "left_anti")
     large = large.unionByName(rows.select("run", "node", "n", "bits").join(few, "run", "left_semi"))
@@ -537,7 +570,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, hot: tuple[np.ndarray, np.n
             most = large.join(F.broadcast(split.select("run")), "run", "left_semi").groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", "count").alias("most"))
             guests = large.join(few, "run").join(most, "run").where("root != most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             spread = spread.unionByName(guests.withColumn("place", F.xxhash64("run", "part")).withColumn("tag", F.lit(1)), allowMissingColumns=True)
-        more = written(dealt(spread, ["place", "tag", "n", "node", "bits", "root"], _meet_others(similarity, radius, nearest), _MET).select("a", "b").distinct(), "more")
+        more = written(dealt(spread, ["place", "tag", "n", "node", "bits", "root"], _meet_others(similarity, radius, nearest), _MET).groupBy("a", "b").agg(F.min("run").alias("place")), "more")
         if more.isEmpty():
             continue
         links = written(links.unionByName(_alike(docs, nodes, more, size, similarity)), "alike")
