@@ -190,6 +190,18 @@ def block_exponentials(spec: SketchSpec, h: np.ndarray | None, elements: list[by
     return np.take_along_axis(s, np.argsort(order_by, axis=1, kind="stable"), axis=1)
 
 
+def _grouped(keys: pa.StructArray) -> tuple[np.ndarray, list[tuple]]:
+    """The number of each row's key, and the keys by number; rows are told apart column by column, without Python objects."""
+    codes = np.zeros(len(keys), np.int64)
+    for n in range(len(keys.type)):
+        column_ = keys.field(n).dictionary_encode(null_encoding="encode")
+        if len(column_.dictionary) > 1:
+            codes = np.unique(codes * len(column_.dictionary) + column_.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1].ravel()
+    _, first = np.unique(codes, return_index=True)
+    some = keys.take(pa.array(first))
+    return codes, list(zip(*(some.field(n).to_pylist() for n in range(len(keys.type)))))
+
+
 def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
     """Registers per task and key. They are held as exponentials and brought to their form at the end, as that is monotone.
 
@@ -215,9 +227,8 @@ def _arrow(rows: DataFrame, spec: SketchSpec, keys: list[str]) -> DataFrame:
         for batch in batches:
             key_type = batch.column(0).type
             fields = [f.name for f in key_type]
-            numbers: dict[tuple, int] = {}
-            group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(*(batch.column(0).field(n).to_pylist() for n in range(len(fields))))), np.int64, batch.num_rows)
-            known, w = list(numbers), batch.column(2).to_numpy()
+            group, known = _grouped(batch.column(0))
+            w = batch.column(2).to_numpy()
             h = None if spec.hash == "murmur3" else batch.column(1).to_numpy().view(np.uint64)
             least = -np.log(unit_np(mixed_np(h, np.arange(1)))[:, 0]) / w / spec.m if prune else None
             left = np.arange(batch.num_rows)
@@ -339,9 +350,8 @@ def build_many(df: DataFrame, specs: Mapping[str, SketchSpec], keys: str | Seque
         for batch in batches:
             key_type = batch.column(0).type
             fields = [f.name for f in key_type]
-            numbers: dict[tuple, int] = {}
-            group = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(*(batch.column(0).field(n).to_pylist() for n in range(len(fields))))), np.int64, batch.num_rows)
-            known, h, weight = list(numbers), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            group, known = _grouped(batch.column(0))
+            h, weight = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
             for at in range(0, len(h), block):
                 part = slice(at, at + block)
                 for n, spec in enumerate(kinds):
