@@ -470,7 +470,7 @@ def _meet_others(similarity: float, radius: int, nearest: int | None):
     return run
 
 
-_PLACE_PAIRS = 1 << 20  # that are compared in one task
+_PLACE_PAIRS = 1 << 16  # that are compared in one task
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
