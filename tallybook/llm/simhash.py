@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,6 +266,7 @@ def _least_rows(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFr
     return out.select("all.*")
 
 _HOT_DOCS, _HOT_LEAST, _HOT_MOST = 10_000, 5, 200_000  # sampled documents, in how many of them a shingle is hot, longest list
+_SMALL_GROUP = 32  # rows that all meet
 _NEAREST = 8  # rows that one outside its group's largest component meets before it meets all
 
 
@@ -285,6 +287,16 @@ def _node(runs: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(runs.tobytes(), 7)).view(np.int64))
 
 
+def _odd(runs: np.ndarray) -> bytes:
+    """Which buckets of their low bits hold an odd number of the shingles, two to four buckets a shingle and 64 at least.
+
+    As many bits as differ between two texts' sketches, at least, are shingles that only one of them has.
+    """
+    buckets = max(64, 1 << max(0, 2 * len(runs) - 1).bit_length())
+    counts = np.bincount((runs.view(np.uint64) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _over_texts(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
     """``rows(runs)`` of each text's numbered shingles, as arrays for the columns of ``schema``."""
     small_batches(docs.sparkSession)
@@ -313,19 +325,19 @@ def _hot(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(rows: DataFrame, size: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, _row, node, n, bits, t, prefix`` of rows ``doc_id, _row, t, _text``.
+    """``doc_id, _row, node, n, bits, t, odd, prefix`` of rows ``doc_id, _row, t, _text``.
 
     ``prefix`` has as many of a text's shingles, the rarest first, that two texts alike must share one. Any order that
-    all texts share is right; hot shingles come last, so that few groups are large.
+    all texts share is right; hot shingles come last, so that few groups are large. ``odd`` is the text's sketch.
     """
     small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(hot)
-    schema = rows.select("doc_id", "_row", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bits"), "t", F.lit(None).cast("array<long>").alias("prefix")).schema
+    schema = rows.select("doc_id", "_row", F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bits"), "t", F.lit(None).cast("binary").alias("odd"), F.lit(None).cast("array<long>").alias("prefix")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = sent.value
         for batch in batches:
-            node, n, bits, prefix = [], [], [], []
+            node, n, bits, odd, prefix = [], [], [], [], []
             for text in text_bytes(batch.column(3)):
                 runs = numbered(shingle_hashes(text, size))
                 late = np.zeros(len(runs), np.int64)
@@ -336,10 +348,11 @@ def _texts(rows: DataFrame, size: int, similarity: float, hot: tuple[np.ndarray,
                 node.append(_node(runs))
                 n.append(len(runs))
                 bits.append(majority(runs.view(np.uint64)))
+                odd.append(_odd(runs))
                 prefix.append(runs[np.lexsort((runs, late))[: len(runs) - least + 1]] if len(runs) else runs)
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.int64()), batch.column(2), lists], names=["doc_id", "_row", "node", "n", "bits", "t", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.int64()), batch.column(2), pa.array(odd, pa.binary()), lists], names=["doc_id", "_row", "node", "n", "bits", "t", "odd", "prefix"])
 
     return rows.select("doc_id", "_row", "t", "_text").mapInArrow(run, schema)
 
@@ -369,17 +382,21 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Pairs:
-    """Which rows may be alike by length and fingerprint, each pair of nodes once a chunk, with a place where both are."""
+    """Which rows may be alike by length, place in the order of shingles and fingerprint, each pair of nodes once a chunk, with a place where both are.
+
+    ``most`` is how many shingles of a text come from the shared one on: where it is the first that two texts share, they share no more.
+    """
 
-    def __init__(self, place: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, radius: int):
-        self.place, self.node, self.n, self.bits, self.similarity, self.radius = place, node, n, bits, similarity, radius
+    def __init__(self, place: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, most: np.ndarray, similarity: float, radius: int):
+        self.place, self.node, self.n, self.bits, self.most, self.similarity, self.radius = place, node, n, bits, most, similarity, radius
         self.found: list[np.ndarray] = []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        near = (np.minimum(self.n[i], self.n[j]) >= self.similarity * np.maximum(self.n[i], self.n[j]) - 1e-9) & (self.node[i] != self.node[j])
-        i, j = i[near], j[near]
         near = _distance(self.bits[i], self.bits[j]) <= self.radius
         i, j = i[near], j[near]
+        enough = np.minimum(self.most[i], self.most[j]) * (1 + self.similarity) >= self.similarity * (self.n[i].astype(np.int64) + self.n[j]) - 1e-9
+        near = enough & (self.node[i] != self.node[j])
+        i, j = i[near], j[near]
         a, b = self.node[i], self.node[j]
         self.found.append(np.column_stack((np.minimum(a, b), np.maximum(a, b), self.place[i])))
 
@@ -392,72 +409,87 @@ class _Pairs:
         made = made[new]
         none = np.zeros(len(made), np.int64)
         self.found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (made[:, 0], made[:, 1], made[:, 2], none.astype(np.int32) - 1, none)], names=["a", "b", "run", "n", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (made[:, 0], made[:, 1], made[:, 2], none.astype(np.int32) - 1, none, none.astype(np.int32))], names=_MET_NAMES)
 
 
-_MET = "a long, b long, run long, n int, bits long"
+_MET = "a long, b long, run long, n int, bits long, most int"
+_MET_NAMES = [x.split()[0] for x in _MET.split(", ")]
 
 
 def _meet_center(similarity: float, radius: int):
-    """In rows ``place, run, n, node, bits`` by place: each meets the next one and its group's center, the row nearest to the
-    bits that most rows of the group have. Near copies of one text differ more from each other than from that text.
+    """In rows ``place, n, node, bits, most`` by place: all of a small group meet. In others each meets the next one and its
+    group's center, the row nearest to the bits that most rows of the group have. Near copies of one text differ more from
+    each other than from that text.
 
-    Rows of groups over two follow as ``a = node, run, n, bits``; pairs have ``n = -1`` and their place as ``run``.
+    Rows of groups that aren't small follow as ``a = node, run = place, n, bits, most``; pairs have ``n = -1`` and their place as ``run``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, run_, n, node, bits in _group_chunks(batches, 5):
+        for place, n, node, bits, most in _group_chunks(batches, 5):
             first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
             size = np.diff(np.append(first, len(place)))
             some = np.repeat(size > 1, size)  # most shingles have one text
-            place, run_, n, node, bits, size = place[some], run_[some], n[some], node[some], bits[some], size[size > 1]
+            place, n, node, bits, most, size = place[some], n[some], node[some], bits[some], most[some], size[size > 1]
             if not len(size):
                 continue
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             group = np.repeat(np.arange(len(size)), size)
-            pairs = _Pairs(place, node, n, bits, similarity, radius)
-            following = np.flatnonzero(group[1:] == group[:-1])
-            pairs.add(following, following + 1)
-            most = np.zeros(len(size), np.uint64)
+            pairs = _Pairs(place, node, n, bits, most, similarity, radius)
+            small = size <= _SMALL_GROUP
+            for rows, reach in ((np.flatnonzero(small[group]), _SMALL_GROUP), (np.flatnonzero(~small[group]), 2)):
+                for step in range(1, reach):
+                    near = group[rows[step:]] == group[rows[:-step]]
+                    if not near.any():
+                        break
+                    pairs.add(rows[:-step][near], rows[step:][near])
+            common = np.zeros(len(size), np.uint64)
             for k in range(64):
                 ones = np.add.reduceat((bits.view(np.uint64) >> np.uint64(k)) & np.uint64(1), first)
-                most |= (2 * ones > size).astype(np.uint64) << np.uint64(k)
-            rank = _distance(bits, most.view(np.int64)[group]).astype(np.int64) << 40 | np.arange(len(bits))
+                common |= (2 * ones > size).astype(np.uint64) << np.uint64(k)
+            rank = _distance(bits, common.view(np.int64)[group]).astype(np.int64) << 40 | np.arange(len(bits))
             center = np.minimum.reduceat(rank, first) & ((1 << 40) - 1)
-            pairs.add(np.arange(len(bits)), center[group])
+            more = ~small[group]
+            pairs.add(np.flatnonzero(more), center[group[more]])
             yield pairs.rows()
-            more = np.repeat(size > 2, size)
             if more.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (node, node, run_, n, bits)], names=["a", "b", "run", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (node, node, place, n, bits, most)], names=_MET_NAMES)
 
     return run
 
 
 def _meet_others(similarity: float, radius: int, nearest: int | None):
-    """In rows ``place, tag, n, node, bits, root`` by place and tag: rows meet those of other components.
+    """In rows ``place, tag, n, node, bits, most, root`` by place and tag: rows meet those of other components.
 
     With ``nearest``, a row outside its group's largest component meets that many, by bits. Without, each of these
-    meets all rows; rows with tag 1 are guests from other parts of their group.
+    meets all rows; rows with tag 1 are guests from other parts of their group. Rows are sorted by ``n`` too, and meet
+    those of a length and place in the order of shingles with which they can be alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, tag, n, node, bits, root in _group_chunks(batches, 6):
+        for place, tag, n, node, bits, most, root in _group_chunks(batches, 7):
+            longest = (most * (1 + similarity) + 1e-9) / similarity - n  # of the texts that a row may be alike to
             first = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
             for s, e in zip(first.tolist(), [*first[1:].tolist(), len(place)]):
                 roots, counts = np.unique(root[s:e], return_counts=True)
                 if len(roots) < 2:
                     continue
-                pairs = _Pairs(place, node, n, bits, similarity, radius)
+                pairs = _Pairs(place, node, n, bits, most, similarity, radius)
                 home = s + np.flatnonzero(tag[s:e] == 0)
                 rest = s + np.flatnonzero((root[s:e] != roots[counts.argmax()]) | (tag[s:e] == 1))
-                step = max(1, (1 << 22) // max(1, len(home)))
+                everyone, step = home, min(512, max(1, (1 << 22) // max(1, len(home))))
                 for at in range(0, len(rest), step):
                     part = rest[at : at + step]
-                    apart = root[part][:, None] != root[home][None, :]
+                    low, high = similarity * n[part].min() - 1e-9, n[part].max() / similarity + 1e-9
+                    home = everyone[np.searchsorted(n[everyone], low) : np.searchsorted(n[everyone], high, side="right")]
+                    if not len(home):
+                        continue
+                    far = _distance(bits[part][:, None], bits[home][None, :])
+                    apart = (root[part][:, None] != root[home][None, :]) & (far <= radius)
+                    apart &= (n[home][None, :] <= longest[part][:, None]) & (n[part][:, None] <= longest[home][None, :])
                     if nearest is None:
                         i, j = np.nonzero(apart)
                     else:
-                        far = np.where(apart, _distance(bits[part][:, None], bits[home][None, :]).astype(np.int64), 99)
+                        far[~apart] = 99
                         k = min(nearest, len(home))
                         j = np.argpartition(far, k - 1, axis=1)[:, :k].ravel()
                         i = np.repeat(np.arange(len(part)), k)
@@ -471,19 +503,119 @@ def _meet_others(similarity: float, radius: int, nearest: int | None):
 
 
 _PLACE_PAIRS = 1 << 16  # that are compared in one task
+_SENT_IDS = 1 << 19  # texts' ids of eight bytes that are broadcast at most
+
+
+def _place_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 25) -> Iterator[pa.Table]:
+    """Rows sorted by ``place``, in chunks of about ``size`` bytes that hold whole places."""
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        waiting += batch.nbytes
+        if waiting < size or held[0]["place"][0] == batch["place"][-1]:
+            continue
+        rows = pa.Table.from_batches(held)
+        place = rows["place"].to_numpy()
+        cut = int(np.flatnonzero(place != place[-1])[-1]) + 1  # the last place may go on
+        yield rows.slice(0, cut)
+        held = rows.slice(cut).to_batches()
+        waiting = sum(x.nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(pairs: DataFrame, loads: DataFrame, alike) -> DataFrame:
+    """The pairs ``(a, b, place)`` of nodes for which ``alike(words, starts, ends, n, at, bt)`` holds.
+
+    ``loads`` has ``node, n, load``, a load being 64-bit words. Pairs are compared where they met: a place gets the load of
+    each of its texts once, however many pairs it has. A place of very many pairs is split by one side.
+    """
+    large = pairs.groupBy("place").count().where(F.col("count") > _PLACE_PAIRS).select("place", F.expr(f"count div {_PLACE_PAIRS} + 1").alias("parts"))
+    split = F.when(F.col("parts").isNull(), F.col("place")).otherwise(F.xxhash64("place", F.pmod(F.xxhash64("a"), F.col("parts"))))
+    pairs = pairs.join(large, "place", "left").select(split.alias("place"), "a", "b")
+    members = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct().join(loads, "node")
+    rows = members.select("place", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "load")
+    rows = rows.unionByName(pairs, allowMissingColumns=True).repartition("place").sortWithinPartitions("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _place_chunks(batches):
+            paired = pc.is_valid(chunk["b"])
+            met, members = chunk.filter(paired).combine_chunks(), chunk.filter(pc.invert(paired)).combine_chunks()
+            if not met.num_rows:
+                continue
+            a, b, place = (met[c].to_numpy() for c in ("a", "b", "place"))
+            node, n = members["a"].to_numpy(), members["n"].to_numpy().astype(np.int64)
+            load = members["load"].combine_chunks().cast(pa.large_binary())
+            ends = np.frombuffer(load.buffers()[1], np.int64)[load.offset : load.offset + len(load) + 1] // 8
+            words = np.frombuffer(load.buffers()[2], np.uint8)[: ends[-1] * 8].view(np.uint64)
+            order = np.argsort(node)
+            at, bt = (order[np.searchsorted(node[order], x)] for x in (a, b))
+            yes = alike(words, ends[:-1], ends[1:], n, at, bt)
+            yield pa.RecordBatch.from_arrays([pa.array(x[yes]) for x in (a, b, place)], names=["a", "b", "place"])
+
+    return rows.select("place", "a", "b", "n", "load").mapInArrow(run, "a long, b long, place long")
+
+
+def _odd_alike(similarity: float):
+    """Whether two texts' sketches leave it open that they are alike; the longer sketch is folded to the shorter."""
+
+    def alike(words, starts, ends, n, at, bt):
+        size = ends - starts
+        swap = size[at] < size[bt]
+        at, bt = np.where(swap, bt, at), np.where(swap, at, bt)
+        most = (1 - similarity) / (1 + similarity) * (n[at] + n[bt]) + 1e-9
+        out = np.zeros(len(at), bool)
+        kinds = size[at] << 32 | size[bt]
+        by = np.argsort(kinds, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(kinds[by])) + 1):
+            long, short = int(size[at[some[0]]]), int(size[bt[some[0]]])
+            step = max(1, (1 << 20) // long)
+            for few in np.split(some, range(step, len(some), step)):
+                x = words[starts[at[few]][:, None] + np.arange(long)].reshape(len(few), long // short, short)
+                y = words[starts[bt[few]][:, None] + np.arange(short)]
+                apart = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ y).sum(axis=1, dtype=np.int64)
+                out[few] = apart <= most[few]
+        return out
+
+    return alike
+
+
+def _runs_alike(similarity: float):
+    """Whether two texts' sorted shingles are alike."""
+
+    def alike(words, starts, ends, n, at, bt):
+        values, out = words.view(np.int64), np.zeros(len(at), bool)
+        by = np.argsort(at, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+            own = values[starts[at[some[0]]] : ends[at[some[0]]]]
+            for few in np.split(some, range(256, len(some), 256)):
+                low, high = starts[bt[few]], ends[bt[few]]
+                n = high - low
+                theirs = values[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = np.add.reduceat((own[place] == theirs).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
+                out[few] = common >= similarity * (len(own) + n - common) - 1e-9
+        return out
+
+    return alike
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of the pairs ``(a, b, place)`` of nodes those whose shingles are alike, by exact comparison.
 
-    Pairs are compared where they met: a place gets the shingles of each of its texts once, however many pairs it has. A
-    place of very many pairs is split by one side.
+    Sketches of a few bits a shingle come first: they leave out only pairs that cannot be alike, and nearly all that are
+    far from it, so that few texts are read again and sent.
     """
-    spark = docs.sparkSession
+    pairs = written(_compared(pairs, nodes.select("node", "n", F.col("odd").alias("load")), _odd_alike(similarity)), "maybe-alike")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
     texts = docs.select(F.col("text").cast("string").alias("_text"), F.xxhash64("text").alias("t"))
-    texts = texts.join(wanted.select("t"), "t", "left_semi")
-    small_batches(spark)
+    wanted = written(wanted.select("t"), "wanted")
+    # few ids go to the texts, so that the other texts stay where they are
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= _SENT_IDS else wanted, "t", "left_semi")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of copies one is enough
@@ -498,79 +630,56 @@ def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, simil
                 got.append(numbered(shingle_hashes(text, size)))
                 names.append(_node(got[-1]))
             if got:
-                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))], names=["node", "runs"])
-
-    sets = texts.select("t", "_text").mapInArrow(run, "node long, runs array<long>").dropDuplicates(["node"])
-    large = pairs.groupBy("place").count().where(F.col("count") > _PLACE_PAIRS).select("place", F.expr(f"count div {_PLACE_PAIRS} + 1").alias("parts"))
-    split = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))
-    pairs = pairs.join(large, "place", "left").select("a", "b", F.xxhash64("place", split).alias("place"))
-    members = pairs.select("place", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select(F.col("place").alias("at"), "node", "runs")
-
-    def compare(met: pa.Table, members: pa.Table) -> pa.Table:
-        node = members["node"].combine_chunks().to_numpy()
-        order = np.argsort(node)
-        lists = members["runs"].combine_chunks()
-        values, ends = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        a, b = (met[c].combine_chunks().to_numpy() for c in ("a", "b"))
-        at, bt = (order[np.searchsorted(node[order], x)] for x in (a, b))
-        alike = np.zeros(len(a), bool)
-        by = np.argsort(at, kind="stable")
-        for some in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
-            own = values[ends[at[some[0]]] : ends[at[some[0]] + 1]]
-            for few in np.split(some, range(256, len(some), 256)):
-                low, high = ends[bt[few]], ends[bt[few] + 1]
-                n = high - low
-                theirs = values[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-                common = np.add.reduceat((own[place] == theirs).astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
-                alike[few] = common >= similarity * (len(own) + n - common) - 1e-9
-        return pa.table({"a": a[alike], "b": b[alike]})
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(list(map(len, got)), pa.int32()), pa.array([x.tobytes() for x in got], pa.binary())], names=["node", "n", "load"])
 
-    return pairs.groupBy("place").cogroup(members.groupBy("at")).applyInArrow(compare, "a long, b long")
+    sets = texts.select("t", "_text").mapInArrow(run, "node long, n int, load binary").dropDuplicates(["node"])
+    return _compared(pairs, sets, _runs_alike(similarity)).select("a", "b")
 
 
 def similar_links(docs: DataFrame, texts: DataFrame, hot: tuple[np.ndarray, np.ndarray], size: int = 5, similarity: float = 0.8, radius: int = 24, group_rows: int = 1 << 17) -> DataFrame:
     """Links ``(a, b)`` that join all nodes whose weighted shingle similarity is at least ``similarity``.
 
-    Candidates share one of their rarest shingles, which loses nothing, and have fingerprints within the radius (by
-    exclusive-or and bit counts in tiles); each is compared exactly. The texts with a shingle form a group. First each
-    text meets its group's center; a text that is then outside the largest component meets those with the nearest
-    fingerprints, and only what is still apart meets all others. So a group of near copies costs a few pairs a text, not
-    all pairs. A group over ``group_rows`` texts, as the sample has it, is dealt out in parts: its center rounds run in each
-    part, and in the last round texts outside its largest component visit every part.
+    Candidates share one of their rarest shingles, early enough in both that as many can be shared as it takes, which loses
+    nothing, and have fingerprints within the radius (by exclusive-or and bit counts in tiles); each is compared by sketches,
+    then exactly. The texts with a shingle form a group. All of a small group meet. In others each text first meets its
+    group's center; a text that is then outside the largest component meets those with the nearest fingerprints, and only
+    what is still apart meets all others that it can be alike to. So a group of near copies costs a few pairs a text, not all
+    pairs. A group over ``group_rows`` texts, as the sample has it, is dealt out in parts: its first rounds run in each part,
+    and in the last round texts outside its largest component visit every part.
     """
     spark = docs.sparkSession
-    nodes = written(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("t").alias("t")), "distinct-texts")
-    rows = nodes.select(F.explode("prefix").alias("run"), "n", "node", "bits")
+    nodes = written(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix"), F.min("t").alias("t")), "distinct-texts")
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "run"), "n", "node", "bits").withColumn("most", F.col("n") - F.col("pos")).drop("pos")
     known, often = hot
     split = spark.createDataFrame([(r, -(-c * 2 // group_rows)) for r, c in zip(known.tolist(), often.tolist()) if c > group_rows], "run long, parts long")  # at most _HOT_MOST rows
     few = F.broadcast(split)
 
     def placed(df: DataFrame) -> DataFrame:
-        own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-        return df.join(few, "run", "left").withColumn("part", own).withColumn("place", F.xxhash64("run", "part"))
+        own = F.xxhash64("run", F.pmod(F.xxhash64("node"), F.col("parts")))
+        return df.join(few, "run", "left").withColumn("place", F.when(F.col("parts").isNull(), F.col("run")).otherwise(own))
 
     def dealt(df: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
         order = [c for c in ("place", "tag", "n", "node") if c in columns]
-        return df.select(*columns).repartition("place").sortWithinPartitions(*order).mapInArrow(run, schema)
+        return df.select(*columns).repartition(parallel(spark), "place").sortWithinPartitions(*order).mapInArrow(run, schema)
 
-    met = written(dealt(placed(rows), ["place", "run", "n", "node", "bits"], _meet_center(similarity, radius), _MET), "meetings")
-    links = written(_alike(docs, nodes, met.where("n = -1").groupBy("a", "b").agg(F.min("run").alias("place")), size, similarity), "alike")
+    met = written(dealt(placed(rows), ["place", "n", "node", "bits", "most"], _meet_center(similarity, radius), _MET), "meetings")
+    pairs = written(met.where("n = -1").groupBy("a", "b").agg(F.min("run").alias("place")), "pairs")
+    links = written(_alike(docs, nodes, pairs, size, similarity), "alike")
     # a part of a split group may be a single row that still has to meet those of other parts
-    large = met.where("n >= 0").select("run", F.col("a").alias("node"), "n", "bits").join(few, "run", "left_anti")
-    large = large.unionByName(rows.select("run", "node", "n", "bits").join(few, "run", "left_semi"))
+    parted = F.broadcast(split.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "run").select(F.xxhash64("run", "part").alias("run")))
+    large = met.where("n >= 0").select("run", F.col("a").alias("node"), "n", "bits", "most").join(parted, "run", "left_anti")
+    large = large.unionByName(rows.select("run", "node", "n", "bits", "most").join(few, "run", "left_semi"))
     for nearest in (_NEAREST, None):
         roots = components(links)
         now = large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = now.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("run")
-        large = written(now.join(apart, "run", "left_semi").select("run", "node", "n", "bits", "root"), "apart")
+        large = written(now.join(apart, "run", "left_semi").select("run", "node", "n", "bits", "most", "root"), "apart")
         spread = placed(large).withColumn("tag", F.lit(0))
         if nearest is None:
-            most = large.join(F.broadcast(split.select("run")), "run", "left_semi").groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", "count").alias("most"))
-            guests = large.join(few, "run").join(most, "run").where("root != most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            largest = large.join(F.broadcast(split.select("run")), "run", "left_semi").groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", "count").alias("largest"))
+            guests = large.join(few, "run").join(largest, "run").where("root != largest").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             spread = spread.unionByName(guests.withColumn("place", F.xxhash64("run", "part")).withColumn("tag", F.lit(1)), allowMissingColumns=True)
-        more = written(dealt(spread, ["place", "tag", "n", "node", "bits", "root"], _meet_others(similarity, radius, nearest), _MET).groupBy("a", "b").agg(F.min("run").alias("place")), "more")
+        more = written(dealt(spread, ["place", "tag", "n", "node", "bits", "most", "root"], _meet_others(similarity, radius, nearest), _MET).groupBy("a", "b").agg(F.min("run").alias("place")), "more")
         if more.isEmpty():
             continue
         links = written(links.unionByName(_alike(docs, nodes, more, size, similarity)), "alike")

@@ -181,6 +181,40 @@ def test_near_copies_of_one_text_cost_few_pairs_each(spark, monkeypatch):
     assert sum(met) < 20 * len(texts) < len(texts) ** 2 / 10
 
 
+def test_texts_that_share_too_little_do_not_meet(spark, monkeypatch):
+    """Texts that share seven in ten shingles: their groups are large, but nothing is compared pair by pair."""
+    rng = random.Random(8)
+    line = " ".join(f"hot{k}" for k in range(38))
+    texts = [line + " " + " ".join(f"u{rng.random()}" for _ in range(7)) for _ in range(200)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    met, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda docs, nodes, pairs, *a: met.append(pairs.count()) or alike(docs, nodes, pairs, *a))
+    assert simhash.keep_one_similar(docs).count() == len(set(alike_groups(texts))) == 200
+    assert sum(met) < len(texts)
+
+
+def test_sketches_leave_out_only_what_cannot_be_alike():
+    """Sets of shingles of unlike sizes, so that sketches have to be folded, against the exact comparison."""
+    rng = np.random.default_rng(3)
+    runs, met = [], []
+    for n in (1, 4, 5, 30, 33, 120, 130, 500, 515, 3000):
+        base = rng.integers(-(1 << 62), 1 << 62, n)
+        for share in (0, 0.02, 0.05, 0.1, 0.2, 0.5, 1):
+            new = rng.integers(-(1 << 62), 1 << 62, int(share * n))
+            runs.append(np.unique(np.concatenate((base[len(new) // 2 :], new))))
+    met = [(i, j) for i in range(len(runs)) for j in range(len(runs)) if i != j]
+    at, bt = np.array(met).T
+    words = [np.frombuffer(simhash._odd(x), np.uint64) for x in runs], [x.view(np.uint64) for x in runs]
+    kept = []
+    for loads, alike in zip(words, (simhash._odd_alike(0.8), simhash._runs_alike(0.8))):
+        ends = np.cumsum([0, *map(len, loads)])
+        kept.append(alike(np.concatenate(loads), ends[:-1], ends[1:], np.array([len(x) for x in runs]), at, bt))
+    common = np.array([len(np.intersect1d(runs[i], runs[j])) / len(np.union1d(runs[i], runs[j])) for i, j in met])
+    assert (kept[1] == (common >= 0.8 - 1e-9)).all() and kept[1].sum() > 50
+    near = np.array([min(len(runs[i]), len(runs[j])) >= 0.8 * max(len(runs[i]), len(runs[j])) for i, j in met])  # others don't meet
+    assert kept[0][kept[1]].all() and (kept[0] & near).sum() < 1.2 * kept[1].sum() < near.sum() / 2
+
+
 def test_keep_one_similar_odd_rows(odd, odd_rows, empty):
     got = simhash.keep_one_similar(odd)
     assert got.columns == odd.columns and got.count() == len(set(alike_groups([r[1] for r in odd_rows])))
