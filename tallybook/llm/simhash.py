@@ -1,22 +1,24 @@
-"""SimHash near-duplicates (operator 10): tiled exact comparison of 64-bit fingerprints.
-
-Every pair of different fingerprints within the radius is found. Fingerprints are dealt out by the bit
-counts of their two halves; two within radius ``r`` have counts that differ by at most ``r`` in sum, so
-a cell meets only the cells near it (a row goes to 1 + 2r + ... cells, 21 for radius 4, whatever the
-input's size). Inside a task numpy compares tile against tile by exclusive-or and bit counts and skips
-tile pairs whose bit counts (by byte) differ by more than the radius. A task sends out a spanning forest
-of the links that it finds, never all pairs; equal fingerprints are one node with a count.
+"""SimHash near-duplicates (operator 10): exact comparison of 64-bit fingerprints that agree in blocks of bits.
+
+Every pair of different fingerprints within the radius is found. Bits are cut into ``radius + k`` blocks; two
+fingerprints within the radius differ in ``radius`` blocks at most, so they agree in all of some ``k`` blocks.
+For each choice of ``k`` blocks those that agree in them form a cell and are compared; ``k`` follows the number of
+fingerprints (radius 4: 5 cells a fingerprint, then 15 of about 21 bits, 35 of 27, 70 of 32). numpy compares the
+rows of small cells by shifts, those of large ones tile against tile, and skips tile pairs whose bit counts (by
+byte) differ by more than the radius. A task sends out a spanning forest of the links that it finds, never all
+pairs; equal fingerprints are one node with a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -24,6 +26,9 @@ from .shared import parallel, row_hash, small_batches, table, text_bytes, writte
 
 _ONES = np.uint64(0x0101010101010101)
 _TASK_PAIRS = 2e8  # comparisons that a task should have
+_ROW_COST, _PAIR_COST = 1500, 6  # about how many nanoseconds a row of a cell and a comparison take
+_SMALL_CELL = 256  # rows that are compared by shifts
+_SAMPLED = 1 << 21  # fingerprints whose cells are counted
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -87,6 +92,44 @@ class _Tiles:
         return np.flatnonzero(apart <= radius)
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches, from the same before rows ``a`` were linked to ``b``."""
+    while True:
+        x, y = root[a], root[b]
+        if not (apart := x != y).any():
+            return root
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]) is not None and (up != root).any():
+            root = up
+
+
+def _forests(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` that join what the given ones join, a spanning forest of as many as are held at once."""
+    held, waiting = [], 0
+
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = _joined(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return nodes[own], nodes[root[own]]
+
+    for a, b in found:
+        if not len(a):
+            continue
+        held.append((a, b))
+        waiting += len(a)
+        if waiting > most:
+            held = [forest()]
+            waiting = len(held[0][0])
+            if waiting > most // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held[0]], names=["a", "b"])
+                held, waiting = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in forest()], names=["a", "b"])
+
+
 class _Home:
     """The fingerprints of a cell, and which of them are known to be linked."""
 
@@ -97,16 +140,6 @@ class _Home:
             near = self.tiles.near(self.tiles.low[k], self.tiles.high[k], radius)
             self._meet(self.tiles.fps[at : at + side], at, near[near >= k])
 
-    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            if not (apart := x != y).any():
-                return
-            x, y = x[apart], y[apart]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while (up := self.root[self.root]) is not None and (up != self.root).any():
-                self.root = up
-
     def _meet(self, fps: np.ndarray, at: int | None, near: np.ndarray) -> np.ndarray:
         """Links the home rows within the radius; for visitors (at is None) also gives one home row of each, or -1."""
         first = np.full(len(fps), -1)
@@ -125,7 +158,7 @@ class _Home:
             else:
                 i = i + at
             if (apart := self.root[i] != self.root[j]).any():
-                self._link(i[apart], j[apart])
+                self.root = _joined(self.root, i[apart], j[apart])
         return first
 
     def visit(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +177,13 @@ class _Home:
 
 
 def _tile_links(radius: int, side: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    """In rows ``key, tag, fp`` of parts of large cells, by key and tag: home rows (tag 0) meet each other and visitors."""
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, rows, home = None, [], None
         for batch in batches:
             keys, tags, fps = (batch.column(k).to_numpy() for k in range(3))
-            cuts = np.flatnonzero(np.diff(keys) | np.diff(tags)) + 1
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(tags) != 0)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(keys)]):
                 if s == e:
                     continue
@@ -159,7 +191,7 @@ def _tile_links(radius: int, side: int):
                     if rows:
                         home, rows = _Home(np.concatenate(rows), radius, side), []
                     if home:
-                        yield out(*home.forest())
+                        yield home.forest()
                     key, home = keys[s], None
                 part = fps[s:e].view(np.uint64)
                 if not tags[s]:
@@ -168,53 +200,87 @@ def _tile_links(radius: int, side: int):
                 if rows:
                     home, rows = _Home(np.concatenate(rows), radius, side), []
                 if home:
-                    yield out(*home.visit(part))
+                    yield home.visit(part)
         if rows:
             home = _Home(np.concatenate(rows), radius, side)
         if home:
-            yield out(*home.forest())
+            yield home.forest()
 
-    return run
+    return lambda batches: _forests(links(batches))
+
+
+def _cell_links(radius: int, side: int):
+    """In rows ``key, fp`` by key: those of a cell meet."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for key, fps in _group_chunks(batches, 2):
+            fps = fps.view(np.uint64)
+            first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            size = np.diff(np.append(first, len(key)))
+            for k in np.flatnonzero(size > _SMALL_CELL):
+                yield _Home(fps[first[k] : first[k] + size[k]], radius, side).forest()
+            few = np.repeat((size > 1) & (size <= _SMALL_CELL), size)
+            key, fps = key[few], fps[few]
+            rows = np.arange(len(key))  # with one of their cell ``step`` further on
+            for step in range(1, _SMALL_CELL):
+                rows = rows[rows < len(key) - step]
+                rows = rows[key[rows] == key[rows + step]]
+                if not len(rows):
+                    break
+                near = rows[np.bitwise_count(fps[rows] ^ fps[rows + step]) <= radius]
+                yield fps[near], fps[near + step]
+
+    return lambda batches: _forests(links(batches))
+
+
+def _masks(radius: int, agree: int) -> list[int]:
+    """Bits of each choice of ``agree`` blocks out of ``radius + agree``; of none: no bits, as all meet."""
+    cuts = [64 * k // max(1, radius + agree) for k in range(radius + agree + 1)]
+    blocks = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+    return [sum(some) for some in combinations(blocks, agree)]
 
 
-def _ones(c: Column) -> Column:
-    return F.bit_count(c).cast("int")
+def _pairs_in(masks: list[int], n: int) -> float:
+    """About how many pairs of ``n`` fingerprints meet in the cells."""
+    return sum(n * n / 2 / 2 ** mask.bit_count() for mask in masks)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, cell_rows: int = 1 << 17, side: int = 512) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 4, cell_rows: int = 1 << 17, side: int = 512, agree: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that join all different fingerprints (column ``fp``) within the radius, as a forest per task.
 
-    A cell over ``cell_rows`` rows is split, and each part meets the others: no task holds more at once.
+    Cells are those of ``agree`` blocks; None: as many as take the least time, were bits even. A cell over ``cell_rows`` rows
+    (as a sample has it, of two million fingerprints at least) is split, and each part meets the others: no task holds more
+    at once. ``fps`` must be cheap to read again.
     """
-    cells = fps.select("fp", _ones(F.shiftrightunsigned("fp", 32)).alias("x"), _ones(F.col("fp").bitwiseAND(0xFFFFFFFF)).alias("y"))
-    cells = cells.withColumn("cell", F.col("x") * 64 + F.col("y"))
-    # at most 33 * 33 counts, whatever the input
-    counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
-    parts = {c: -(-n // cell_rows) for c, n in counts.items() if n > cell_rows}
-
-    def n_parts(cell: Column) -> Column:
-        return F.coalesce(F.create_map(*[F.lit(v) for kv in parts.items() for v in kv])[cell], F.lit(1)) if parts else F.lit(1)
-
-    own = F.pmod(F.xxhash64("fp"), n_parts(F.col("cell"))).cast("int")
-    key = lambda cell, part: cell.cast("long") * (1 << 32) + part.cast("long")
-    steps = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(radius + 1) if abs(dx) + dy <= radius and (dy > 0 or dx > 0)]
-    near = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])
-    home = cells.select(key(F.col("cell"), own).alias("key"), F.lit(0).alias("tag"), "fp")
-    there = F.col("c.x") * 64 + F.col("c.y")
-    lived = there.isin(sorted(counts)) if counts else F.lit(False)
-    away = cells.select("fp", F.explode(near).alias("c")).where("c.x between 0 and 32 and c.y between 0 and 32").where(lived)
-    away = away.select("fp", there.alias("cell"))
-    if parts:
-        same = cells.withColumn("own", own).where("own > 0").select("fp", "cell", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"))
-        away = away.select("fp", "cell", F.explode(F.sequence(F.lit(0), n_parts(F.col("cell")) - 1)).alias("part")).unionByName(same)
-    else:
-        away = away.withColumn("part", F.lit(0))
-    rows = home.unionByName(away.select(key(F.col("cell"), F.col("part")).alias("key"), F.lit(1).alias("tag"), "fp"))
-    # comparisons, not bytes, are what a task must have few of: a cell's rows meet each other and those of near cells
-    around = {c: sum(counts.get(c + 64 * dx + dy, 0) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if abs(dx) + abs(dy) <= radius) for c in counts}
-    work = sum(n * around[c] for c, n in counts.items()) / 2
-    tasks = max(parallel(fps.sparkSession), int(work / _TASK_PAIRS))
-    return rows.repartition(min(tasks, max(1, len(counts) + sum(parts.values())) * 4), "key").sortWithinPartitions("key", "tag").mapInArrow(_tile_links(radius, side), "a long, b long")
+    spark = fps.sparkSession
+    n = fps.count()
+    if agree is None:
+        choices = [k for k in range(5) if radius + k <= 64 and (k or n <= cell_rows)] or [0]
+        agree = min(choices, key=lambda k: len(_masks(radius, k)) * n * _ROW_COST + _pairs_in(_masks(radius, k), n) * _PAIR_COST)
+    masks = _masks(radius, agree)
+
+    def cells(df: DataFrame) -> DataFrame:
+        keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]
+        return df.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+
+    every = max(1, n // _SAMPLED)
+    sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0)
+    large = cells(sample).groupBy("cell").count().where(F.col("count") * every > cell_rows)
+    large = {r["cell"]: r["count"] * every for r in large.collect()}  # at most len(masks) * n / cell_rows
+    # comparisons, not bytes, are what a task must have few of
+    tasks = max(parallel(spark), int(_pairs_in(masks, n) / _TASK_PAIRS))
+    rows = cells(fps)
+    if not large:
+        return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, side), "a long, b long")
+    split = F.broadcast(spark.createDataFrame([(c, -(-k // cell_rows)) for c, k in large.items()], "cell long, parts long"))
+    links = rows.join(split, "cell", "left_anti").repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius, side), "a long, b long")
+    rows = rows.join(split, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    home = rows.select(F.xxhash64("cell", "own").alias("key"), F.lit(0).alias("tag"), "fp")
+    away = rows.where("own > 0").select("cell", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("part"))
+    rows = home.unionByName(away.select(F.xxhash64("cell", "part").alias("key"), F.lit(1).alias("tag"), "fp"))
+    tasks = max(parallel(spark), int(sum(k * k for k in large.values()) / 2 / _TASK_PAIRS))
+    rows = rows.repartition(tasks, "key").sortWithinPartitions("key", "tag")
+    return links.unionByName(rows.mapInArrow(_tile_links(radius, side), "a long, b long"))
 
 
 def with_components(prints: DataFrame, radius: int = 4, doc_id: str = "doc_id") -> DataFrame:

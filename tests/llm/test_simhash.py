@@ -92,6 +92,41 @@ def test_links_of_near_fingerprints(spark, cell_rows, side):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def balls(rng, n):
+    """Different prints, many within few bits of another one."""
+    prints = set()
+    for _ in range(n):
+        x = rng.getrandbits(64)
+        for _ in range(6):
+            prints.add(x)
+            for b in rng.sample(range(64), rng.randrange(1, 7)):
+                x ^= 1 << b
+    return sorted(prints | {0, (1 << 64) - 1, 15, 255})
+
+
+@pytest.mark.parametrize("agree, radius, cell_rows", [(0, 4, 60), (1, 4, 1 << 17), (1, 4, 4), (2, 4, 1 << 17), (2, 4, 2), (3, 2, 1 << 17), (4, 1, 1 << 17), (1, 0, 1 << 17)])
+def test_cells_of_any_number_of_blocks(spark, monkeypatch, agree, radius, cell_rows):
+    """Every choice of blocks finds the same groups, also where cells are compared by tiles or split."""
+    if agree == 1:
+        monkeypatch.setattr(simhash, "_SMALL_CELL", 3)
+    prints = balls(random.Random(agree), 80)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    roots = {r.node: r.root for r in components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, cell_rows, 16, agree)).collect()}
+    got, want = {}, {}
+    for x, g in zip(signed, groups(prints, radius)):
+        got.setdefault(roots.get(x, x), set()).add(x)
+        want.setdefault(g, set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_comparisons_grow_less_than_with_the_square():
+    """Twenty million prints: few cells a print and few comparisons each, where all pairs would be 2 * 10 ** 14."""
+    for n in (236_000, 3_000_000, 20_000_000):
+        cost = {k: (len(simhash._masks(4, k)) * n, simhash._pairs_in(simhash._masks(4, k), n)) for k in range(5)}
+        rows, pairs = min(cost.values(), key=lambda x: x[0] * simhash._ROW_COST + x[1] * simhash._PAIR_COST)
+        assert rows <= 15 * n and pairs <= 1100 * n
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(200)] + [(900, 901), (901, 900), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
