@@ -289,12 +289,107 @@ def build(df: DataFrame, spec: SketchSpec, keys: str | Sequence[str] = (), x: st
         return outward(merged(spread, spec, keys), outer)
 
 
+class ManyHeld:
+    """What a task holds of several sketches: per form an array of keys by registers, NaN where empty.
+
+    Sketches of one form differ only in how they write down an exponential (or power, or rank), which is monotone, so
+    the form is held once and written down at the end. What an element brings at best is known from one hash (ordered
+    kinds) or from the greatest of its hashes, before any logarithm: where that changes no register of its key, as for
+    most elements of a long stream and all repetitions, the element is left out.
+    """
+
+    def __init__(self, kinds: Sequence[SketchSpec]):
+        self.forms = {self.form(spec): spec for spec in kinds}
+        self.each = 8 * (sum(s.m for s in kinds) + sum(s.m for s in self.forms.values()))  # bytes of a key, written down and held
+        self.step = min(1 << 14, max(64, _BYTES_HELD // self.each))  # rows, and so new keys, at a time
+        self.clear()
+
+    @staticmethod
+    def form(spec: SketchSpec) -> tuple:
+        return spec.traits.family, spec.m, spec.is_weighted, spec.kind if spec.kind in ("WeightedMinHash", "HyperLogLog") else ""
+
+    def clear(self) -> None:
+        self.slots: dict[tuple, int] = {}
+        self.held = {form: np.empty((0, spec.m)) for form, spec in self.forms.items()}
+
+    def registers(self, spec: SketchSpec) -> np.ndarray:
+        """Keys, in the order of ``slots``, by registers."""
+        out = self.held[self.form(spec)][: len(self.slots)].copy()
+        if spec.kind not in ("WeightedMinHash", "HyperLogLog"):
+            some = ~np.isnan(out)
+            out[some] = register_value_np(spec, out[some])
+        return out
+
+    def add(self, known: Sequence[tuple], group: np.ndarray, h: np.ndarray, w: np.ndarray) -> None:
+        """Rows of the keys ``known[group]``, with the elements' hashes and their weights."""
+        slots, again = np.unique([self.slots.setdefault(k, len(self.slots)) for k in known], return_inverse=True)
+        group = again.ravel()[group]  # keys that are told apart but equal, as 0.0 and -0.0, share a slot
+        tops = self._tops(h)
+        for form, spec in self.forms.items():
+            if len(self.held[form]) < len(self.slots):
+                more = max(len(self.slots), 2 * len(self.held[form])) - len(self.held[form])
+                self.held[form] = np.concatenate([self.held[form], np.full((more, spec.m), np.nan)])
+            now = self.held[form][slots]
+            weight = w if spec.is_weighted else np.ones(len(w))
+            if spec.traits.family == "bucket":
+                self._bucket(spec, now, group, h, weight)
+            else:
+                self._dense(spec, now, group, h, weight, tops.get(spec.m))
+            self.held[form][slots] = now
+
+    def _tops(self, h: np.ndarray) -> dict[int, np.ndarray]:
+        """The greatest of the first m mixed values of each element, by m, for the independent forms."""
+        wanted, out, top = {s.m for s in self.forms.values() if s.traits.family == "independent"}, {}, np.zeros(len(h), np.uint64)
+        for i in range(max(wanted, default=0)):
+            np.maximum(top, mixed_np(h, np.arange(i, i + 1)).ravel(), out=top)
+            if i + 1 in wanted:
+                out[i + 1] = top.copy()
+        return out
+
+    @staticmethod
+    def _bucket(spec: SketchSpec, now: np.ndarray, group: np.ndarray, h: np.ndarray, w: np.ndarray) -> None:
+        m, highest, flat = spec.m, spec.kind == "HyperLogLog", now.reshape(-1)
+        draws = mixed_np(h, np.arange(2 * m, 2 * m + 3))
+        cell = group * m + ((draws[:, 0] >> np.uint64(12)) % np.uint64(m)).astype(np.int64)
+        if highest:
+            value = 53.0 - np.frexp((draws[:, 2] >> np.uint64(12)).astype(np.float64))[1]
+        else:
+            value = -np.log(unit_np(draws[:, 1])) / w
+        some = ~(value <= flat[cell] if highest else value >= flat[cell])  # also where there is none yet
+        (np.fmax if highest else np.fmin).at(flat, cell[some], value[some])
+
+    @staticmethod
+    def _dense(spec: SketchSpec, now: np.ndarray, group: np.ndarray, h: np.ndarray, w: np.ndarray, top: np.ndarray | None) -> None:
+        m, highest = spec.m, spec.kind == "WeightedMinHash"
+        if highest:
+            best = unit_np(top) ** (1.0 / w)
+        elif spec.traits.family == "ordered":
+            best = -np.log(unit_np(mixed_np(h, np.arange(1)).ravel())) / w / m
+        else:
+            best = -np.log(unit_np(top)) / w
+        join, end = (np.maximum, np.min) if highest else (np.minimum, np.max)
+        limit, block, left = end(now, axis=1), max(64, (1 << 16) // m), np.arange(len(h))
+        while len(left):
+            left = left[~(best[left] <= limit[group[left]] if highest else best[left] >= limit[group[left]])]
+            part, left = left[:block], left[block:]
+            if not len(part):
+                break
+            order = np.argsort(group[part], kind="stable")
+            part = part[order]
+            starts = np.flatnonzero(np.diff(group[part], prepend=-1))
+            some = group[part[starts]]
+            made = join.reduceat(block_exponentials(spec, h[part], None, w[part]), starts, axis=0)
+            now[some] = np.where(np.isnan(now[some]), made, join(now[some], made))
+            limit[some] = end(now[some], axis=1)
+
+
 def build_many(df: DataFrame, specs: Mapping[str, SketchSpec], keys: str | Sequence[str] = (), x: str = "x", w: str | None = "w", on_invalid: str = "error") -> DataFrame:
     """The registers of several sketches from one pass over the rows: ``keys, sketch, i, r``, where ``r`` is a double.
 
     All specs share a seed and a hash family (portable or xx), so an element is hashed once; ``sketch`` is a name of
-    ``specs``. Every element is brought to the registers of each sketch in numpy, and one array per key, sketch and task
-    is dealt out. Unweighted kinds take weight 1. ``one_of`` gives the registers of one sketch, as ``build`` makes them.
+    ``specs``. Elements that can change a register are brought to the registers of each sketch in numpy (``ManyHeld``), and
+    one array per key, sketch and task is dealt out. Unweighted kinds take weight 1. ``one_of`` gives the registers of one
+    sketch, as ``build`` makes them; each use of the result is a pass of its own, unless it is cached or written first.
     """
     specs = dict(specs)
     first = next(iter(specs.values()), None)
@@ -309,58 +404,28 @@ def build_many(df: DataFrame, specs: Mapping[str, SketchSpec], keys: str | Seque
     weighted = next((s for s in specs.values() if s.is_weighted), first)
     few = df.select(*[column(df, k).alias(n) for k, n in zip(outer, keys)], column(df, x).alias("_in_x"), *([] if w is None or not weighted.is_weighted else [column(df, w).alias("_in_w")]))
     kinds = list(specs.values())
-    block = max(64, (1 << 19) // max(s.m for s in kinds))
-    each = 8 * sum(s.m for s in kinds)
-
-    def values(spec: SketchSpec, h: np.ndarray, weight: np.ndarray, group: np.ndarray) -> dict[int, np.ndarray]:
-        """The registers of each group; NaN where none."""
-        low, m = spec.traits.least, spec.m
-        weight = weight if spec.is_weighted else np.ones(len(weight))
-        join = np.fmin if low else np.fmax
-        if spec.traits.family == "bucket":
-            draws = mixed_np(h, np.arange(2 * m, 2 * m + 3))
-            i = ((draws[:, 0] >> np.uint64(12)) % np.uint64(m)).astype(np.int64)
-            if spec.kind == "HyperLogLog":
-                r = 53.0 - np.frexp((draws[:, 2] >> np.uint64(12)).astype(np.float64))[1]
-            else:
-                r = register_value_np(spec, -np.log(unit_np(draws[:, 1])) / weight).astype(np.float64)
-            found = {g: np.full(m, np.nan) for g in np.unique(group).tolist()}
-            for g, out in found.items():
-                own = group == g
-                join.at(out, i[own], r[own])
-            return found
-        order = np.argsort(group, kind="stable")
-        ids = group[order]
-        starts = np.flatnonzero(np.diff(ids, prepend=-1))
-        made = block_exponentials(spec, h, None, weight)
-        top = np.maximum if spec.kind == "WeightedMinHash" else np.minimum
-        made = top.reduceat(made[order], starts, axis=0)
-        return dict(zip(ids[starts].tolist(), (made if spec.kind == "WeightedMinHash" else register_value_np(spec, made)).astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[np.ndarray]] = {}
+        held = ManyHeld(kinds)
 
         def out() -> pa.RecordBatch:
-            some = [dict(zip(fields, k)) for k in held for _ in kinds]
-            flat = [r for rs in held.values() for r in rs]
-            got = pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(list(range(len(kinds))) * len(held), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["_k", "_s", "_rs"])
+            some = [dict(zip(fields, k)) for k in held.slots] * len(kinds)
+            which = np.repeat(np.arange(len(kinds), dtype=np.int32), len(held.slots))
+            made = [held.registers(spec) for spec in kinds]
+            ends = np.cumsum([0, *np.repeat([spec.m for spec in kinds], len(held.slots))]).astype(np.int32)
             held.clear()
-            return got
+            return pa.RecordBatch.from_arrays([pa.array(some, key_type), pa.array(which), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made, axis=None)))], names=["_k", "_s", "_rs"])
 
         for batch in batches:
             key_type = batch.column(0).type
             fields = [f.name for f in key_type]
-            group, known = _grouped(batch.column(0))
-            h, weight = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            for at in range(0, len(h), block):
-                part = slice(at, at + block)
-                for n, spec in enumerate(kinds):
-                    for g, r in values(spec, h[part], weight[part], group[part]).items():
-                        rows = held.setdefault(known[g], [np.full(s.m, np.nan) for s in kinds])
-                        rows[n] = (np.fmin if spec.traits.least else np.fmax)(rows[n], r)
-            if len(held) * each > _BYTES_HELD:
-                yield out()
-        if held:
+            for at in range(0, batch.num_rows, held.step):
+                part = batch.slice(at, held.step)
+                group, known = _grouped(part.column(0))
+                held.add(known, group, part.column(1).to_numpy().view(np.uint64), part.column(2).to_numpy())
+                if len(held.slots) * held.each > _BYTES_HELD:
+                    yield out()
+        if held.slots:
             yield out()
 
     with wrapping(df.sparkSession):
@@ -370,9 +435,15 @@ def build_many(df: DataFrame, specs: Mapping[str, SketchSpec], keys: str | Seque
     made = rows.mapInArrow(run, schema).select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], "_s", F.posexplode("_rs").alias("i", "r")).where(~F.isnan("r"))
     lattice = made.groupBy(*keys, "_s", "i").agg(F.min("r").alias("_low"), F.max("r").alias("_high"))
     least = F.col("_s").isin([n for n, s in enumerate(kinds) if s.traits.least])
+    r = F.when(least, F.col("_low")).otherwise(F.col("_high"))
+    shifted = [(n, s.capacity) for n, s in enumerate(kinds) if s.kind == "kQSketchShifted"]
+    if shifted:  # as ``clamped``, of several sketches at once
+        top = F.max("_high").over(Window.partitionBy(*keys, "_s"))
+        lattice = lattice.withColumn("_top", top)
+        for n, capacity in shifted:
+            r = F.when(F.col("_s") == n, F.greatest("_high", F.col("_top") - capacity, F.lit(-1022.0))).otherwise(r)
     label = F.element_at(F.array(*map(F.lit, specs)), F.col("_s") + 1)
-    out = lattice.select(*keys, label.alias("sketch"), "i", F.when(least, F.col("_low")).otherwise(F.col("_high")).alias("r"))
-    return outward(out, outer)
+    return outward(lattice.select(*keys, label.alias("sketch"), "i", r.alias("r")), outer)
 
 
 def one_of(many: DataFrame, name: str, spec: SketchSpec, keys: str | Sequence[str] = ()) -> DataFrame:

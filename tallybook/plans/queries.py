@@ -16,7 +16,7 @@ from ..operators.builtin import build_builtin, estimate_builtin, merge_builtin,
 from ..operators.combine import all_pairs, clone_with, cube, dense, jaccard, merge, moving_union, rollup, set_sizes
 from ..operators.estimate import estimate, estimate_corrected, estimate_direct, newton
 from ..operators.ordered import build_ordered, dyn, records
-from ..operators.registers import build, build_many, deduplicated, one_of
+from ..operators.registers import build, build_many, deduplicated
 from ..sources import generators
 from ..sources.tables import from_state, table, to_state
 from ..streaming.windows import window_registers, window_sums
@@ -259,12 +259,8 @@ MANY = ("exp", "exp_float32", "fast_exp", "qsketch", "kqsketch_shifted", "weight
 
 def many_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registers of several kinds from one pass over the lines."""
-    specs = {n: SPECS[n] for n in MANY}
-    many, out = build_many(lines(spark, sf_dir), specs, FLAG), None
-    for n, spec in specs.items():
-        one = shown(one_of(many, n, spec, FLAG), spec, *FLAG).select(F.lit(n).alias("sketch"), "flag", "i", F.round(F.col("r").cast("double"), 9).alias("r"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    many = build_many(lines(spark, sf_dir), {n: SPECS[n] for n in MANY}, FLAG)
+    return many.select("sketch", "flag", F.col("i").cast("int").alias("i"), F.round(F.round("r", 12), 9).alias("r"))
 
 
 def _many_sql() -> str:

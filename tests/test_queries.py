@@ -40,6 +40,11 @@ def test_plan_reads_only_what_it_needs(spark, sf_dir):
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan and "Python" not in plan and "partial_max" in plan and "partial_min" in plan
 
 
+def test_several_sketches_are_one_pass(spark, sf_dir):
+    plan = QUERIES["several_sketches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("FileScan parquet") == 1
+
+
 @pytest.fixture
 def stream(spark, sf_dir, tmp_path):
     """The events in three files, in order of time."""

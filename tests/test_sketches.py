@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import tallybook as tb
 from tallybook.functions.hashing import wrapping
+from tallybook.operators import registers as registers_
 from tallybook.operators.ordered import DynState, build_ordered, dyn, records
 from tallybook.operators.registers import bucket_columns, register_value
 from tallybook.sources import generators
@@ -381,6 +382,41 @@ def test_several_sketches_in_one_pass(rows, hash_):
     assert tb.build_many(rows.limit(0), specs).count() == 0
 
 
+def test_several_sketches_leave_out_what_changes_nothing(monkeypatch):
+    """Of a long stream few elements get exponentials; the registers are those of all of them."""
+    specs = [s.with_(m=m) for m in (8, 24) for s, _ in M400.values() if s.traits.family != "bucket"]
+    rng, n, known = np.random.default_rng(5), 40_000, [("a",), (None,), ("b",)]
+    h, w, group = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(1, 50, n).astype(float), rng.integers(0, 3, n)
+    sent, plain = [], registers_.block_exponentials
+    monkeypatch.setattr(registers_, "block_exponentials", lambda spec, h, *more: sent.append(len(h)) or plain(spec, h, *more))
+    held = registers_.ManyHeld(specs)
+    for at in range(0, n, held.step):
+        part = slice(at, at + held.step)
+        held.add(known[::-1], 2 - group[part], h[part], w[part])
+    assert sum(sent) < 0.4 * n * len(held.forms) and len(held.forms) < len(specs) / 2
+    for spec in specs:
+        made = plain(spec, h, None, w if spec.is_weighted else np.ones(n))
+        best = np.max if spec.kind == "WeightedMinHash" else np.min
+        want = np.array([best(made[group == g], axis=0) for g in range(3)])
+        got = held.registers(spec)[[held.slots[k] for k in known]]
+        np.testing.assert_allclose(got, want if spec.kind == "WeightedMinHash" else registers_.register_value_np(spec, want), rtol=1e-12)
+
+
+def test_several_sketches_of_many_keys(spark):
+    """Null keys, keys that are equal but not the same, empty registers, and more keys than a task holds."""
+    key = F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 7 == 1, F.lit(-0.0)).when(F.col("id") % 7 == 2, F.lit(0.0)).otherwise((F.col("id") % 300).cast("double"))
+    df = spark.range(0, 9000, 1, 2).select(key.alias("k"), (F.col("id") % 4000).alias("x"), (F.col("id") % 5 + 0.5).alias("w"))
+    specs = {"s": tb.kQSketchShifted(8, 42, 3, 1.2), "p": tb.WeightedMinHash(8), "c": tb.WeightedHyperLogLogCustomFloat(16, 42, 8, 10), "h": tb.HyperLogLog(16)}
+    many = tb.build_many(df, specs, ["k"]).cache()
+    for name, spec in specs.items():
+        want = as_dict(tb.build(df, spec, ["k"]), "k")
+        close(as_dict(many.where(F.col("sketch") == name), "k"), want, spec.traits.value)
+    wide = spark.range(0, 6000, 1, 1).select(F.col("id").alias("k"), F.col("id").alias("x"))
+    assert registers_.ManyHeld([tb.HyperLogLog(1024)]).each * 6000 > registers_._BYTES_HELD
+    got, want = tb.build_many(wide, {"h": tb.HyperLogLog(1024)}, "k", w=None).drop("sketch"), tb.build(wide, tb.HyperLogLog(1024), "k", w=None)
+    assert as_dict(got, "k") == as_dict(want, "k")
+
+
 def test_custom_floats_are_stored_in_their_bits(rows):
     for spec in (tb.FastExpSketchCustomFloat(64, 42, 8, 7), tb.WeightedHyperLogLogCustomFloat(500, 42, 5, 3)):
         registers = sketched(spec, rows)
